@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserix.functions.address import KEY_BITS_DEFAULT, is_valid_zxy, tile_id
 from tesserix.functions.common import lng
 from tesserix.operators.ordered import BITS, exclusive_scan, floor_join
+from tesserix.session import cut_lineage
 
 #: Directories nest at most this deep, the root included (fixed value).
 MAX_DEPTH = 4
@@ -73,27 +74,29 @@ def lookup_tree(requests: DataFrame, archives: DataFrame, entries: DataFrame, bi
     none = F.lit(None).cast("bigint")
     cols = [*requests.columns, "status", "depth", "offset", "length"]
     done = [asked.filter(F.col("status").isNotNull()).withColumns({"offset": none, "length": none}).select(*cols)]
-    active = asked.filter(F.col("status").isNull()).drop("status")
+    active = cut_lineage(asked.filter(F.col("status").isNull()).drop("status"), "walk")
     for depth in range(MAX_DEPTH):
         found = floor_join(active, rows, ["archive_id", "dir_id"], "target", "tile_id", "c", bits, key_bits)
         if depth:
             found = found.join(known, ["archive_id", "dir_id"], "left")
         else:
             found = found.withColumn("known", F.lit(True))
-        descend = (F.col("c.run_length") == 0) & F.col("known")
         state = (F.when(F.col("known").isNull(), "error").when(F.col("c").isNull(), "not-found")
                  .when(F.col("c.run_length") > 0, F.when(
                      F.col("target") - F.col("c.tile_id") < F.col("c.run_length"), "found").otherwise("not-found"))
                  .otherwise("error" if depth == MAX_DEPTH - 1 else "descend"))
         found = found.withColumns({"status": state, "depth": F.lit(depth), "offset": F.col("c.offset"),
                                    "length": F.col("c.length")})
+        found = cut_lineage(found.drop("c"), "walk")  # both the finished and the descending part read it
         ended = found.filter("status <> 'descend'")
         hit = F.col("status") == "found"
         done.append(ended.withColumns({"offset": F.when(hit, F.col("offset")), "length": F.when(hit, F.col("length"))})
                     .select(*cols))
         if depth < MAX_DEPTH - 1:
-            active = found.filter(descend).withColumn("dir_id", F.col("offset")).select(
+            active = found.filter("status = 'descend'").withColumn("dir_id", F.col("offset")).select(
                 *requests.columns, "depth", "dir_id")
+            if active.isEmpty():
+                break
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

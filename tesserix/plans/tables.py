@@ -79,6 +79,10 @@ SELECT archive_id, z, x, y, {tile_id_sql('z', 'x', 'y')} AS tile_id, content FRO
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "t_requests", build_requests)
+
+
+def build_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t_requests(request_id, archive_id, z, x, y, valid, target): tile requests, from ``events``.
 
     A few lie outside the grid (x = 2^z).
@@ -268,4 +272,4 @@ def with_tables(body: str, *names: str) -> str:
     for name in names:
         visit(name)
     defs = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][0].strip()})" for n in order)
-    return f"WITH {defs}\n{body.strip()}" if order else body.strip()
+    return f"WITH {defs}\n{body.strip()}"  # a body may start with a comma and define more
