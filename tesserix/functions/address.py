@@ -152,20 +152,19 @@ def with_tile_address(df: DataFrame, tid: str = "tile_id", prefix: str = "") ->
     return df.withColumns({f"{prefix}x": x, f"{prefix}y": y}).drop(packed)
 
 
-def aligned_block(z: ColumnOrName, x: ColumnOrName, y: ColumnOrName, k: ColumnOrName | int) -> Column:
-    """The aligned 2^k square around a tile: STRUCT(x0, y0, size, first_hilbert_index, first_tile_id, last_tile_id).
-
-    The tiles of such a square have consecutive ids. NULL fields unless 0 <= k <= z.
+def with_aligned_block(df: DataFrame, k: str = "k") -> DataFrame:
+    """Add the aligned 2^k square around each tile z/x/y: ``x0, y0, size, first_hilbert_index, first_tile_id,
+    last_tile_id``. The tiles of such a square have consecutive ids. NULL unless the tile is valid and 0 <= k <= z.
     """
-    z = lng(z)
-    k = F.when(is_valid_zxy(z, x, y) & lng(k).between(0, z), lng(k))
-    bx, by = shr(lng(x), k), shr(lng(y), k)
-    first = shl(hilbert_index(z - k, bx, by), k * 2)
-    return F.struct(
-        shl(bx, k).alias("x0"), shl(by, k).alias("y0"), pow2(k).alias("size"),
-        first.alias("first_hilbert_index"), (zoom_base(z) + first).alias("first_tile_id"),
-        (zoom_base(z) + first + shl(lng(1), k * 2) - 1).alias("last_tile_id"),
-    )
+    ok = is_valid_zxy("z", "x", "y") & lng(k).between(0, lng("z"))
+    df = df.withColumn("_k", F.when(ok, lng(k)))
+    df = df.withColumns({"_bz": lng("z") - F.col("_k"), "_bx": shr(lng("x"), "_k"), "_by": shr(lng("y"), "_k")})
+    df = df.withColumn("_h", hilbert_index("_bz", "_bx", "_by"))
+    df = df.withColumns({"first_hilbert_index": shl(F.col("_h"), F.col("_k") * 2), "x0": shl(F.col("_bx"), "_k"),
+                         "y0": shl(F.col("_by"), "_k"), "size": pow2("_k")})
+    df = df.withColumn("first_tile_id", zoom_base("z") + F.col("first_hilbert_index"))
+    last = F.col("first_tile_id") + F.col("size") * F.col("size") - 1
+    return df.withColumn("last_tile_id", last).drop("_k", "_bz", "_bx", "_by", "_h")
 
 
 def range_block_cells(z: ColumnOrName, start: ColumnOrName, end: ColumnOrName) -> Column:
@@ -213,6 +212,6 @@ def key_bits(max_zoom: int = MAX_ZOOM) -> int:
 
 
 __all__ = [
-    "KEY_BITS_DEFAULT", "MAX_ZOOM", "aligned_block", "hilbert_index", "hilbert_xy", "is_valid_tile_id", "is_valid_zxy",
-    "key_bits", "project_to_zoom", "range_block_cells", "tile_id", "tile_zoom", "with_tile_address", "zoom_base",
+    "KEY_BITS_DEFAULT", "MAX_ZOOM", "hilbert_index", "hilbert_xy", "is_valid_tile_id", "is_valid_zxy",
+    "key_bits", "project_to_zoom", "range_block_cells", "tile_id", "tile_zoom", "with_aligned_block", "with_tile_address", "zoom_base",
 ]

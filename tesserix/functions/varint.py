@@ -30,10 +30,13 @@ def encode_varint(value: ColumnOrName) -> Column:
 
 def blob_bytes(blob: ColumnOrName) -> Column:
     """BINARY as ARRAY<INT> of unsigned bytes."""
-    b = col(blob)
-    cells = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b), F.lit(1))),
-                        lambda p: F.conv(F.hex(F.substring(b, p, F.lit(1))), 16, 10).cast("int"))
-    return F.when(F.octet_length(b) > 0, cells).otherwise(F.array().cast("array<int>"))
+
+    def build(b: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b), F.lit(1))),
+                            lambda p: F.conv(F.hex(F.substring(b, p, F.lit(1))), 16, 10).cast("int"))
+        return F.when(F.octet_length(b) > 0, cells).otherwise(F.array().cast("array<int>"))
+
+    return let(col(blob), build)
 
 
 def varint_ends(bytes_: ColumnOrName) -> Column:
@@ -43,25 +46,25 @@ def varint_ends(bytes_: ColumnOrName) -> Column:
     return F.filter(places, lambda p: p.isNotNull())
 
 
-def decode_varints(bytes_: ColumnOrName, ends: ColumnOrName) -> Column:
-    """ARRAY<STRUCT(value, byte_offset, byte_length)>; value is NULL above 2^53 - 1 or beyond ten bytes.
+def decode_varints(blob: ColumnOrName) -> Column:
+    """BINARY as ARRAY<STRUCT(value, byte_offset, byte_length)>; value is NULL above 2^53 - 1 or beyond ten bytes.
 
-    ``bytes_`` and ``ends`` must be stored columns, they are read once per value.
+    Bytes and value ends are bound once; each value then looks only at its own bytes, so the cost is linear.
     """
-    b, e = col(bytes_), col(ends)
 
-    def one(end: Column, i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.get(e, i - 1) + 1)
+    def values(b: Column, e: Column) -> Column:
+        def one(end: Column, i: Column) -> Column:
+            def build(s: Column) -> Column:
+                # Summed as DOUBLE: exact up to 2^53, and larger values cannot wrap around unnoticed.
+                raw = F.aggregate(F.sequence(s, end), F.lit(0.0),
+                                  lambda a, p: a + F.get(b, p).bitwiseAND(127) * F.pow(F.lit(128.0), p - s))
+                n = end - s + 1
+                return let(raw, lambda r: F.struct(
+                    F.when((n <= 10) & (r <= float(MAX_EXACT)), r.cast("bigint")).alias("value"),
+                    s.alias("byte_offset"), n.alias("byte_length")))
 
-        def build(s: Column) -> Column:
-            # Summed as DOUBLE: exact up to 2^53, and larger values cannot wrap around unnoticed.
-            raw = F.aggregate(F.sequence(s, end), F.lit(0.0),
-                              lambda a, p: a + F.get(b, p).bitwiseAND(127) * F.pow(F.lit(128.0), p - s))
-            n = end - s + 1
-            return let(raw, lambda r: F.struct(
-                F.when((n <= 10) & (r <= float(MAX_EXACT)), r.cast("bigint")).alias("value"),
-                s.alias("byte_offset"), n.alias("byte_length")))
+            return let(F.when(i == 0, 0).otherwise(F.get(e, i - 1) + 1), build)
 
-        return let(start, build)
+        return F.transform(e, one)
 
-    return F.transform(e, one)
+    return let(blob_bytes(blob), lambda b: let(varint_ends(b), lambda e: values(b, e)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserix.functions.address import (KEY_BITS_DEFAULT, aligned_block, hilbert_xy, range_block_cells, tile_zoom,
-                                        with_tile_address, zoom_base)
+from tesserix.functions.address import (KEY_BITS_DEFAULT, hilbert_xy, range_block_cells, tile_zoom,
+                                        with_aligned_block, with_tile_address, zoom_base)
 from tesserix.functions.common import lng, pow2, shl
 from tesserix.functions.mercator import lonlat_to_tile
 from tesserix.operators.lookup import MAX_DEPTH, ROOT
@@ -29,9 +29,10 @@ def range_blocks(ranges: DataFrame, start: str, end: str, z: str | None = None)
     cells = range_block_cells("block_z", F.col(start) - F.col("_base"), F.col(end) - F.col("_base"))
     rows = rows.withColumn("_cell", F.explode(cells))
     rows = rows.withColumns({"_k": F.col("_cell.k"), "_m": F.col("_cell.m")})
-    rows = rows.withColumn("_xy", hilbert_xy(F.col("block_z") - F.col("_k"), F.col("_m")))
+    rows = rows.withColumn("_bz", F.col("block_z") - F.col("_k"))
+    rows = rows.withColumn("_xy", hilbert_xy("_bz", "_m"))
     return rows.withColumns({"x0": shl(F.col("_xy.x"), F.col("_k")), "y0": shl(F.col("_xy.y"), F.col("_k")),
-                             "size": pow2("_k")}).drop("_base", "_cell", "_k", "_m", "_xy")
+                             "size": pow2("_k")}).drop("_base", "_cell", "_bz", "_k", "_m", "_xy")
 
 
 def cover_boxes(boxes: DataFrame, west: str = "west", south: str = "south", east: str = "east", north: str = "north",
@@ -59,11 +60,10 @@ def tile_grid(windows: DataFrame, k: str = "k") -> DataFrame:
     Adds ``tile_id``, ``curve_order`` (position inside the window) and the tile's ``x``, ``y``; windows carry
     (archive_id, z, x, y, k).
     """
-    df = windows.withColumn("_w", aligned_block("z", "x", "y", k)).withColumns(
-        {"_first": F.col("_w.first_tile_id"), "_last": F.col("_w.last_tile_id")})
-    df = df.drop("x", "y", "_w").withColumn("tile_id", F.explode(F.sequence("_first", "_last")))
-    df = df.withColumn("curve_order", F.col("tile_id") - F.col("_first")).drop("_first", "_last", k)
-    return with_tile_address(df.withColumnRenamed("z", "_z"), "tile_id").drop("_z", "zoom_base", "hilbert_index")
+    df = with_aligned_block(windows, k).withColumn("tile_id", F.explode(F.sequence("first_tile_id", "last_tile_id")))
+    df = df.withColumn("curve_order", F.col("tile_id") - F.col("first_tile_id"))
+    df = df.drop("z", "x", "y", "x0", "y0", "size", "first_hilbert_index", "first_tile_id", "last_tile_id", k)
+    return with_tile_address(df, "tile_id").drop("zoom_base", "hilbert_index")
 
 
 def classify_grid(grid: DataFrame, entries: DataFrame, bits: int = BITS, key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
@@ -80,7 +80,7 @@ def classify_grid(grid: DataFrame, entries: DataFrame, bits: int = BITS, key_bit
                               key_bits).select("archive_id", F.col("tile_id").alias("_root"),
                                                F.coalesce("_r", lng(0)).alias("region"))
     rows = rows.withColumnRenamed("tile_id", "entry_tile")
-    todo = grid.withColumns({"dir_id": lng(ROOT), "_root": lng(-1)})
+    todo = cut_lineage(grid, "grid").withColumns({"dir_id": lng(ROOT), "_root": lng(-1)})
     done = []
     cols = [*grid.columns, "state", "_root"]
     for depth in range(MAX_DEPTH):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserix.functions.address import KEY_BITS_DEFAULT, with_tile_address
 from tesserix.functions.common import div, lng
-from tesserix.functions.varint import blob_bytes, decode_varints, varint_ends, varint_hex, varint_width
+from tesserix.functions.varint import decode_varints, varint_hex, varint_width
 from tesserix.operators.ordered import BITS, exclusive_scan, span_join
 from tesserix.session import cut_lineage
 
@@ -152,8 +152,8 @@ def encode_directories(entries: DataFrame, keys: list[str], order: str = "i") ->
     rows = encode_entries(entries, keys, order)
     item = F.struct(F.col(order).alias("o"), *[varint_hex(c).alias(c) for c in ("delta", "run_length", "length", "code")])
     dirs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_e"), F.count(F.lit(1)).alias("n"))
-    body = F.concat(*[F.array_join(F.transform("_e", lambda e, c=c: e[c]), "")
-                      for c in ("delta", "run_length", "length", "code")])
+    # A field of an array of structs is the array of that field.
+    body = F.concat(*[F.array_join(F.col(f"_e.{c}"), "") for c in ("delta", "run_length", "length", "code")])
     return dirs.select(*keys, "n", F.unhex(F.concat(varint_hex("n"), body)).alias("blob"))
 
 
@@ -164,9 +164,7 @@ def decode_values(blobs: DataFrame) -> DataFrame:
 
     Works inside the row that holds the blob: no shuffle and no row per byte.
     """
-    df = blobs.withColumn("_bytes", blob_bytes("blob")).withColumn("_ends", varint_ends("_bytes"))
-    df = df.withColumn("values", decode_varints("_bytes", "_ends")).withColumn(
-        "decoded_length", F.octet_length("blob")).drop("_bytes", "_ends")
+    df = blobs.withColumn("values", decode_varints("blob")).withColumn("decoded_length", F.octet_length("blob"))
     df = df.withColumn("n", F.get("values", F.lit(0))["value"])
     stored = F.slice("values", 1, F.least(F.size("values"), F.col("n") * 4 + 1).cast("int"))
     error = (F.when((F.size("values") == 0) | (F.size("values") < F.col("n") * 4 + 1), "truncated")

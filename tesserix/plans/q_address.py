@@ -39,8 +39,7 @@ SELECT archive_id, z - 2 AS pz, x // 4 AS px, y // 4 AS py, count(*)::BIGINT AS
 def aligned_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The aligned square around every tile, at a level that varies with the tile."""
     t = T.tiles(spark, d).withColumn("k", F.expr("CAST(tile_id % (z + 1) AS INT)"))
-    return t.select("archive_id", "tile_id", "k", A.aligned_block("z", "x", "y", "k").alias("b")).select(
-        "archive_id", "tile_id", "k", "b.*")
+    return A.with_aligned_block(t, "k").drop("z", "x", "y", "content")
 
 
 ALIGNED_SQL = T.with_tables(f"""
