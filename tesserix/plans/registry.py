@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_lookup", "q_address", "q_directory"]
+MODULES = ["q_lookup", "q_address", "q_directory", "q_archive"]
 
 
 def all_queries() -> dict:
