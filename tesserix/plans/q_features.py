@@ -11,6 +11,7 @@ from tesserix.functions import mercator as M
 from tesserix.operators import features as V
 from tesserix.operators import lookup as L
 from tesserix.plans import tables as T
+from tesserix.session import cut_lineage
 
 _BASE = """p_partkey AS p, 0L AS archive_id, 3 AS z, 21 + p_partkey % 64 AS tile_id, CAST(p_size % 3 AS INT) AS layer_index,
   CAST(CASE WHEN p_partkey % 31 = 0 THEN 0 ELSE 1 + p_partkey % 3 END AS INT) AS type, p_partkey * 37 % 3000 AS a, p_partkey * 53 % 3000 AS b,
@@ -293,8 +294,9 @@ def click_hits(spark: SparkSession, d: str) -> DataFrame:
     p = A.with_tile_address(_points(spark, d))
     place = M.point_in_tile("z", "x", "y", "fx", "fy")
     clicks = p.select("request_id", "archive_id", "tile_id", place.alias("c")).select("request_id", "archive_id", F.lit(3).alias("z"), "c.*")
-    at = clicks.select("request_id", "archive_id", M.lonlat_to_tile("lon", "lat", "z").alias("t"))
-    at = at.select("request_id", "archive_id", A.tile_id("t.z", "t.x", "t.y").alias("tile_id"), F.round("t.fx", 9).alias("fx"), F.round("t.fy", 9).alias("fy"))
+    at = clicks.select("request_id", "archive_id", M.lonlat_to_tile("lon", "lat", "z").alias("t")).select("request_id", "archive_id", "t.*")
+    at = cut_lineage(at, "clicks")  # read three times below
+    at = at.select("request_id", "archive_id", A.tile_id("z", "x", "y").alias("tile_id"), F.round("fx", 9).alias("fx"), F.round("fy", 9).alias("fy"))
     runs = T.entries(spark, d).selectExpr("archive_id", "tile_id AS run_start", "tile_id + run_length AS run_end")
     found = L.hit_join(at, runs, target="tile_id").select(*at.columns)
     hits = V.hit_test(found, features(spark, d), ["archive_id", "tile_id"], 0.01)
