@@ -3,6 +3,9 @@
 A tile id is the number of tiles of all coarser zooms plus the tile's position on its zoom's curve.
 The curve is walked three levels at a time through a generated table, nine steps for any zoom, as plain array reads and
 shifts, so a conversion stays inside whole-stage code generation.
+
+The expressions read their inputs many times. Feed them stored columns; when the address of a *computed* id is filtered
+or joined on, store the id first (``tesserix.session.cut_lineage``), since Spark copies an expression into the filter.
 """
 
 from __future__ import annotations

