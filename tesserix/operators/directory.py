@@ -159,6 +159,15 @@ def encode_directories(entries: DataFrame, keys: list[str], order: str = "i") ->
 
 # ---- decoding --------------------------------------------------------------------------------------------------
 
+def spread(blobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Distribute directories by key before decoding them.
+
+    Decoding turns each byte into an array cell and each entry into a row, so moving the blobs is the cheap moment to
+    balance the work; ``decode_entries`` then finds its rows in place and does not shuffle them again.
+    """
+    return blobs.repartition(int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def decode_values(blobs: DataFrame) -> DataFrame:
     """Add ``n``, ``values`` (ARRAY<STRUCT(value, byte_offset, byte_length)>), ``decoded_length`` and ``error``.
 
@@ -172,10 +181,15 @@ def decode_values(blobs: DataFrame) -> DataFrame:
     return df.withColumn("error", error)
 
 
+def _readable() -> Column:
+    return F.col("error").isNull() & (F.col("n") > 0)
+
+
 def encoded_values(decoded: DataFrame, keys: list[str]) -> DataFrame:
     """Long form of the four columns: (keys, n, col, i, value, byte_offset, byte_length)."""
-    rows = decoded.filter("error IS NULL AND n > 0").select(
-        *keys, "n", F.posexplode(F.slice("values", F.lit(2), (F.col("n") * 4).cast("int"))).alias("_p", "_v"))
+    # Unreadable and empty directories give empty arrays: a filter would be pushed down and decode everything twice.
+    stored = F.when(_readable(), F.slice("values", F.lit(2), (F.col("n") * 4).cast("int")))
+    rows = decoded.select(*keys, "n", F.posexplode(stored).alias("_p", "_v"))
     names = F.array(*[F.lit(c) for c in ENCODED_COLUMNS])
     return rows.select(*keys, "n", F.get(names, div("_p", F.col("n"))).alias("col"),
                        F.pmod(lng("_p"), F.col("n")).alias("i"), F.col("_v.value").alias("value"),
@@ -193,8 +207,8 @@ def decode_entries(decoded: DataFrame, keys: list[str]) -> DataFrame:
         return F.struct(*[F.get(v, (i + 1 + n * k).cast("int"))["value"].alias(name)
                           for k, name in enumerate(["delta", "run_length", "length", "code"])])
 
-    rows = decoded.filter("error IS NULL AND n > 0").select(
-        *keys, F.posexplode(F.transform(F.sequence(lng(0), n - 1), entry)).alias("i", "_e")).select(
+    steps = F.when(_readable(), F.sequence(lng(0), F.greatest(n - 1, lng(0))))
+    rows = decoded.select(*keys, F.posexplode(F.transform(steps, entry)).alias("i", "_e")).select(
         *keys, F.col("i").cast("bigint").alias("i"), "_e.*")
     w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     before = F.sum("length").over(w) - F.col("length")

@@ -127,7 +127,7 @@ def _blobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    return T.stored(spark, d, "t_decoded", lambda s, p: D.decode_values(_blobs(s, p).drop("n")))
+    return T.stored(spark, d, "t_decoded", lambda s, p: D.decode_values(D.spread(_blobs(s, p).drop("n"), DIR)))
 
 
 def encode_directories(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ SELECT archive_id, dir_id, n, octet_length(blob)::BIGINT AS n_bytes, md5(blob) A
 
 def decode_directories(spark: SparkSession, d: str) -> DataFrame:
     """Bytes back to entries: the entries that were encoded."""
-    return D.decode_entries(D.decode_values(_blobs(spark, d).drop("n")), DIR).drop("delta", "code")
+    return D.decode_entries(D.decode_values(D.spread(_blobs(spark, d).drop("n"), DIR)), DIR).drop("delta", "code")
 
 
 DECODE_SQL = T.with_tables('SELECT archive_id, dir_id, i, tile_id, run_length, "offset", length FROM t_leaves', "t_leaves")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tesserix.functions.common import lng
 from tesserix.operators.archive import parse_headers, with_metadata
-from tesserix.operators.directory import decode_entries, decode_values, directory_issues
+from tesserix.operators.directory import decode_entries, decode_values, directory_issues, spread
 from tesserix.operators.lookup import MAX_DEPTH, ROOT
 from tesserix.session import cut_lineage
 from tesserix.sources.archive_source import read_first_bytes
@@ -80,7 +80,7 @@ def read_directories(archives: DataFrame, first_tile: int | None = None, end_til
     entries, problems = [], []
     for depth in range(MAX_DEPTH):
         plain = decompress(level, "raw", "internal_compression", "plain", "unpack_error")
-        got = cut_lineage(decode_values(plain.withColumnRenamed("plain", "blob")), "directories")
+        got = cut_lineage(decode_values(spread(plain.withColumnRenamed("plain", "blob"), _DIR)), "directories")
         rows = cut_lineage(decode_entries(got, _DIR), "entries")
         entries.append(rows.drop("delta", "code").withColumn("depth", F.lit(depth)))
         fatal = F.coalesce("read_error", "unpack_error", "error", F.when((F.col("n") == 0) & F.lit(depth > 0), "empty-leaf"))
