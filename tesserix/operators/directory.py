@@ -82,7 +82,8 @@ def assign_offsets(entries: DataFrame, lengths: DataFrame, bits: int = BITS,
     """Store each distinct content once: the first use in tile id order gets the next offset, later uses point back.
 
     ``entries`` hold (archive_id, tile_id, run_length, content), ``lengths`` (archive_id, content, length). First uses
-    are found by aggregation, so a content shared by most entries is combined before the shuffle.
+    are found by aggregation, so a content shared by most entries is combined before the shuffle; the join back has one
+    row per content, so adaptive execution can split the entries of such a content over many tasks.
     """
     firsts = entries.groupBy("archive_id", "content").agg(F.min("tile_id").alias("first_tile_id"))
     firsts = firsts.join(lengths, ["archive_id", "content"])

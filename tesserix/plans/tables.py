@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +36,15 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSe
     An index is built once and asked many times; the queries named after the building steps run them themselves.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        path = shared_folder(spark, name)
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:  # the scratch folder was cleared
+            del _STORED[key]
+    path = shared_folder(spark, name)
+    build(spark, sf_dir).write.mode("overwrite").parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def tile_id_sql(z: str, x: str, y: str) -> str:
