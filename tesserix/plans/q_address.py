@@ -205,9 +205,14 @@ SELECT CASE WHEN i >= min_zoom THEN least(i, max_zoom) END::INTEGER AS tile_z, t
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """A 16 x 16 window per archive and zoom 6..8, classified with every third leaf not at hand."""
-    focus = T.tiles(spark, d).filter("z BETWEEN 6 AND 8").groupBy("archive_id", "z").agg(
-        F.max("x").alias("x"), F.max("y").alias("y")).withColumn("k", F.lit(4))
+    """A 16 x 16 window per archive and zoom 4 and 6..8, classified with every third leaf not at hand.
+
+    Archives whose first tile comes late have nothing at zoom 4.
+    """
+    t = T.tiles(spark, d)
+    focus = t.filter("z BETWEEN 6 AND 8").groupBy("archive_id", "z").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    focus = focus.unionByName(t.select("archive_id").distinct().selectExpr("archive_id", "4 AS z", "0L AS x", "0L AS y"))
+    focus = focus.withColumn("k", F.lit(4))
     tree = T.leaves(spark, d).filter("dir_id = -1 OR leaf_no % 3 <> 1")
     return B.classify_grid(B.tile_grid(focus), tree, key_bits=T.KEY_BITS)
 
@@ -218,7 +223,8 @@ def grid_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GRID = f"""
-, focus AS (SELECT archive_id, z, (max(x) >> 4) << 4 AS x0, (max(y) >> 4) << 4 AS y0 FROM t_tiles WHERE z BETWEEN 6 AND 8 GROUP BY 1, 2),
+, focus AS (SELECT archive_id, z, (max(x) >> 4) << 4 AS x0, (max(y) >> 4) << 4 AS y0 FROM t_tiles WHERE z BETWEEN 6 AND 8 GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT archive_id, 4, 0, 0 FROM t_tiles),
 cells AS (SELECT archive_id, z, x0 + i % 16 AS x, y0 + i // 16 AS y FROM focus, (SELECT unnest(range(0, 256)) AS i)),
 grid AS (SELECT *, {T.tile_id_sql('z', 'x', 'y')} AS tile_id FROM cells),
 classed AS (SELECT g.*, g.tile_id - min(g.tile_id) OVER (PARTITION BY g.archive_id, g.z) AS curve_order,
