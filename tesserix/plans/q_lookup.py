@@ -109,7 +109,7 @@ SELECT archive_id, z, count(*)::BIGINT AS n_missing FROM t_requests r WHERE targ
 
 def _contents(placed: DataFrame) -> DataFrame:
     """Stored contents; those of some lengths are unreadable."""
-    data = F.when(F.col("length") % 5 != 4, F.encode("content", "UTF-8"))
+    data = F.when(F.col("length") % 5 != 0, F.encode("content", "UTF-8"))
     return placed.groupBy("archive_id", "offset").agg(F.min("content").alias("content"), F.min("length").alias("length")).select(
         "archive_id", "offset", data.alias("payload"), F.when(data.isNull(), "cannot decompress").alias("error"))
 
@@ -124,17 +124,25 @@ def map_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 MAP_TILES_SQL = T.with_tables("""
-SELECT r.request_id, CASE WHEN e.tile_id IS NULL THEN 'missing' WHEN e.length % 5 = 4 THEN 'error' ELSE 'found' END AS status,
+SELECT r.request_id, CASE WHEN e.tile_id IS NULL THEN 'missing' WHEN e.length % 5 = 0 THEN 'error' ELSE 'found' END AS status,
   e.tile_id IS NOT NULL AS found,
   CASE WHEN e.tile_id IS NULL THEN CASE WHEN a.tile_type IN (1, 6) THEN 0 END
-    WHEN e.length % 5 <> 4 THEN strlen(e.content) END::BIGINT AS data_length,
+    WHEN e.length % 5 <> 0 THEN strlen(e.content) END::BIGINT AS data_length,
   CASE WHEN e.tile_id IS NULL THEN CASE WHEN a.tile_type IN (1, 6) THEN md5('') END
-    WHEN e.length % 5 <> 4 THEN md5(e.content) END AS data_md5
+    WHEN e.length % 5 <> 0 THEN md5(e.content) END AS data_md5
 FROM t_requests r LEFT JOIN t_archives a ON r.archive_id = a.archive_id
 LEFT JOIN t_placed e ON r.archive_id = e.archive_id AND r.z BETWEEN a.min_zoom AND a.max_zoom
   AND r.target >= e.tile_id AND r.target < e.tile_id + e.run_length""", "t_requests", "t_archives", "t_placed")
 
 
+def map_request_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles a map asked for: found, missing (known from the directory alone) and failed, with the bytes handed over."""
+    return map_tiles(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("data_length").alias("bytes"))
+
+
+MAP_REQUESTS_SQL = f"SELECT status, count(*)::BIGINT AS n, sum(data_length)::BIGINT AS bytes FROM ({MAP_TILES_SQL}) GROUP BY 1"
+
+
 QUERIES = {
     "lookup_outcomes_by_zoom": (lookup_outcomes_by_zoom, LOOKUP_OUTCOMES_SQL),
     "floor_entries": (floor_entries, FLOOR_SQL),
@@ -143,4 +151,5 @@ QUERIES = {
     "hit_join": (hit_join, HIT_SQL),
     "missing_requests": (missing_requests, MISSING_SQL),
     "map_tiles": (map_tiles, MAP_TILES_SQL),
+    "map_request_summary": (map_request_summary, MAP_REQUESTS_SQL),
 }

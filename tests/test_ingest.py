@@ -40,7 +40,8 @@ def test_scan_read_and_lookup(spark, tmp_path):
     assert contents.filter(F.col("error").isNotNull()).count() == 0
     assert contents.count() == len({c for _, _, c in TILES}) + len({c for _, _, c in TILES[:20]})
 
-    asked = spark.range(0, 3200).selectExpr("id AS request_id", "5 AS z", "id % 32 AS x", "id div 100 AS y").crossJoin(ok.select("archive_id"))
+    asked = ok.select("archive_id", F.explode(F.expr("sequence(0L, 3199L)")).alias("id")).selectExpr(
+        "archive_id", "id AS request_id", "5 AS z", "id % 32 AS x", "id div 100 AS y")
     found = lookup_tree(with_targets(asked), ok, entries).collect()
     covered = {t + k for t, n, _ in TILES for k in range(n)}
     for r in found:

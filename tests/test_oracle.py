@@ -32,6 +32,7 @@ def test_every_outcome_occurs(spark):
 
     assert values("lookup_outcomes_by_zoom", "outcome") >= {"exact-tile", "run-hit", "outside-run", "before-first", "out-of-zoom", "invalid"}
     assert values("tree_lookup", "status") == {"found", "not-found", "out-of-zoom", "error", "invalid"}
+    assert values("map_request_summary", "status") == {"found", "missing", "error"}
     assert values("offset_classes", "offset_class") >= {"first", "contiguous", "backward", "resume"}
     assert values("payload_kinds", "kind") == {"gzip", "zstd", "png", "jpeg", "webp", "avif", "mvt-like", "text", "empty", "unknown"}
     assert values("layout_issues", "issue") == {"overlap", "beyond-eof", "root-outside-first-read"}
