@@ -21,6 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def extended(df: DataFrame, fields: str) -> str:
+    """The schema of ``df`` with further fields, as DDL."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), fields])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and where each value starts (one more entry than values). Null is empty."""
     column = column.cast(pa.binary()).cast(pa.large_binary()).fill_null(b"")
@@ -136,7 +141,7 @@ def running(df: DataFrame, order: list[str], value: str, key: str | None = None,
                 yield pdf.assign(_part=part, row_id=(part << 40) + n + np.arange(len(pdf)), _local=local)
                 n += len(pdf)
 
-    schema = df.schema.add("_part", "int").add("row_id", "long").add("_local", "long")
+    schema = extended(df, "_part int, row_id long, _local long")
     placed = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(scan, schema), "running")
     keys = ["_part"] + ([key] if key else [])
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

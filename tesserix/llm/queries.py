@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserix.llm.common import documents
+from tesserix.llm.mixing import mix_digest
 from tesserix.llm.secrets import secret_digest
 from tesserix.llm.sql import OP9
+from tesserix.llm.toxicity import toxicity_digest
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(documents(spark, sf_dir))
 
 
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
 
-QUERIES = {"op9_secret_ownership": (op9_secret_ownership, OP9)}
+QUERIES = {
+    "op1_lexicon_toxicity": (op1_lexicon_toxicity, None),
+    "op2_source_mixing": (op2_source_mixing, None),
+    "op9_secret_ownership": (op9_secret_ownership, OP9),
+}
