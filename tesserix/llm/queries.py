@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserix.llm.common import documents
 from tesserix.llm.mixing import mix_digest
+from tesserix.llm.packing import pack
 from tesserix.llm.secrets import secret_digest
 from tesserix.llm.sql import OP9
 from tesserix.llm.toxicity import toxicity_digest
@@ -23,6 +24,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(documents(spark, sf_dir))
 
 
+def op8_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
@@ -30,5 +37,6 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lexicon_toxicity": (op1_lexicon_toxicity, None),
     "op2_source_mixing": (op2_source_mixing, None),
+    "op8_ordered_packing": (op8_ordered_packing, None),
     "op9_secret_ownership": (op9_secret_ownership, OP9),
 }
