@@ -1,7 +1,7 @@
 """Order-preserving packing of documents into sequences of bounded length.
 
 Documents stay in the order of their id. Where a sequence ends is chosen by dynamic programming over the places where a cut
-is allowed: document ends (free), sentence ends and, inside very long sentences, every few hundred ids (each at a price). A
+is allowed: document ends (free), sentence ends and, inside long sentences, every few dozen ids (each at a price). A
 sequence costs its padding plus the price of the cut that ends it. The cheapest predecessor within one sequence length comes
 from a monotone queue, so the work is linear in the number of places.
 
@@ -26,8 +26,8 @@ from tesserix.session import cut_lineage
 
 LENGTH = 4096
 END_ID = 2
-SENTENCE_PRICE, FORCED_PRICE = 4, 64
-FORCED_STEP = 256
+SENTENCE_PRICE, FORCED_PRICE = 4, 12
+FORCED_STEP = 32
 #: Tokens per range partition, at which a sequence is ended early; and tokens held before finished sequences are given out.
 PARTITION_TOKENS, BLOCK_TOKENS = 4 << 20, 1 << 20
 CACHE_WORDS = 1_000_000
