@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserix.llm.common import documents
+from tesserix.llm.jaccard import classes
 from tesserix.llm.mixing import mix_digest
 from tesserix.llm.packing import pack
 from tesserix.llm.secrets import secret_digest
@@ -24,6 +25,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(documents(spark, sf_dir))
+
+
 def op8_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +42,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lexicon_toxicity": (op1_lexicon_toxicity, None),
     "op2_source_mixing": (op2_source_mixing, None),
+    "op6_jaccard_join": (op6_jaccard_join, None),
     "op8_ordered_packing": (op8_ordered_packing, None),
     "op9_secret_ownership": (op9_secret_ownership, OP9),
 }
