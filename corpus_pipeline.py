@@ -9,20 +9,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserix.llm.jaccard import one_of_each
+from tesserix.llm.mixing import mixed_documents
+from tesserix.llm.packing import pack
 from tesserix.llm.secrets import redact_live
+from tesserix.llm.toxicity import without_toxic
 from tesserix.session import cut_lineage
 
+#: Name of the packing vocabulary among the public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go. The lexicon is learned from the labels of this input."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays (five-word shingles, similarity 0.8)."""
+    return one_of_each(docs)
+
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials of one owner are masked; every document stays."""
     return redact_live(docs)
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources meet their target weights."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path(VOCABULARY))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_copies),
     ("secret_scan", secret_scan),
+    ("source_mixing", mixing),
+    ("packing", packing),
 ]
 
-#: SQL cannot express the learned lexicon and the permutations; a brute-force version of each stage is in tests/llm.
+#: SQL cannot express the learned lexicon, the permutations and the packing; tests/llm compares each with brute force.
 ORACLE_SQL = None
 
 
