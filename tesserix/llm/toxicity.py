@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserix.session import cut_lineage
+
 #: The model is fitted on at most so many labelled rows, those of the smallest hash of their id.
 FIT_ROWS = 20_000
 MAX_TERMS = 4096
@@ -117,14 +119,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) ->
     """(text, toxic, part): labelled rows outside the held-out fifth, at most ``bound`` of them; one label per document."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL AND pmod(crc32(CAST(doc_id AS STRING)), 5) <> 0")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(known, "doc_id").select(
+    # At most ``bound`` ids and labels are broadcast, so no text is shuffled.
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
         "text", "toxic", F.expr("pmod(xxhash64(doc_id, 7), 4)").alias("part"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Terms from three quarters of the training rows, the curve from the rest. What reaches the driver is bounded by
     ``MAX_TERMS`` and ``FIT_ROWS``."""
-    train = training_rows(docs, labels)
+    train = cut_lineage(training_rows(docs, labels), "training")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
