@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserix.llm.common import documents
 from tesserix.llm.jaccard import classes
+from tesserix.llm.media import audio_digest
 from tesserix.llm.mixing import mix_digest
+from tesserix.llm.neighbours import nearest
 from tesserix.llm.packing import pack
 from tesserix.llm.secrets import secret_digest
+from tesserix.llm.sharding import shard_digest
 from tesserix.llm.sql import OP9
 from tesserix.llm.toxicity import toxicity_digest
 
@@ -25,10 +28,23 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(documents(spark, sf_dir))
 
 
+def op3_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(documents(spark, sf_dir))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_digest(documents(spark, sf_dir))
+
+
 def op8_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +58,10 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lexicon_toxicity": (op1_lexicon_toxicity, None),
     "op2_source_mixing": (op2_source_mixing, None),
+    "op3_block_neighbours": (op3_block_neighbours, None),
+    "op5_hilbert_shards": (op5_hilbert_shards, None),
     "op6_jaccard_join": (op6_jaccard_join, None),
+    "op7_audio_features": (op7_audio_features, None),
     "op8_ordered_packing": (op8_ordered_packing, None),
     "op9_secret_ownership": (op9_secret_ownership, OP9),
 }
