@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tesserix.llm.backoff import SHARD_ROWS, backoff_scores
 from tesserix.llm.common import documents
 from tesserix.llm.jaccard import classes
 from tesserix.llm.media import audio_digest
@@ -13,6 +15,7 @@ from tesserix.llm.packing import pack
 from tesserix.llm.secrets import secret_digest
 from tesserix.llm.sharding import shard_digest
 from tesserix.llm.sql import OP9
+from tesserix.llm.suffixes import repeats_digest
 from tesserix.llm.toxicity import toxicity_digest
 
 
@@ -33,6 +36,12 @@ def op3_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Shards follow the files, so that a task meets whole shards; the text is moved once, with the answers.
+    docs = documents(spark, sf_dir)
+    return backoff_scores(docs, shard=F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {SHARD_ROWS}")))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(documents(spark, sf_dir))
 
@@ -55,13 +64,19 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_lexicon_toxicity": (op1_lexicon_toxicity, None),
     "op2_source_mixing": (op2_source_mixing, None),
     "op3_block_neighbours": (op3_block_neighbours, None),
+    "op4_backoff_scores": (op4_backoff_scores, None),
     "op5_hilbert_shards": (op5_hilbert_shards, None),
     "op6_jaccard_join": (op6_jaccard_join, None),
     "op7_audio_features": (op7_audio_features, None),
     "op8_ordered_packing": (op8_ordered_packing, None),
     "op9_secret_ownership": (op9_secret_ownership, OP9),
+    "op10_suffix_repeats": (op10_suffix_repeats, None),
 }
