@@ -67,11 +67,12 @@ def may_hold(text: Column) -> Column:
 
 
 def _looked_at(docs: DataFrame, text: str, owner: str, repository: str | None) -> DataFrame:
-    """Stored table of the rows that may hold a secret: all columns, ``_uid``, ``_owner``, ``_repo`` and ``_spans``."""
-    rows = docs.filter(may_hold(F.col(text))).withColumns({
-        "_uid": F.monotonically_increasing_id(), "_owner": F.coalesce(F.concat(F.lit("o"), F.col(owner).cast("string")), F.lit("")),
-        "_repo": F.coalesce(F.concat(F.lit("r"), F.col(repository or owner).cast("string")), F.lit("")),
-        "_spans": candidates(F.col(text))})
+    """Stored table of the rows that may hold a secret: ``_row`` (all columns), ``_text``, ``_uid``, ``_owner``, ``_repo``, ``_spans``."""
+    rows = docs.filter(may_hold(F.col(text))).select(
+        F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_uid"),
+        F.coalesce(F.concat(F.lit("o"), F.col(owner).cast("string")), F.lit("")).alias("_owner"),
+        F.coalesce(F.concat(F.lit("r"), F.col(repository or owner).cast("string")), F.lit("")).alias("_repo"),
+        candidates(F.col(text)).alias("_spans"))
     return cut_lineage(rows, "secrets")
 
 
@@ -101,20 +102,24 @@ def classified_spans(rows: DataFrame) -> DataFrame:
         (s["ownership"] == "live") & ~F.exists("_named", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))).alias("spans"))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
-    """``docs`` plus ``spans``: array of (start, rank, end, kind, value, owners, repositories, ownership)."""
+def _scanned(docs: DataFrame, text: str, owner: str, repository: str | None) -> DataFrame:
+    """(_row, _text, _found): every row of ``docs`` with its spans."""
     rows = _looked_at(docs, text, owner, repository)
-    found = rows.select("_uid", *docs.columns).join(classified_spans(rows), "_uid", "left").drop("_uid")
-    kind = found.schema["spans"].dataType
-    rest = docs.filter(~may_hold(F.col(text))).withColumn("spans", F.array().cast(kind))
-    return found.withColumn("spans", F.coalesce("spans", F.array().cast(kind))).unionByName(rest)
+    found = rows.select("_uid", "_row", "_text").join(classified_spans(rows).withColumnRenamed("spans", "_found"), "_uid", "left").drop("_uid")
+    none = F.array().cast(found.schema["_found"].dataType)
+    rest = docs.filter(~may_hold(F.col(text))).select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), none.alias("_found"))
+    return found.withColumn("_found", F.coalesce("_found", none)).unionByName(rest)
+
+
+def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str | None = None, out: str = "spans") -> DataFrame:
+    """``docs`` plus ``out``: array of (start, rank, end, kind, value, owners, repositories, ownership)."""
+    return _scanned(docs, text, owner, repository).select("_row.*", F.col("_found").alias(out))
 
 
 def redact_live(docs: DataFrame, text: str = "text", owner: str = "source", repository: str | None = None,
                 mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live-looking credential replaced by ``mark``. Rows stay; copied examples stay as they are."""
-    spans = scan_secrets(docs, text, owner, repository)
-    live = F.filter("spans", lambda s: s["ownership"] == "live")
+    live = F.filter("_found", lambda s: s["ownership"] == "live")
     # Spans that overlap become one: a span opens a new piece where it starts behind all earlier ones.
     pieces = F.aggregate(live, F.array().cast("array<struct<start:int,end:int>>"), lambda a, s: F.when(
         (F.size(a) > 0) & (s["start"] < F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0))),
@@ -123,10 +128,11 @@ def redact_live(docs: DataFrame, text: str = "text", owner: str = "source", repo
             F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(
                 F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
     body = F.aggregate("_pieces", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, p: F.struct(
-        p["end"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, p["start"] - a["at"]), F.lit(mark)).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    out = spans.withColumn("_pieces", pieces)
-    return out.withColumn(text, F.when(F.size("_pieces") > 0, body).otherwise(F.col(text))).select(*docs.columns)
+        p["end"].alias("at"), F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, p["start"] - a["at"]), F.lit(mark)).alias("out")),
+        lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
+    cleaned = F.when(F.size("_pieces") > 0, body).otherwise(F.col("_text"))
+    return _scanned(docs, text, owner, repository).withColumn("_pieces", pieces).select(
+        *[cleaned.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:

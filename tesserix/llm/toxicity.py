@@ -182,11 +182,11 @@ def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.05) -> np.ndarr
     return beta
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """``docs`` plus ``toxicity`` (score, hits): probability of label 1, and how many words hit."""
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` plus ``out`` (score, hits): probability of label 1, and how many words hit."""
     a, b, c = lexicon.curve
     z = F.lit(a) + F.lit(b) * F.log1p("_tox.weight") + F.lit(c) * F.log1p(100 * F.col("_tox.weight") / F.greatest(F.col("_tox.words"), F.lit(1)))
-    return _measured(docs, lexicon, text).withColumn("toxicity", F.struct(
+    return _measured(docs, lexicon, text).withColumn(out, F.struct(
         (1 / (1 + F.exp(-z))).alias("score"), F.col("_tox.hits").alias("hits"))).drop("_tox")
 
 
@@ -199,4 +199,4 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose score stays under one half."""
-    return score(docs, fit(docs, labels)).filter("toxicity.score < 0.5").drop("toxicity")
+    return score(docs, fit(docs, labels), out="_found").filter("_found.score < 0.5").select(*docs.columns)

@@ -1,0 +1,29 @@
+"""The pipeline's stages in turn: what each keeps, and that its decision holds."""
+
+import corpus_pipeline
+from tesserix.session import cut_lineage
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, cut_lineage(stage(spark, docs, SF), name)
+        assert docs.count() > 0
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == names
+        if name in ("toxicity", "ngram_jaccard_join"):
+            assert docs.count() == docs.select("doc_id").distinct().count()
+            assert docs.exceptAll(before).count() == 0
+        if name == "secret_scan":
+            assert docs.count() == before.count()
+    assert docs.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 4096").count() == 0
+
+
+def test_registered(spark):
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
