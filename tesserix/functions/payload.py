@@ -120,7 +120,12 @@ def size_ratio(before: ColumnOrName, after: ColumnOrName) -> Column:
 
 def content_range_total(value: ColumnOrName) -> Column:
     """Total size at the end of a Content-Range value; NULL when it is absent or unknown."""
-    return F.nullif(F.regexp_extract(col(value), r"/(\d+)$", 1), F.lit("")).cast("bigint")
+    return F.nullif(F.regexp_extract(col(value), r"/(\d+)$", 1), F.lit("")).try_cast("bigint")
+
+
+def refused_range_total(value: ColumnOrName) -> Column:
+    """Total size in the Content-Range of a refused range, which names no bytes; NULL for any other form."""
+    return F.nullif(F.regexp_extract(col(value), r"^bytes \*/(\d+)$", 1), F.lit("")).try_cast("bigint")
 
 
 def is_mixed_content(page: ColumnOrName, target: ColumnOrName) -> Column:

@@ -38,7 +38,7 @@ def flatten_features(layer_rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def tile_errors(tiles: DataFrame, keys: list[str], layers: str = "layers") -> DataFrame:
     """Tiles that could not be read to the end, with how many layers came out."""
-    return tiles.filter("error IS NOT NULL").select(*keys, "error", F.coalesce(F.size(layers), F.lit(0)).alias("layers_read"))
+    return tiles.filter("error IS NOT NULL").select(*keys, "error", F.when(F.col(layers).isNull(), 0).otherwise(F.size(layers)).alias("layers_read"))
 
 
 def layer_issues(layer_rows: DataFrame, keys: list[str]) -> DataFrame:

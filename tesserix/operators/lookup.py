@@ -123,9 +123,11 @@ def flatten_tree(entries: DataFrame, bits: int = BITS) -> DataFrame:
     """All reachable tile runs of a directory tree as disjoint intervals: one row per run, any depth.
 
     A leaf's runs are clipped to the interval its parent entry answers for, so one interval join over the result gives
-    the same hits as walking the tree. Columns: archive_id, run_start, run_end, offset, length, depth.
+    the same hits as walking the tree. A leaf that is not at hand, or lies below the deepest level, answers its whole
+    interval with an error. Columns: archive_id, run_start, run_end, offset, length, depth, status (found or error).
     """
     none = F.lit(None).cast("bigint")
+    known = entries.select("archive_id", "dir_id").distinct().withColumn("_known", F.lit(True))
     # Next tile id inside each directory, for every directory at once.
     all_rows = responsibility(entries, ["archive_id", "dir_id"], bits=bits).select(
         "archive_id", "dir_id", "tile_id", "run_length", "offset", "length", F.col("next_tile_id").alias("nxt"))
@@ -138,11 +140,16 @@ def flatten_tree(entries: DataFrame, bits: int = BITS) -> DataFrame:
         runs = level.filter("run_length > 0").select(
             "archive_id", start.alias("run_start"),
             F.least(F.col("tile_id") + F.col("run_length"), reach).alias("run_end"), "offset", "length",
-            F.lit(depth).alias("depth"))
+            F.lit(depth).alias("depth"), F.lit("found").alias("status"))
         parts.append(runs.filter("run_start < run_end"))
-        if depth < MAX_DEPTH - 1:
-            leaves = level.filter("run_length = 0").select(
-                "archive_id", F.col("offset").alias("dir_id"), start.alias("lo"), reach.alias("hi"))
+        leaves = level.filter("run_length = 0").select(
+            "archive_id", F.col("offset").alias("dir_id"), start.alias("lo"), reach.alias("hi"))
+        last = depth == MAX_DEPTH - 1
+        lost = leaves if last else leaves.join(known, ["archive_id", "dir_id"], "left_anti")
+        lost = lost.select("archive_id", F.col("lo").alias("run_start"), F.coalesce("hi", lng(1 << KEY_BITS_DEFAULT)).alias("run_end"),
+                           none.alias("offset"), none.alias("length"), F.lit(depth if last else depth + 1).alias("depth"), F.lit("error").alias("status"))
+        parts.append(lost.filter("run_start < run_end"))
+        if not last:
             level = all_rows.join(leaves, ["archive_id", "dir_id"])
     out = parts[0]
     for part in parts[1:]:
@@ -186,24 +193,33 @@ def hit_join(requests: DataFrame, runs: DataFrame, how: str = "inner", target: s
     return requests.join(hits, ["archive_id", target], how)
 
 
+def lookup_flattened(requests: DataFrame, archives: DataFrame, runs: DataFrame) -> DataFrame:
+    """Requests against the intervals of ``flatten_tree``: the statuses of ``lookup_tree`` and the found offset and length,
+    in one interval join. Requests that need no search stay out of it."""
+    gated = zoom_gate(requests, archives)
+    asked = gated.filter("target IS NOT NULL AND in_zoom").drop("in_zoom")
+    rest = gated.filter("target IS NULL OR NOT in_zoom").withColumn("status", F.when(F.col("target").isNull(), "invalid").otherwise("out-of-zoom"))
+    hits = hit_join(asked.select("archive_id", "target").distinct(), runs.select("archive_id", "run_start", "run_end", "offset", "length", "status"))
+    found = asked.join(hits.drop("run_start", "run_end"), ["archive_id", "target"], "left").withColumn("status", F.coalesce("status", F.lit("not-found")))
+    none = F.lit(None).cast("bigint")
+    return found.unionByName(rest.drop("in_zoom").withColumns({"offset": none, "length": none}))
+
+
 def fetch_tiles(requests: DataFrame, archives: DataFrame, runs: DataFrame, contents: DataFrame) -> DataFrame:
-    """What a map gets for each request: the tile's bytes, or the missing-tile rule.
+    """What a map gets for each request: the tile's bytes, the missing-tile rule, or an error.
 
-    A missing tile is empty bytes for vector archives (a tile without features) and NULL for raster ones. A found tile
-    whose content cannot be decoded is an error. ``contents`` hold (archive_id, offset, payload, error).
+    A missing tile is empty bytes for vector archives (a tile without features) and NULL for raster ones. An invalid
+    address, a directory that could not be read and a found tile whose content cannot be decoded are errors. ``runs`` are
+    those of ``flatten_tree``; ``contents`` hold (archive_id, offset, length, payload, error), one row per stored range.
     """
-    types = archives.select("archive_id", F.col("tile_type").isin(1, 6).alias("is_vector"), "min_zoom", "max_zoom")
-    gated = requests.join(types, "archive_id", "left")
-    inside = F.coalesce(F.col("z").between(F.col("min_zoom"), F.col("max_zoom")), F.lit(False))
-    # A NULL target matches no run, so out-of-zoom requests skip the lookup.
-    gated = gated.withColumn("_asked", F.when(inside, F.col("target")))
-    hits = hit_join(gated.select("archive_id", "_asked").filter("_asked IS NOT NULL").distinct(),
-                    runs.select("archive_id", "run_start", "run_end", "offset", "length"), target="_asked")
-    hits = hits.drop("run_start", "run_end").join(contents, ["archive_id", "offset"], "left")
-    out = gated.join(hits, ["archive_id", "_asked"], "left")
-    found = F.col("offset").isNotNull()
-    failed = found & F.col("payload").isNull()
-    status = F.when(failed, "error").when(found, "found").otherwise("missing")
-    data = F.when(found, F.col("payload")).when(F.col("is_vector"), F.lit(b"").cast("binary"))
-    return out.withColumns({"status": status, "found": found, "data": data}).drop(
-        "_asked", "min_zoom", "max_zoom", "payload")
+    looked = lookup_flattened(requests, archives, runs)
+    types = archives.select("archive_id", F.col("tile_type").isin(1, 6).alias("is_vector"))
+    hit = looked.filter("status = 'found'").join(contents, ["archive_id", "offset", "length"], "left").withColumn(
+        "status", F.when(F.col("payload").isNull(), "error").otherwise("found"))
+    empty = F.lit(None).cast("binary")
+    other = looked.filter("status <> 'found'").withColumns({
+        "status": F.when(F.col("status").isin("invalid", "error"), "error").otherwise("missing"), "payload": empty})
+    out = hit.withColumn("found", F.lit(True)).unionByName(other.withColumn("found", F.lit(False)), allowMissingColumns=True)
+    data = F.when(F.col("status") == "found", F.col("payload")).when((F.col("status") == "missing") & F.col("is_vector"), F.lit(b"").cast("binary"))
+    return out.join(types, "archive_id", "left").withColumn("data", data).drop("payload")
+

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.functions.common import lng
-from tesserix.functions.payload import content_range_total, is_mixed_content
+from tesserix.functions.payload import is_mixed_content, refused_range_total
 from tesserix.operators.archive import FIRST_READ, HEADER_SIZE, SECTIONS
 from tesserix.operators.ordered import exclusive_scan
 
@@ -139,8 +139,8 @@ def _last() -> Column:
 
 def range_outcome() -> Column:
     """What the responses of a range read amount to; NULL for reads that made none."""
-    total = content_range_total(_first()["headers"]["content-range"])
-    length = _last()["headers"]["content-length"].cast("bigint")
+    total = refused_range_total(_first()["headers"]["content-range"])
+    length = _last()["headers"]["content-length"].try_cast("bigint")
     status = _last()["status"]
     retried = (F.col("offset") == 0) & (_first()["status"] == 416)
     return (F.when(F.coalesce(F.size("exchanges"), F.lit(0)) < 1, F.lit(None).cast("string"))
@@ -162,8 +162,9 @@ def failure_class(page: str = "page_url") -> Column:
 
 
 def etag_changes(reads: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
-    """Reads whose strong ETag differs from the first strong one seen for the same file. Weak ones are ignored."""
-    tag = _last()["headers"]["etag"]
+    """Reads whose strong ETag differs from the first strong one seen for the same file. Weak ones are ignored, and so are
+    those of responses that were not accepted."""
+    tag = F.when(range_outcome().isin("ok", "ok-after-416", "whole-file"), _last()["headers"]["etag"])
     strong = reads.withColumn("etag", F.when(~tag.startswith("W/"), tag)).filter("etag IS NOT NULL")
     strong = strong.select(*keys, order, "etag")
     firsts = strong.groupBy(*keys).agg(F.min_by("etag", order).alias("first_etag"))

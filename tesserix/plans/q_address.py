@@ -128,7 +128,7 @@ FROM t_tiles""", "t_tiles")
 
 def run_regions(spark: SparkSession, d: str) -> DataFrame:
     """The area of every run on the map as one multi-polygon, checked through its outlines."""
-    e = T.entries(spark, d).selectExpr("archive_id", "tile_id", "tile_id + run_length AS stop").filter("stop - tile_id > 1")
+    e = T.entries(spark, d).selectExpr("archive_id", "tile_id", "tile_id + run_length AS stop")
     b = B.range_blocks(e, "tile_id", "stop")
     # A run has at most six squares per zoom level, so this list is short whatever the run's length.
     g = b.groupBy("archive_id", "tile_id").agg(F.collect_list(F.struct(F.col("block_z").alias("z"), "x0", "y0", "size")).alias("l"))
@@ -140,8 +140,7 @@ def run_regions(spark: SparkSession, d: str) -> DataFrame:
 
 RUN_REGIONS_SQL = f"""SELECT archive_id, tile_id, count(*)::BIGINT AS n_squares,
   round(sum(size * 360.0::DOUBLE / (1::BIGINT << block_z)), 6) AS sum_width FROM ({RANGE_BLOCKS_SQL})
-WHERE (archive_id, tile_id) IN (SELECT (archive_id, tile_id) FROM ({T.with_tables('SELECT * FROM t_entries', 't_entries')})
-  WHERE run_length > 1) GROUP BY 1, 2"""
+GROUP BY 1, 2"""
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:

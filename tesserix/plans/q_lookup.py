@@ -59,8 +59,7 @@ BUCKETED_SQL = T.with_tables(
 
 def tree_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Root -> leaf walk over packed directories; leaf 2 of every third archive is missing, which is an error."""
-    tree = T.leaves(spark, d).filter("NOT (leaf_no = 2 AND archive_id % 3 = 0 AND dir_id >= 0)")
-    out = L.lookup_tree(T.requests(spark, d), T.archives(spark, d), tree, key_bits=T.KEY_BITS + 2)
+    out = L.lookup_tree(T.requests(spark, d), T.archives(spark, d), _damaged(spark, d), key_bits=T.KEY_BITS + 2)
     return out.groupBy("archive_id", "status", "depth").agg(
         F.count(F.lit(1)).alias("n"), F.sum("offset").alias("sum_offset"), F.sum("length").alias("sum_length"))
 
@@ -83,7 +82,7 @@ GROUP BY 1, 2, 3""", "t_requests", "t_archives", "t_leaves")
 
 def hit_join(spark: SparkSession, d: str) -> DataFrame:
     """Requests answered by the flattened tree: the same hits as walking it."""
-    runs = L.flatten_tree(T.leaves(spark, d))
+    runs = L.flatten_tree(T.leaves(spark, d)).filter("status = 'found'")
     return L.hit_join(T.requests(spark, d).filter("target IS NOT NULL"), runs).select(
         "request_id", "run_start", "run_end", "offset", "length")
 
@@ -94,15 +93,40 @@ FROM t_requests r JOIN t_placed e ON r.archive_id = e.archive_id AND r.target >=
   AND r.target < e.tile_id + e.run_length""", "t_requests", "t_placed")
 
 
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    """The directories without leaf 2 of every third archive."""
+    return T.leaves(spark, d).filter("NOT (leaf_no = 2 AND archive_id % 3 = 0 AND dir_id >= 0)")
+
+
+def flat_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The walk's answers from one interval join over the flattened tree, errors of a missing leaf included."""
+    out = L.lookup_flattened(T.requests(spark, d), T.archives(spark, d), L.flatten_tree(_damaged(spark, d)))
+    return out.select("request_id", "status", "offset", "length")
+
+
+FLAT_SQL = T.with_tables("""
+SELECT request_id, status, CASE WHEN status = 'found' THEN "offset" END AS "offset", CASE WHEN status = 'found' THEN length END AS length FROM (
+  SELECT r.request_id, e."offset", e.length,
+    CASE WHEN r.target IS NULL THEN 'invalid' WHEN a.archive_id IS NULL OR r.z NOT BETWEEN a.min_zoom AND a.max_zoom
+      THEN 'out-of-zoom' WHEN e.tile_id IS NULL THEN 'not-found'
+      WHEN e.leaf_no = 2 AND e.archive_id % 3 = 0 AND d.leaves > 1 THEN 'error'
+      WHEN r.target - e.tile_id < e.run_length THEN 'found' ELSE 'not-found' END AS status
+  FROM t_requests r LEFT JOIN t_archives a ON r.archive_id = a.archive_id
+  ASOF LEFT JOIN t_numbered e ON r.archive_id = e.archive_id AND r.target >= e.tile_id
+  LEFT JOIN t_leaf_dirs d ON e.archive_id = d.archive_id AND e.leaf_no = d.leaf_no)""", "t_requests", "t_archives", "t_leaves")
+
+
 def missing_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Valid requests no run answers, per archive and zoom."""
+    """Requests no run answers, per archive and zoom, those of no valid address apart."""
     runs = T.entries(spark, d).selectExpr("archive_id", "tile_id AS run_start", "tile_id + run_length AS run_end")
-    out = L.hit_join(T.requests(spark, d).filter("target IS NOT NULL"), runs, "left_anti")
-    return out.groupBy("archive_id", "z").agg(F.count(F.lit(1)).alias("n_missing"))
+    asked = T.requests(spark, d)
+    out = L.hit_join(asked.filter("target IS NOT NULL"), runs, "left_anti").unionByName(asked.filter("target IS NULL"))
+    return out.groupBy("archive_id", "z").agg(F.count("target").alias("n_missing"), F.count_if(F.col("target").isNull()).alias("n_invalid"))
 
 
 MISSING_SQL = T.with_tables("""
-SELECT archive_id, z, count(*)::BIGINT AS n_missing FROM t_requests r WHERE target IS NOT NULL AND NOT EXISTS (
+SELECT archive_id, z, count(target)::BIGINT AS n_missing, count(*) FILTER (WHERE target IS NULL)::BIGINT AS n_invalid
+FROM t_requests r WHERE target IS NULL OR NOT EXISTS (
   SELECT 1 FROM t_tiles t WHERE t.archive_id = r.archive_id AND t.tile_id = r.target) GROUP BY 1, 2""",
                              "t_requests", "t_tiles")
 
@@ -110,29 +134,28 @@ SELECT archive_id, z, count(*)::BIGINT AS n_missing FROM t_requests r WHERE targ
 def _contents(placed: DataFrame) -> DataFrame:
     """Stored contents; those of some lengths are unreadable."""
     data = F.when(F.col("length") % 5 != 0, F.encode("content", "UTF-8"))
-    return placed.groupBy("archive_id", "offset").agg(F.min("content").alias("content"), F.min("length").alias("length")).select(
-        "archive_id", "offset", data.alias("payload"), F.when(data.isNull(), "cannot decompress").alias("error"))
+    return placed.groupBy("archive_id", "offset", "length").agg(F.min("content").alias("content")).select(
+        "archive_id", "offset", "length", data.alias("payload"), F.when(data.isNull(), "cannot decompress").alias("error"))
 
 
 def map_tiles(spark: SparkSession, d: str) -> DataFrame:
     """What a map gets for each request: bytes, the missing-tile rule, or an error."""
-    placed = T.placed(spark, d)
-    runs = placed.selectExpr("archive_id", "tile_id AS run_start", "tile_id + run_length AS run_end", "offset", "length")
-    out = L.fetch_tiles(T.requests(spark, d), T.archives(spark, d), runs, _contents(placed))
+    out = L.fetch_tiles(T.requests(spark, d), T.archives(spark, d), L.flatten_tree(_damaged(spark, d)), _contents(T.placed(spark, d)))
     return out.select("request_id", "status", "found", F.octet_length("data").cast("bigint").alias("data_length"),
                       F.md5("data").alias("data_md5"))
 
 
 MAP_TILES_SQL = T.with_tables("""
-SELECT r.request_id, CASE WHEN e.tile_id IS NULL THEN 'missing' WHEN e.length % 5 = 0 THEN 'error' ELSE 'found' END AS status,
-  e.tile_id IS NOT NULL AS found,
-  CASE WHEN e.tile_id IS NULL THEN CASE WHEN a.tile_type IN (1, 6) THEN 0 END
-    WHEN e.length % 5 <> 0 THEN strlen(e.content) END::BIGINT AS data_length,
-  CASE WHEN e.tile_id IS NULL THEN CASE WHEN a.tile_type IN (1, 6) THEN md5('') END
-    WHEN e.length % 5 <> 0 THEN md5(e.content) END AS data_md5
-FROM t_requests r LEFT JOIN t_archives a ON r.archive_id = a.archive_id
-LEFT JOIN t_placed e ON r.archive_id = e.archive_id AND r.z BETWEEN a.min_zoom AND a.max_zoom
-  AND r.target >= e.tile_id AND r.target < e.tile_id + e.run_length""", "t_requests", "t_archives", "t_placed")
+SELECT request_id, CASE looked WHEN 'found' THEN CASE WHEN length % 5 = 0 THEN 'error' ELSE 'found' END ELSE looked END AS status, looked = 'found' AS found,
+  CASE WHEN looked = 'found' AND length % 5 <> 0 THEN strlen(content) WHEN looked = 'missing' AND vector THEN 0 END::BIGINT AS data_length,
+  CASE WHEN looked = 'found' AND length % 5 <> 0 THEN md5(content) WHEN looked = 'missing' AND vector THEN md5('') END AS data_md5 FROM (
+  SELECT r.request_id, e.length, e.content, a.tile_type IN (1, 6) AS vector,
+    CASE WHEN r.target IS NULL THEN 'error' WHEN a.archive_id IS NULL OR r.z NOT BETWEEN a.min_zoom AND a.max_zoom OR e.tile_id IS NULL THEN 'missing'
+      WHEN e.leaf_no = 2 AND e.archive_id % 3 = 0 AND d.leaves > 1 THEN 'error'
+      WHEN r.target - e.tile_id < e.run_length THEN 'found' ELSE 'missing' END AS looked
+  FROM t_requests r LEFT JOIN t_archives a ON r.archive_id = a.archive_id
+  ASOF LEFT JOIN t_numbered e ON r.archive_id = e.archive_id AND r.target >= e.tile_id
+  LEFT JOIN t_leaf_dirs d ON e.archive_id = d.archive_id AND e.leaf_no = d.leaf_no)""", "t_requests", "t_archives", "t_leaves")
 
 
 def map_request_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +171,7 @@ QUERIES = {
     "floor_entries": (floor_entries, FLOOR_SQL),
     "bucketed_lookup_equals_plain": (bucketed_lookup_equals_plain, BUCKETED_SQL),
     "tree_lookup": (tree_lookup, TREE_SQL),
+    "flat_lookup": (flat_lookup, FLAT_SQL),
     "hit_join": (hit_join, HIT_SQL),
     "missing_requests": (missing_requests, MISSING_SQL),
     "map_tiles": (map_tiles, MAP_TILES_SQL),

@@ -85,22 +85,28 @@ GROUP BY 1, 2, 3""", "t_payloads")
 
 
 def decompress_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Documents stored with gzip, zstd or nothing and read back; some are cut short or declare a codec nobody has."""
-    doc = T.read(spark, d, "documents").filter("n_chars > 0").selectExpr(
+    """Documents stored with gzip, zstd or nothing, some in two members or frames, and read back; some are cut short or
+    declare a codec nobody has."""
+    doc = T.read(spark, d, "documents").selectExpr(
         "doc_id", "encode(text, 'UTF-8') AS data", "CAST(element_at(array(0, 1, 2, 4, 3, 7), CAST(doc_id % 6 + 1 AS INT)) AS INT) AS codec")
-    stored = compress(doc, "data", "codec", "raw").withColumn(
+    half = F.expr("CAST(octet_length(data) div 2 AS INT)")
+    doc = doc.withColumns({"two": F.col("doc_id") % 5 == 1, "half": half})
+    doc = doc.selectExpr("doc_id", "codec", "CASE WHEN two THEN substring(data, 1, half) ELSE data END AS head",
+                         "CASE WHEN two THEN substring(data, half + 1, octet_length(data)) END AS tail")
+    stored = compress(compress(doc.filter("tail IS NOT NULL"), "head", "codec", "a"), "tail", "codec", "b").withColumn("raw", F.concat("a", "b"))
+    stored = stored.unionByName(compress(doc.filter("tail IS NULL"), "head", "codec", "raw"), allowMissingColumns=True).withColumn(
         "raw", F.when((F.col("doc_id") % 7 == 5) & F.col("codec").isin(2, 4), F.expr("substring(raw, 1, octet_length(raw) - 5)")).otherwise(F.col("raw")))
     out = decompress(stored.select("doc_id", "codec", "raw"), "raw", "codec")
-    return out.select("doc_id", "codec", F.md5("payload").alias("md5"), "error",
-                      F.when(F.col("codec").isin(0, 1) | (F.octet_length("payload") > 200),
-                             P.size_ratio(F.octet_length("raw"), F.octet_length("payload")) >= 1).alias("as_small"))
+    return out.select("doc_id", "codec", F.md5("payload").alias("md5"), "error", F.octet_length("payload").cast("bigint").alias("n_bytes"),
+                      F.when(F.col("codec").isin(0, 1), P.size_ratio(F.octet_length("raw"), F.octet_length("payload"))).cast("double").alias("plain_ratio"))
 
 
 DECOMPRESS_SQL = """
 SELECT doc_id, codec, CASE WHEN error IS NULL THEN md5(text) END AS md5, error,
-  CASE WHEN error IS NULL THEN CASE WHEN codec IN (0, 1) OR strlen(text) > 200 THEN TRUE END END AS as_small FROM (
+  CASE WHEN error IS NULL THEN strlen(text) END::BIGINT AS n_bytes,
+  CASE WHEN codec IN (0, 1) AND strlen(text) > 0 THEN 1.0 END::DOUBLE AS plain_ratio FROM (
   SELECT *, CASE WHEN codec IN (3, 7) THEN 'unsupported' WHEN codec IN (2, 4) AND doc_id % 7 = 5 THEN 'broken' END AS error FROM (
-    SELECT *, [0, 1, 2, 4, 3, 7][doc_id % 6 + 1]::INTEGER AS codec FROM documents WHERE n_chars > 0))"""
+    SELECT *, [0, 1, 2, 4, 3, 7][doc_id % 6 + 1]::INTEGER AS codec FROM documents))"""
 
 
 def _be(value: Column, width: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserix.functions.payload import is_mixed_content
 from tesserix.operators import lookup as L
 from tesserix.operators import reads as R
+from tesserix.operators.lookup import zoom_gate
 from tesserix.operators.ordered import floor_join
 from tesserix.plans import tables as T
 from tesserix.streaming import read_totals as S
@@ -123,10 +124,11 @@ def read_budget(spark: SparkSession, d: str) -> DataFrame:
     sizes = tree.filter("run_length = 0").select("archive_id", F.col("offset").alias("dir_id"), F.col("length").alias("leaf_bytes"))
     runs = tree.filter("run_length > 0").join(sizes, ["archive_id", "dir_id"], "left").select(
         "archive_id", "tile_id", "run_length", F.col("length").alias("tile_bytes"), F.when(F.col("dir_id") >= 0, F.col("dir_id")).alias("leaf_id"), "leaf_bytes")
-    asked = T.requests(spark, d).filter("valid").select("request_id", "archive_id", "target")
+    asked = zoom_gate(T.requests(spark, d), T.archives(spark, d))
+    asked = asked.select("request_id", "archive_id", F.when(F.col("in_zoom"), F.col("target")).alias("target"))
     found = floor_join(asked, runs, ["archive_id"], "target", "tile_id", "e", key_bits=T.KEY_BITS + 2)
     hit = F.col("target") - F.col("e.tile_id") < F.col("e.run_length")
-    traces = found.filter("e IS NOT NULL").select(
+    traces = found.select(
         F.col("request_id").alias("id"), F.col("archive_id").alias("session_id"), F.lit(16384).cast("bigint").alias("open_bytes"),
         "e.leaf_id", "e.leaf_bytes", F.when(hit, F.col("e.tile_bytes")).alias("tile_bytes"))
     return R.read_budget(traces).select("session_id", "id", "how", "cold_bytes", "fresh_bytes")
@@ -135,11 +137,31 @@ def read_budget(spark: SparkSession, d: str) -> DataFrame:
 BUDGET_SQL = T.with_tables("""
 , t AS (SELECT r.request_id AS id, r.archive_id AS session_id, CASE WHEN d.leaves > 1 THEN d.leaf_no END AS leaf,
     CASE WHEN d.leaves > 1 THEN d.length END AS leaf_bytes, CASE WHEN r.target - e.tile_id < e.run_length THEN e.length END AS tile_bytes
-  FROM t_requests r ASOF JOIN t_numbered e ON r.archive_id = e.archive_id AND r.target >= e.tile_id
-  JOIN t_leaf_dirs d ON e.archive_id = d.archive_id AND e.leaf_no = d.leaf_no WHERE r.valid),
+  FROM (SELECT r.request_id, r.archive_id, CASE WHEN r.z BETWEEN a.min_zoom AND a.max_zoom THEN r.target END AS target
+    FROM t_requests r LEFT JOIN t_archives a ON r.archive_id = a.archive_id) r
+  ASOF LEFT JOIN t_numbered e ON r.archive_id = e.archive_id AND r.target >= e.tile_id
+  LEFT JOIN t_leaf_dirs d ON e.archive_id = d.archive_id AND e.leaf_no = d.leaf_no),
 h AS (SELECT *, CASE WHEN leaf IS NOT NULL THEN CASE WHEN row_number() OVER (PARTITION BY session_id, leaf ORDER BY id) = 1 THEN 'read' ELSE 'cache' END END AS how FROM t)
 SELECT session_id, id, how, 16384 + coalesce(leaf_bytes, 0) + coalesce(tile_bytes, 0) AS cold_bytes,
-  CASE WHEN how = 'read' THEN leaf_bytes ELSE 0 END + coalesce(tile_bytes, 0) AS fresh_bytes FROM h""", "t_requests", "t_numbered", "t_leaf_dirs")
+  CASE WHEN how = 'read' THEN leaf_bytes ELSE 0 END + coalesce(tile_bytes, 0) AS fresh_bytes FROM h""", "t_requests", "t_archives", "t_numbered", "t_leaf_dirs")
+
+
+def read_budget_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per archive: requests, and exact percentiles of what they cost cold and added. Costs are grouped by value first, so an
+    archive with most of the requests brings one row per different cost."""
+    b = read_budget(spark, d)
+
+    def shares(column: str) -> DataFrame:
+        few = b.groupBy("session_id", column).agg(F.count(F.lit(1)).alias("c"))
+        return few.groupBy("session_id").agg(F.sum("c").alias("n"), F.sum(F.col(column) * F.col("c")).alias(f"sum_{column}"), *[
+            F.percentile(column, p, F.col("c")).alias(f"{column}_p{int(100 * p)}") for p in (0.5, 0.9, 0.99)])
+
+    return shares("cold_bytes").join(shares("fresh_bytes").drop("n"), "session_id")
+
+
+BUDGET_SUMMARY_SQL = "SELECT session_id, count(*)::BIGINT AS n, " + ", ".join(
+    f"sum({c})::BIGINT AS sum_{c}, " + ", ".join(f"quantile_cont({c}, {p})::DOUBLE AS {c}_p{int(100 * p)}" for p in (0.5, 0.9, 0.99))
+    for c in ("cold_bytes", "fresh_bytes")) + f" FROM ({BUDGET_SQL}) GROUP BY 1"
 
 
 def reads_of_traces(spark: SparkSession, d: str) -> DataFrame:
@@ -269,6 +291,7 @@ QUERIES = {
     "map_summary": (map_summary, MAP_SQL),
     "leaf_read_or_cache": (leaf_read_or_cache, LEAF_SQL),
     "read_budget": (read_budget, BUDGET_SQL),
+    "read_budget_summary": (read_budget_summary, BUDGET_SUMMARY_SQL),
     "reads_of_traces": (reads_of_traces, TRACES_SQL),
     "reads_by_section": (reads_by_section, BY_SECTION_SQL),
     "short_reads": (short_reads, SHORT_SQL),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,11 +31,28 @@ def build_session(app: str = "tesserix", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_OWN: list[str] = []
+
+
+def _own_folder() -> str:
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """A fresh path under ``spark.checkpoint.dir``.
+
+    Only a session whose tasks run in this very process may go without that setting: it gets a temporary folder, removed
+    at exit. On a cluster other machines would not see one, so its absence is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 

@@ -1,7 +1,7 @@
 """Data source over a folder of archives: one row per file with its first 16 KiB.
 
 Files are opened through pyarrow's file systems, so a path may be local or on an object store. Only the first bytes are
-read, whatever the size of the file; conditions on ``path`` are applied before any file is opened.
+read, whatever the size of the file; conditions on ``path`` (the full address) are applied before any file is opened.
 """
 
 from __future__ import annotations
@@ -42,13 +42,19 @@ class ArchiveReader(DataSourceReader):
 
         return all(holds(f) for f in self.conditions)
 
+    def _around(self, base: str) -> tuple[str, str]:
+        """What stands before and after the folder in the given address, so that a file's address keeps scheme and options."""
+        at = self.options["path"].find(base.rstrip("/"))
+        return ("", "") if at < 0 else (self.options["path"][:at], self.options["path"][at + len(base.rstrip("/")):].lstrip("/"))
+
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(self.options["path"])
         found = system.get_file_info(fs.FileSelector(base, recursive=True))
         ending = self.options.get("ending", "")
-        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(ending) and self._wanted(f.path))
+        before, after = self._around(base)
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(ending) and self._wanted(before + f.path + after))
         # One group per task: opening a file costs more than its 16 KiB.
         size = int(self.options.get("filesPerTask", "256"))
         return [FileGroup(files[i:i + size]) for i in range(0, len(files), size)] or [FileGroup([])]
@@ -56,11 +62,12 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, _ = fs.FileSystem.from_uri(self.options["path"])
+        system, base = fs.FileSystem.from_uri(self.options["path"])
+        before, after = self._around(base)
         rows = []
         for path, size in partition.files:
             with system.open_input_file(path) as f:
-                rows.append((path, size, f.read_at(min(FIRST_READ, size), 0)))
+                rows.append((before + path + after, size, f.read_at(min(FIRST_READ, size), 0)))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
             names=["path", "file_size", "blob"])

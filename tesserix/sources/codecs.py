@@ -23,9 +23,14 @@ def _plain(blob: bytes, codec: int) -> tuple[bytes | None, str | None]:
         if codec == 4:
             import zstandard
 
-            reader = zstandard.ZstdDecompressor().decompressobj()
-            out = reader.decompress(blob)
-            return (out, None) if reader.eof else (None, "broken")
+            parts, rest = [], blob
+            while rest or not parts:  # a value may be several frames in a row; bytes that are no frame break it
+                reader = zstandard.ZstdDecompressor().decompressobj()
+                parts.append(reader.decompress(rest))
+                if not reader.eof:
+                    return None, "broken"
+                rest = reader.unused_data
+            return b"".join(parts), None
     except ImportError:
         return None, "unsupported"
     except (OSError, EOFError, zlib.error):
@@ -43,13 +48,28 @@ def decompress(df: DataFrame, blob: str, codec: str, payload: str = "payload", e
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [_plain(b, c) for b, c in zip(batch.column(blob).to_pylist(), batch.column(codec).to_pylist())]
-            columns = [*batch.columns, pa.array([p for p, _ in pairs], pa.binary()), pa.array([e for _, e in pairs], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            values = (_plain(b.as_py(), c.as_py()) for b, c in zip(batch.column(blob), batch.column(codec)))
+            yield from with_values(batch, values, schema.names)
 
     return df.mapInArrow(step, schema)
 
 
+#: Bytes of new values given out at once.
+BATCH_BYTES = 64 << 20
+
+
+def with_values(batch: pa.RecordBatch, values: Iterator[tuple[bytes | None, str | None]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` with one (bytes, text) each, in batches that end once they hold ``BATCH_BYTES``."""
+    at, held, size = 0, [], 0
+    for value in values:
+        held.append(value)
+        size += len(value[0] or b"")
+        if size >= BATCH_BYTES or at + len(held) == batch.num_rows:
+            rows = batch.slice(at, len(held))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([v for v, _ in held], pa.binary()), pa.array([e for _, e in held], pa.string())], names=names)
+            at, held, size = at + len(held), [], 0
+
+
 def compress(df: DataFrame, text: str, codec: str, out: str) -> DataFrame:
     """Counterpart used to build derived tables and test archives; codecs other than 2 and 4 leave the bytes alone."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])

@@ -19,7 +19,7 @@ from tesserix.operators.directory import decode_entries, decode_values, director
 from tesserix.operators.lookup import MAX_DEPTH, ROOT
 from tesserix.session import cut_lineage
 from tesserix.sources.archive_source import read_first_bytes
-from tesserix.sources.codecs import decompress
+from tesserix.sources.codecs import decompress, with_values
 
 
 def scan_archives(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
@@ -41,22 +41,31 @@ def read_ranges(df: DataFrame, offset: str, length: str, out: str = "blob", path
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        name, handle = None, None
-        for batch in batches:
-            blobs, errors = [], []
-            for p, o, n in zip(*(batch.column(c).to_pylist() for c in (path, offset, length))):
+        name, handle, size = None, None, 0
+
+        def one(p: str, o: int | None, n: int | None) -> tuple[bytes | None, str | None]:
+            nonlocal name, handle, size
+            if o is None or n is None or o < 0 or n < 0:
+                return None, "bad-range"
+            if p != name:
+                # A file system that cannot be opened fails the job; only a file or a range can be bad data.
+                system, inner = fs.FileSystem.from_uri(p)
+                name = None
                 try:
-                    if p != name:
-                        system, inner = fs.FileSystem.from_uri(p)
-                        name, handle = p, system.open_input_file(inner)
-                    data = handle.read_at(n, o)
-                    blobs.append(data)
-                    errors.append(None if len(data) == n else "short-read")
-                except (OSError, ValueError) as e:
-                    name, handle = None, None
-                    blobs.append(None)
-                    errors.append(type(e).__name__)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blobs, pa.binary()), pa.array(errors, pa.string())], names=schema.names)
+                    handle = system.open_input_file(inner)
+                    name, size = p, handle.size()
+                except OSError as e:
+                    return None, type(e).__name__
+            try:  # a declared length may be nonsense; what the file holds bounds the read
+                data = handle.read_at(max(0, min(n, size - o)), min(o, size))
+            except OSError as e:
+                name = None
+                return None, type(e).__name__
+            return data, None if len(data) == n else "short-read"
+
+        for batch in batches:
+            values = (one(p, o, n) for p, o, n in zip(*(batch.column(c).to_pylist() for c in (path, offset, length))))
+            yield from with_values(batch, values, schema.names)
 
     return rows.mapInArrow(step, schema)
 
@@ -68,7 +77,8 @@ def read_directories(archives: DataFrame, first_tile: int | None = None, end_til
     """(entries, problems) of all readable archives, level by level, at most four.
 
     With a tile id range, leaves that cannot hold a tile of it are never read. ``problems`` lists rule violations and
-    directories that could not be read: (archive_id, dir_id, issue, i). An empty leaf is an error, an empty root is not.
+    directories that could not be read: (archive_id, dir_id, issue, i). An empty leaf is an error, an empty root is not; a leaf
+    below the deepest level is ``too-deep``, one that parents give different lengths ``conflicting-lengths``.
     """
     a = archives.filter("reason IS NULL").select("archive_id", "path", "blob", "root_offset", "root_length", "leaf_offset", "internal_compression")
     inside = F.col("root_offset") + F.col("root_length") <= F.octet_length("blob")
@@ -87,7 +97,10 @@ def read_directories(archives: DataFrame, first_tile: int | None = None, end_til
         problems.append(got.filter(fatal.isNotNull()).select(*_DIR, fatal.alias("issue"), F.lit(None).cast("bigint").alias("i")))
         problems.append(directory_issues(got, rows, _DIR))
         leaves = rows.filter("run_length = 0")
-        if depth == MAX_DEPTH - 1 or leaves.isEmpty():
+        if depth == MAX_DEPTH - 1:
+            problems.append(leaves.select("archive_id", F.col("offset").alias("dir_id"), F.lit("too-deep").alias("issue"), "i"))
+            break
+        if leaves.isEmpty():
             break
         nxt = rows.select(*_DIR, (F.col("i") - 1).alias("i"), F.col("tile_id").alias("_next"))
         leaves = leaves.join(nxt, [*_DIR, "i"], "left").join(got.select(*_DIR, "upper"), _DIR).withColumn("upper", F.coalesce("_next", "upper"))
@@ -95,7 +108,12 @@ def read_directories(archives: DataFrame, first_tile: int | None = None, end_til
             leaves = leaves.filter(F.col("tile_id") < end_tile)
         if first_tile is not None:
             leaves = leaves.filter(F.col("upper").isNull() | (F.col("upper") > first_tile))
-        leaves = leaves.select("archive_id", F.col("offset").alias("dir_id"), "length", "upper").dropDuplicates(_DIR)
+        # Parents may disagree about one leaf: the longest read and the widest interval count, and the conflict is told.
+        leaves = leaves.groupBy("archive_id", F.col("offset").alias("dir_id")).agg(
+            F.max("length").alias("length"), (F.min("length") != F.max("length")).alias("_differ"),
+            F.when(F.count("upper") == F.count("*"), F.max("upper")).alias("upper"))
+        problems.append(leaves.filter("_differ").select(*_DIR, F.lit("conflicting-lengths").alias("issue"), F.lit(None).cast("bigint").alias("i")))
+        leaves = leaves.drop("_differ")
         todo = leaves.join(base, "archive_id").withColumn("_at", F.col("leaf_offset") + F.col("dir_id"))
         level = read_ranges(todo, "_at", "length", "raw").select(*cols)
 

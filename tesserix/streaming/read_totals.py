@@ -17,12 +17,15 @@ def running_totals(reads: DataFrame, keys: list[str]) -> DataFrame:
     return reads.groupBy(*keys).agg(F.sum("received").alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
-def first_leaf_reads(reads: DataFrame) -> DataFrame:
+def first_leaf_reads(reads: DataFrame, time: str | None = None, within: str = "1 hour") -> DataFrame:
     """First successful read of every leaf in a session as it arrives; later ones come from the cache.
 
-    State is one row per (session, leaf), the leaves held in memory by open sessions.
+    State is one row per (session, leaf). With an event time column the state of a leaf is dropped ``within`` after its
+    first read, which should be longer than a session lasts; without one it is kept for good, for streams that end.
     """
     leaves = reads.filter("purpose = 'leaf-directory' AND error_kind IS NULL")
+    if time:
+        return leaves.withWatermark(time, within).dropDuplicatesWithinWatermark(["session_id", "leaf_id"])
     return leaves.dropDuplicates(["session_id", "leaf_id"])
 
 
@@ -38,6 +41,8 @@ def drain(stream: DataFrame, name: str, mode: str) -> str:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
 
+    # An empty log makes no batch; the reader still finds the columns.
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(os.path.join(out, "batch=-1"))
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", os.path.join(base, "state")).trigger(availableNow=True).start())
     query.awaitTermination()

@@ -89,8 +89,10 @@ def test_tree_depth_limit_and_flattening(spark):
     req = spark.createDataFrame([(t, 1, 3, t) for t in (4, 5, 20, 49, 50, 53, 54, 95)], "request_id long, archive_id long, z int, target long")
     got = {r.target: r.status for r in L.lookup_tree(req, arch, tree).collect()}
     assert got == {4: "not-found", 5: "error", 20: "found", 49: "found", 50: "found", 53: "found", 54: "not-found", 95: "error"}
-    flat = sorted((r.run_start, r.run_end) for r in L.flatten_tree(tree).collect())
-    assert flat == [(20, 50), (50, 54)]
+    runs = L.flatten_tree(tree)
+    flat = sorted((r.run_start, min(r.run_end, 999), r.status) for r in runs.collect())
+    assert flat == [(5, 20, "error"), (20, 50, "found"), (50, 54, "found"), (90, 999, "error")]
+    assert {r.target: r.status for r in L.lookup_flattened(req, arch, runs).collect()} == got
 
 
 def test_varint(spark):
