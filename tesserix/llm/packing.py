@@ -37,6 +37,17 @@ _WORDS: dict[str, dict[bytes, bytes]] = {}
 _TOKENIZERS: dict = {}
 
 
+_SIGNS = b".,!?;:#$%&*)"
+
+
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """Pieces of a word that the tokenizer reads apart from each other: it lower-cases, and signs after a letter are their own."""
+    core = word.rstrip(_SIGNS)
+    if core and len(core) < len(word) and core.decode()[-1].isalpha():
+        return core.lower(), word[len(core):]
+    return (word.lower(),)
+
+
 class WordEncoder:
     """Ids of a text, word by word. The tokenizer drops white space and never joins over it, so the ids of a text are those
     of its words in turn; words seen before come from a table that lives as long as the worker and is emptied when full."""
@@ -47,24 +58,41 @@ class WordEncoder:
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = Tokenizer.from_file(path)
         self.tokenizer, self.known = _TOKENIZERS[path], _WORDS.setdefault(path, {})
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + 2 * len(new) > CACHE_WORDS:
+            known.clear()
             new = list(words)
-        plain = [w.decode() for w in new if b"<|" not in w]
-        for at in range(0, len(plain), 1000):
-            some = plain[at:at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([_SEPARATOR.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == _SEPARATOR_ID)
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(some, [*(4 * ends).tolist(), len(raw)], strict=True):
-                self.known[w.encode()] = raw[a:b]
-                a = b + 4
+        parts = {w: _parts(w) for w in new if b"<|" not in w}
+        plain = list({p for both in parts.values() for p in both if p not in known})
+        for at in range(0, len(plain), 2000):
+            self._encode(plain[at:at + 2000])
+        for w, both in parts.items():
+            known[w] = b"".join([known[p] for p in both])
         for w in new:
             if b"<|" in w:
-                self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Many words in one call. A word of letters only is read as one, and its last id is one that ends words, so spaces
+        between such words are enough; others are set apart by a special token."""
+        texts = [w.decode() for w in words]
+        for letters in (True, False):
+            some = [(w, t) for w, t in zip(words, texts) if t.isalpha() == letters]
+            if not some:
+                continue
+            joined = (" " if letters else _SEPARATOR).join([t for _, t in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            raw = ids.tobytes()
+            ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1) if letters else 4 * np.append(np.flatnonzero(ids == _SEPARATOR_ID), len(ids))
+            a, gap = 0, 0 if letters else 4
+            for (w, _), b in zip(some, ends.tolist(), strict=True):
+                self.known[w] = raw[a:b]
+                a = b + gap
 
     def places(self, words: list[bytes], end_id: int) -> tuple[list[int], list[int], list[int]]:
         """Where this document may be cut: ids before each place, CRC-32 of them, and what kind of place (2 end, 1 sentence, 0 forced)."""
