@@ -84,7 +84,7 @@ def curve_shards(df: DataFrame, columns: list[str], ties: list[str], shards: int
     n = df.count()
     placed = running(with_curve(df, columns, bits).withColumn("_one", F.lit(1)), ["curve", *ties], "_one", out="_rank")
     # Shard s starts at row ceil(s * n / shards).
-    shard = F.expr(f"((_rank + 1) * {shards} - 1) div {max(n, 1)}")
+    shard = F.expr(f"(_rank * {shards}) div {max(n, 1)}")
     placed = placed.withColumn("shard", shard.cast("int"))
     return placed.withColumn("slot", F.expr(f"_rank - (shard * {n}L + {shards - 1}) div {shards}")).drop("_one", "_rank", "row_id")
 
