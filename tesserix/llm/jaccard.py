@@ -30,7 +30,7 @@ from tesserix.llm.components import components
 from tesserix.session import cut_lineage
 
 #: Longest extension of a prefix, and what a verification costs in postings read.
-MOST_MATCHES = 4
+MOST_MATCHES = 12
 VERIFY_COST = 8
 #: At most so many frequent n-grams are known to every task (8 bytes each); the others count as rare. It only sets the order.
 FREQUENT = 1 << 17
@@ -102,7 +102,7 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, hi, lo, prefix): size and digest of each document's set, and the longest prefix it may use, in order."""
+    """(doc_id, n, sid, prefix): size and digest of each document's set, and the longest prefix it may use, in order."""
     by_hash = np.argsort(frequent)
     shared = texts.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash.astype(np.uint64)))
 
@@ -112,9 +112,6 @@ def _sets(texts: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
             doc, h = gram_sets(*utf8(batch.column("text")), n)
             size = np.bincount(doc, minlength=batch.num_rows)
             ends = np.cumsum(size)
-            raw = h.tobytes()
-            sums = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * (e - k):8 * e], digest_size=16).digest()
-                                          for e, k in zip(ends.tolist(), size.tolist())), "<i8").reshape(-1, 2)
             key = h & ~_LAST
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -124,11 +121,16 @@ def _sets(texts: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
             wanted = np.minimum(size, size - overlap_needed(size, percent) + MOST_MATCHES)
             prefix = h[order][place < np.repeat(wanted, size)].view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()),
+                batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(_digests(h, size)),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wanted)]).astype(np.int32)), pa.array(prefix))],
-                names=["doc_id", "n", "hi", "lo", "prefix"])
+                names=["doc_id", "n", "sid", "prefix"])
 
-    return texts.mapInArrow(digest, f"doc_id {_id(texts)}, n long, hi long, lo long, prefix array<long>")
+    return texts.mapInArrow(digest, f"doc_id {_id(texts)}, n long, sid long, prefix array<long>")
+
+
+def _digests(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    raw, ends = h.tobytes(), np.cumsum(size).tolist()
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[8 * (e - k):8 * e], digest_size=8).digest() for e, k in zip(ends, size.tolist())), "<i8").copy()
 
 
 def _id(texts: DataFrame) -> str:
@@ -137,20 +139,30 @@ def _id(texts: DataFrame) -> str:
 
 def _postings(reps: DataFrame, percent: int) -> DataFrame:
     """(token, doc, n, most, fame): prefix tokens that at least two sets have, cut to the l (``most``) that costs least.
-    ``fame`` is the length of all posting lists a document is in."""
-    tokens = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("i", "token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    live = cut_lineage(tokens.join(df, "token"), "postings")
-    base = F.expr(f"n - ((n * {percent} + 99) div 100)")
-    sums = [F.sum(F.when(F.col("i") < base + k, F.col("df") - 1)).alias(f"c{k}") for k in range(1, MOST_MATCHES + 1)]
-    some = [F.count(F.when(F.col("i") < base + k, 1)).alias(f"m{k}") for k in range(1, MOST_MATCHES + 1)]
-    options = [F.struct(F.when(F.col(f"m{k}") < k, 0.0).otherwise(F.col(f"c{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("most"))
-               for k in range(1, MOST_MATCHES + 1)]
-    # A set must share as many tokens as it asks for with any partner.
-    options = [options[0], *[F.when(F.expr(f"n * {percent} > {k - 1} * 100"), o) for k, o in enumerate(options[1:], 2)]]
-    choice = live.groupBy("doc", "n").agg(*sums, *some, F.sum("df").alias("fame")).select(
-        "doc", F.array_min(F.array_compact(F.array(*options)))["most"].alias("most"), "fame")
-    return cut_lineage(live.join(choice, "doc").filter(F.col("i") < base + F.col("most")).select("token", "doc", "n", "most", "fame"), "prefixes")
+
+    A set with any partner shares k tokens of its k-th prefix, for every k it may use. Sets with fewer such tokens leave, and with
+    them the tokens that only they shared, until the second turn. ``fame`` is the length of all posting lists a set is in."""
+    need = F.expr(f"(n * {percent} + 99) div 100")
+    tokens = reps.select(F.col("sid").alias("doc"), (F.col("n") - need).alias("_base"), F.posexplode("prefix").alias("_i", "token"))
+    # The first prefix that holds the token.
+    live = tokens.select("token", "doc", F.greatest(F.lit(1), F.col("_i") - F.col("_base") + 1).cast("int").alias("level"))
+    for turn in range(2):
+        df = live.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        live = cut_lineage(live.join(df, "token"), "postings")
+        ks = range(1, MOST_MATCHES + 1)
+        sums = live.groupBy("doc").agg(F.sum("df").alias("fame"), *[F.sum(F.when(F.col("level") <= k, F.col("df") - 1)).alias(f"c{k}") for k in ks],
+                                       *[F.count(F.when(F.col("level") <= k, 1)).alias(f"m{k}") for k in ks])
+        sums = sums.join(reps.select(F.col("sid").alias("doc"), "n"), "doc").withColumn("_need", need)
+        # A set cannot ask for more than it must share.
+        enough = F.lit(True)
+        for k in ks:
+            enough = enough & ((F.col("_need") < k) | (F.col(f"m{k}") >= k))
+        costs = F.array(*[F.when(F.col("_need") >= k, F.struct((F.col(f"c{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("most"))) for k in ks])
+        choice = cut_lineage(sums.filter(enough).select("doc", "n", F.array_min(F.array_compact(costs))["most"].alias("most"), "fame"), "choice")
+        live = live.drop("df").join(choice, "doc")
+        if not turn:
+            live = live.select("token", "doc", "level")
+    return cut_lineage(live.filter("level <= most").select("token", "doc", "n", "most", "fame"), "prefixes")
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
@@ -177,35 +189,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_x.select("a", "b", "x", "y").mapInPandas(check, pairs.schema)
 
 
-def _grams(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc, grams): whole sets of the given documents, as packed hashes."""
+def _grams(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc, grams): the sets ``wanted`` (doc_id, sid), whole, as packed hashes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             doc, h = gram_sets(*utf8(batch.column("text")), n)
-            ends = np.cumsum(np.bincount(doc, minlength=batch.num_rows)).tolist()
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(
-                [raw[8 * a:8 * b] for a, b in zip([0, *ends], ends)], pa.binary())], names=["doc", "grams"])
+            size = np.bincount(doc, minlength=batch.num_rows)
+            right = np.flatnonzero(_digests(h, size) == batch.column("sid").to_numpy())  # rows of one id may hold other texts
+            raw, ends = h.tobytes(), np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(right)), pa.array(
+                [raw[8 * int(e - k):8 * int(e)] for e, k in zip(ends[right], size[right])], pa.binary())], names=["doc", "grams"])
 
-    return cut_lineage(texts.join(ids, "doc_id").select("doc_id", "text").mapInArrow(gather, f"doc {_id(texts)}, grams binary"), "grams")
+    return cut_lineage(texts.join(wanted, "doc_id").select("sid", "text").mapInArrow(gather, "doc long, grams binary"), "grams")
 
 
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: documents link when 100 * intersection >= percent * union."""
     texts = docs.select("doc_id", F.col(text).alias("text"))
     sets = cut_lineage(_sets(texts, n, percent, _frequent(texts, n)), "sets")
-    digest = ["n", "hi", "lo"]
-    rep = sets.filter("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    members = cut_lineage(sets.drop("prefix").join(rep, digest, "left"), "members")
-    reps = sets.join(rep.filter("rep IS NOT NULL").withColumnRenamed("rep", "doc_id"), [*digest, "doc_id"], "left_semi")
-    postings = _postings(reps.dropDuplicates([*digest, "doc_id"]), percent)
-
-    ids = postings.select(F.col("doc").alias("doc_id")).distinct()
-    grams = _grams(texts, ids, n).dropDuplicates(["doc"])
-
-    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_b")).filter("a < _b").drop("_b")
-    links = members.join(several, "doc_id").select("a", F.col("rep").alias("b"))
+    members = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
+    # Equal sets have equal prefixes, so any copy's will do.
+    reps = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = _postings(reps, percent)
+
+    first = members.filter("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    wanted = cut_lineage(first.join(postings.select(F.col("doc").alias("sid")).distinct(), "sid"), "wanted")
+    grams = _grams(texts, wanted, n)
+    if not members.join(wanted, ["sid", "doc_id"]).groupBy("sid").count().filter("count > 1").isEmpty():
+        grams = cut_lineage(grams.dropDuplicates(["doc"]), "grams")  # repeated rows
+
+    several = members.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("_b")).filter("doc_id IS NOT NULL AND a < _b").drop("_b")
+    links = members.filter("sid IS NOT NULL").join(several, "doc_id").select("a", F.col("sid").alias("b"))
     seen = None
     for turn in range(3):
         known = components(links) if turn else None
@@ -235,9 +250,10 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text")
         todo = cut_lineage(todo, "candidates")
         seen = todo if seen is None else seen.union(todo)
         links = cut_lineage(links.union(_verified(todo, grams, percent)), "links")
-    label = components(links)
-    return members.join(label, members["rep"] == label["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    label = first.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = label.join(least, "component").select("sid", "component_id")
+    return members.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
