@@ -1,7 +1,7 @@
 """Vector-tile geometry: integer command streams to points, rings and areas, and distances to them.
 
 All in-row array work. Steps that other steps read more than once are bound with ``let``, so each is computed once, and
-running sums go block by block, so a ring of n points costs about n * 64 operations and not n * n.
+folds that gather rows go block by block: a step appends to a short list, and only whole blocks are appended to the long one.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ def _upto(n: Column) -> Column:
 
 def _read_commands(ints: Column) -> Column:
     """STRUCT(cmds, issues): the commands in order, up to the first one that cannot be read."""
-    state = f"struct<pos:int,done:boolean,open:boolean,parts:int,cmds:array<{_CMD}>,issues:array<string>>"
     n = F.size(ints)
+    cmds, issues = f"array<{_CMD}>", "array<string>"
 
     def step(a: Column, _: Column) -> Column:
         def command(ci: Column) -> Column:
-            id_, count = ci.bitwiseAND(7).cast("int"), F.shiftright(ci, 3)
+            id_, count = ci.bitwiseAND(7).cast("int"), F.shiftright(ci, 3).cast("bigint")
             move, line, close = id_ == MOVE, id_ == LINE, id_ == CLOSE
             draws = move | line
             short = draws & (a["pos"] + 1 + count * 2 > n)
@@ -55,13 +55,23 @@ def _read_commands(ints: Column) -> Column:
             return F.struct(
                 (a["pos"] + 1 + F.when(draws, count * 2).otherwise(0)).cast("int").alias("pos"), (short | (~draws & ~close)).alias("done"),
                 (a["open"] | (adds > 0)).alias("open"), (a["parts"] + adds).cast("int").alias("parts"),
-                F.concat(a["cmds"], F.array(cmd)).alias("cmds"), F.concat(a["issues"], found).alias("issues")).cast(state)
+                F.concat(a["cmds"], F.array(cmd)).alias("cmds"), F.concat(a["issues"], found).alias("issues"))
 
         return F.when(a["done"] | (a["pos"] >= n), a).otherwise(let(F.get(ints, a["pos"]), command))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("done"), F.lit(False).alias("open"), F.lit(0).alias("parts"),
-                     F.array().alias("cmds"), F.array().alias("issues")).cast(state)
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step)
+    def state(a: Column | None, c: Column, i: Column) -> Column:
+        values = [F.lit(0), F.lit(False), F.lit(False), F.lit(0)] if a is None else [a[k] for k in ("pos", "done", "open", "parts")]
+        return F.struct(*[v.alias(k) for v, k in zip(values, ("pos", "done", "open", "parts"))], c.alias("cmds"), i.alias("issues"))
+
+    def block(a: Column, _: Column) -> Column:
+        fresh = state(a, F.array().cast(cmds), F.array().cast(issues))
+        read = F.aggregate(F.sequence(F.lit(1), F.lit(_BLOCK)), fresh, step)
+        more = let(read, lambda r: state(r, F.concat(a["cmds"], F.array(r["cmds"])), F.concat(a["issues"], F.array(r["issues"]))))
+        return F.when(a["done"] | (a["pos"] >= n), a).otherwise(more)
+
+    start = state(None, F.array().cast(f"array<{cmds}>"), F.array().cast(f"array<{issues}>"))
+    blocks = F.sequence(F.lit(1), F.greatest(F.ceil(n / F.lit(_BLOCK)).cast("int"), F.lit(1)))
+    return let(F.aggregate(blocks, start, block), lambda r: F.struct(F.flatten(r["cmds"]).alias("cmds"), F.flatten(r["issues"]).alias("issues")))
 
 
 def _deltas(ints: Column, cmds: Column) -> Column:
@@ -78,28 +88,27 @@ def _deltas(ints: Column, cmds: Column) -> Column:
     return F.flatten(F.transform(F.filter(cmds, lambda c: c["ok"]), points))
 
 
-def _absolute(deltas: Column) -> Column:
-    """Running sum of (x, y): blocks are summed on their own, then shifted by the sum of the blocks before."""
-    sums = f"struct<x:bigint,y:bigint,out:array<{_XY}>>"
-    zero = F.struct(lng(0).alias("x"), lng(0).alias("y"), F.array().alias("out")).cast(sums)
-
-    def xy(x: Column, y: Column) -> Column:
-        return F.struct(x.alias("x"), y.alias("y"))
+def _running_sums(values: Column) -> Column:
+    """ARRAY<BIGINT> of inclusive running sums: blocks on their own, then shifted by the sum of the blocks before."""
+    def grow(a: Column, last: Column) -> Column:
+        return F.struct(last.alias("last"), F.concat(a["out"], F.array(last)).alias("out"))
 
-    def block(items: Column) -> Column:
-        return F.aggregate(items, zero, lambda a, d: F.struct(
-            (a["x"] + d["x"]).alias("x"), (a["y"] + d["y"]).alias("y"),
-            F.concat(a["out"], F.array(xy(a["x"] + d["x"], a["y"] + d["y"]))).alias("out")).cast(sums))
+    none = F.struct(lng(0).alias("last"), F.array().cast("array<bigint>").alias("out"))
 
     def shift(blocks: Column) -> Column:
-        bases = F.aggregate(blocks, zero, lambda a, b: F.struct(
-            (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y"),
-            F.concat(a["out"], F.array(xy(a["x"], a["y"]))).alias("out")).cast(sums))["out"]
-        return F.flatten(F.zip_with(blocks, bases, lambda b, s: F.transform(b["out"], lambda p: xy(p["x"] + s["x"], p["y"] + s["y"]))))
+        ends = F.aggregate(blocks, none, lambda a, b: grow(a, a["last"] + b["last"]))["out"]
+        return F.flatten(F.zip_with(blocks, ends, lambda b, e: F.transform(b["out"], lambda v: v + e - b["last"])))
 
-    n_blocks = F.ceil(F.size(deltas) / F.lit(_BLOCK)).cast("int")
-    blocks = F.transform(_upto(n_blocks), lambda b: block(F.slice(deltas, b * _BLOCK + 1, F.lit(_BLOCK))))
-    return let(blocks, shift)
+    n_blocks = F.ceil(F.size(values) / F.lit(_BLOCK)).cast("int")
+    return let(F.transform(_upto(n_blocks), lambda k: F.aggregate(
+        F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK)), none, lambda a, v: grow(a, a["last"] + v))), shift)
+
+
+def _absolute(deltas: Column) -> Column:
+    """Points from differences."""
+    x = let(F.transform(deltas, lambda d: lng(d["x"])), _running_sums)
+    y = let(F.transform(deltas, lambda d: lng(d["y"])), _running_sums)
+    return F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
 
 
 def ring_area(points: Column) -> Column:
@@ -109,39 +118,38 @@ def ring_area(points: Column) -> Column:
     return F.aggregate(twice, lng(0), lambda s, v: s + v) / F.lit(2.0)
 
 
-_PART = f"struct<points:array<{_XY}>,closed:boolean,area:double,role:string,polygon:int>"
+def _flags(places: Column) -> Column:
+    """ARRAY<BOOLEAN> that is true at the given ascending places and ends with the last of them."""
+    gap = lambda p, i: p - F.when(i == 0, -1).otherwise(F.get(places, i - 1)) - 1
+    return F.flatten(F.transform(places, lambda p, i: F.concat(F.array_repeat(F.lit(False), gap(p, i).cast("int")), F.array(F.lit(True)))))
 
 
 def _parts(deltas: Column, cmds: Column, type_: Column) -> Column:
     def cut(points: Column) -> Column:
         starts = F.filter(F.transform(deltas, lambda d, i: F.when(d["start"], i)), lambda i: i.isNotNull())
-        closed = F.transform(F.filter(cmds, lambda c: c["part"].isNotNull()), lambda c: c["part"])
+        closed = F.array_distinct(F.transform(F.filter(cmds, lambda c: c["part"].isNotNull()), lambda c: c["part"]))
 
-        def build(s: Column, closed_parts: Column) -> Column:
+        def build(s: Column, is_closed: Column) -> Column:
             def one(begin: Column, j: Column) -> Column:
                 end = F.coalesce(F.get(s, j + 1), F.size(points))
                 piece = F.slice(points, begin + 1, end - begin)
-                return let(piece, lambda p: F.struct(p.alias("points"), F.array_contains(closed_parts, j).alias("closed"),
+                return let(piece, lambda p: F.struct(p.alias("points"), F.coalesce(F.get(is_closed, j), F.lit(False)).alias("closed"),
                                                      F.when(type_ == POLYGON, ring_area(p)).alias("area")))
 
             return F.transform(s, one)
 
-        return let(starts, lambda s: let(closed, lambda c: build(s, c)))
-
-    state = f"struct<n:int,out:array<{_PART}>>"
+        return let(starts, lambda s: let(let(closed, _flags), lambda c: build(s, c)))
 
     def label(parts: Column) -> Column:
         """Role from the sign of the area; a polygon is an exterior ring and the interior rings after it."""
+        exteriors = let(F.transform(parts, lambda p: lng(F.when(p["area"] > 0, 1).otherwise(0))), _running_sums)
 
-        def step(a: Column, p: Column) -> Column:
+        def one(p: Column, n: Column) -> Column:
             role = F.when(p["area"] > 0, "exterior").when(p["area"] < 0, "interior")
-            n = a["n"] + F.when(p["area"] > 0, 1).otherwise(0)
-            part = F.struct(p["points"].alias("points"), p["closed"].alias("closed"), p["area"].alias("area"), role.alias("role"),
-                            F.when(role.isNotNull() & (n > 0), n - 1).alias("polygon")).cast(_PART)
-            return F.struct(n.cast("int").alias("n"), F.concat(a["out"], F.array(part)).alias("out")).cast(state)
+            return F.struct(p["points"].alias("points"), p["closed"].alias("closed"), p["area"].alias("area"), role.alias("role"),
+                            F.when(role.isNotNull() & (n > 0), n - 1).cast("int").alias("polygon"))
 
-        start = F.struct(F.lit(0).alias("n"), F.array().alias("out")).cast(state)
-        return F.aggregate(parts, start, step)["out"]
+        return F.zip_with(parts, exteriors, one)
 
     return let(let(_absolute(deltas), cut), label)
 
