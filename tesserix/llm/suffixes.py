@@ -302,12 +302,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, text: str = "text", s
     """(texts that may hold repeats: uid, text; ranges: uid, low, high of begins of repeated windows)."""
     texts = _by_text(docs, text)
     found = cut_lineage(_anchor_rows(texts, length), "anchors")
-    several = found.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("anchor")
+    # Stored, so that the join has an exchange on either side and a frequent anchor's rows can be split over tasks.
+    several = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("anchor"), "several")
     runs = found.join(several, "anchor").groupBy("uid").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs"))
     suspects = cut_lineage(texts.select("uid", "text").join(runs, "uid"), "suspects")
     contexts = cut_lineage(_contexts(suspects, length, True).groupBy("anchor", "hi", "lo").agg(
         F.count("*").alias("times"), F.first("context").alias("context")), "contexts")
-    sizes = contexts.groupBy("anchor").agg(F.count("*").alias("_size")).filter("_size > 1")
+    sizes = cut_lineage(contexts.groupBy("anchor").agg(F.count("*").alias("_size")).filter("_size > 1"), "sizes")
     parted = contexts.join(sizes, "anchor").withColumn("part", F.expr(f"cast(pmod(hi, (_size + {shard_contexts - 1}) div {shard_contexts}) as int)"))
     whole = contexts.filter("times > 1").select("hi", "lo", "anchor", F.lit(0).alias("low"), (F.length("context") - length).alias("high"))
     marks = whole.union(_marks(parted, length))
