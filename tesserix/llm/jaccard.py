@@ -147,7 +147,8 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
     # The first prefix that holds the token.
     live = tokens.select("token", "doc", F.greatest(F.lit(1), F.col("_i") - F.col("_base") + 1).cast("int").alias("level"))
     for turn in range(2):
-        df = live.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        # Stored, so that the join has an exchange on either side and a frequent token's rows can be split over tasks.
+        df = cut_lineage(live.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "df")
         live = cut_lineage(live.join(df, "token"), "postings")
         ks = range(1, MOST_MATCHES + 1)
         sums = live.groupBy("doc").agg(F.sum("df").alias("fame"), *[F.sum(F.when(F.col("level") <= k, F.col("df") - 1)).alias(f"c{k}") for k in ks],
@@ -159,7 +160,7 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
             enough = enough & ((F.col("_need") < k) | (F.col(f"m{k}") >= k))
         costs = F.array(*[F.when(F.col("_need") >= k, F.struct((F.col(f"c{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("most"))) for k in ks])
         choice = cut_lineage(sums.filter(enough).select("doc", "n", F.array_min(F.array_compact(costs))["most"].alias("most"), "fame"), "choice")
-        live = live.drop("df").join(choice, "doc")
+        live = live.drop("df").join(choice, "doc")  # one row per document on the right
         if not turn:
             live = live.select("token", "doc", "level")
     return cut_lineage(live.filter("level <= most").select("token", "doc", "n", "most", "fame"), "prefixes")

@@ -26,7 +26,7 @@ from tesserix.session import cut_lineage
 
 CANDIDATE_ROWS, QUERY_ROWS = 4096, 1024
 #: Pairs computed in double precision at once.
-_PAIRS = 1 << 17
+_PAIRS = 1 << 15
 
 
 def usable(vector: str) -> Column:
@@ -61,6 +61,11 @@ def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return cut_lineage(blocks, "blocks"), count
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last, so equal rows give equal values anywhere."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
 def _tile(q: tuple, c: tuple, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each query of a tile: (query id, ids, scores) of its best k candidates there, best first."""
     (q_ids, qx, q_codes, q_stats), (c_ids, cx, c_codes, c_stats) = q, c
@@ -73,7 +78,7 @@ def _tile(q: tuple, c: tuple, k: int) -> list[tuple[int, np.ndarray, np.ndarray]
     low = np.where(own, -np.inf, about - error)
     enough = np.full(len(q_ids), -np.inf) if len(c_ids) <= k else -np.partition(-low, k - 1, axis=1)[:, k - 1]
     qi, ci = np.nonzero((about + error >= enough[:, None]) & ~own)
-    score = np.concatenate([np.zeros(0), *((qx[qi[a:a + _PAIRS]] * cx[ci[a:a + _PAIRS]]).sum(axis=1) for a in range(0, len(qi), _PAIRS))])
+    score = np.concatenate([np.zeros(0), *(_products(qx[qi[a:a + _PAIRS]], cx[ci[a:a + _PAIRS]]) for a in range(0, len(qi), _PAIRS))])
     order = np.lexsort((c_ids[ci], -score, qi))
     qi, ci, score = qi[order], ci[order], score[order]
     cut = np.searchsorted(qi, np.arange(len(q_ids) + 1))

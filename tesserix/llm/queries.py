@@ -14,7 +14,7 @@ from tesserix.llm.neighbours import nearest
 from tesserix.llm.packing import pack
 from tesserix.llm.secrets import secret_digest
 from tesserix.llm.sharding import shard_digest
-from tesserix.llm.sql import OP9
+from tesserix.llm.sql import OP3, OP4, OP6, OP9
 from tesserix.llm.suffixes import repeats_digest
 from tesserix.llm.toxicity import toxicity_digest
 
@@ -39,7 +39,8 @@ def op3_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Shards follow the files, so that a task meets whole shards; the text is moved once, with the answers.
     docs = documents(spark, sf_dir)
-    return backoff_scores(docs, shard=F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {SHARD_ROWS}")))
+    scores = backoff_scores(docs, shard=F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {SHARD_ROWS}")))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +72,10 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lexicon_toxicity": (op1_lexicon_toxicity, None),
     "op2_source_mixing": (op2_source_mixing, None),
-    "op3_block_neighbours": (op3_block_neighbours, None),
-    "op4_backoff_scores": (op4_backoff_scores, None),
+    "op3_block_neighbours": (op3_block_neighbours, OP3),
+    "op4_backoff_scores": (op4_backoff_scores, OP4),
     "op5_hilbert_shards": (op5_hilbert_shards, None),
-    "op6_jaccard_join": (op6_jaccard_join, None),
+    "op6_jaccard_join": (op6_jaccard_join, OP6),
     "op7_audio_features": (op7_audio_features, None),
     "op8_ordered_packing": (op8_ordered_packing, None),
     "op9_secret_ownership": (op9_secret_ownership, OP9),

@@ -94,7 +94,8 @@ def classified_spans(rows: DataFrame) -> DataFrame:
     """(_uid, spans): each row's spans with their ownership, by start, then kind. ``bare`` ones stay where the value is live
     and no other span of the row covers the place."""
     each = rows.select("_uid", F.explode("_spans").alias("s")).select("_uid", "s.*")
-    known = each.join(ownership(rows), "value")
+    # Stored, so that the join has an exchange on either side and a frequent value's rows can be split over tasks.
+    known = each.join(cut_lineage(ownership(rows), "ownership"), "value")
     spans = known.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct(
         "start", "rank", "end", "kind", "value", "owners", "repositories", "ownership"))).alias("spans"))
     named = F.filter("spans", lambda s: s["kind"] != BARE[0])
