@@ -71,6 +71,16 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs (1, 2, 4 or 8): most n-grams are rare."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of ascending keys; the bucket is the key's first bits."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -89,7 +99,7 @@ def _sent(texts: DataFrame, order: int, bits: int) -> DataFrame:
             for shard, parts in held.items():
                 for n in range(order):
                     keys, counts = np.unique(np.concatenate([p[n] for p in parts]), return_counts=True)
-                    rows += [(n + 1, b, shard, pack_sorted(keys[a:e]), counts[a:e].astype("<u4").tobytes()) for b, a, e in _parts(keys, bits)]
+                    rows += [(n + 1, b, shard, pack_sorted(keys[a:e]), pack_counts(counts[a:e])) for b, a, e in _parts(keys, bits)]
             held.clear()
             columns = list(zip(*rows)) if rows else [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (
@@ -119,14 +129,14 @@ def _answered(table: pa.Table) -> pa.Table:
     keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
     for shard, k in zip(table["shard"].to_pylist(), keys):
         own.setdefault(shard, []).append(k)
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()]).astype(np.int64)
+    counts = np.concatenate([unpack_counts(c) for c in table["counts"].to_pylist()])
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=counts).astype("<i8")
+    total = np.bincount(where, weights=counts).astype(np.int64)
     mine = {s: k[0] if len(k) == 1 else np.unique(np.concatenate(k)) for s, k in own.items()}
     n = len(mine)
     return pa.table({"n": pa.array([table["n"][0].as_py()] * n, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int32()),
                      "shard": pa.array(list(mine), pa.int64()),
-                     "totals": pa.array([total[np.searchsorted(every, k)].tobytes() for k in mine.values()], pa.binary())})
+                     "totals": pa.array([pack_counts(total[np.searchsorted(every, k)]) for k in mine.values()], pa.binary())})
 
 
 def backoff_scores(docs: DataFrame, order: int = ORDER, shard: Column | None = None, text: str = "text", backoff: float = BACKOFF) -> DataFrame:
@@ -154,7 +164,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, shard: Column | None = N
         for n in range(order):  # what other documents hold of the n-gram that ends at each word
             at = np.flatnonzero(there[n])
             keys, where = np.unique(hashes[n][at], return_inverse=True)
-            totals = np.frombuffer(b"".join(t for t, k in zip(known["totals"].to_pylist(), known["n"].to_pylist()) if k == n + 1), "<i8")
+            totals = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(t) for t, k in zip(known["totals"].to_pylist(), known["n"].to_pylist()) if k == n + 1)])
             pair = where * len(counts) + doc[at]
             _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
             rest = np.zeros(len(doc), np.int64)

@@ -156,6 +156,8 @@ def test_backoff(rough, empty, order):
 def test_packed_keys():
     for keys in ([], [5], [0, 1, 2 ** 64 - 1], [7, 7 + 2 ** 17, 2 ** 60]):
         assert backoff.unpack_sorted(backoff.pack_sorted(np.array(keys, np.uint64))).tolist() == keys
+    for counts in ([], [1, 1, 2], [1, 256], [70_000], [1, 2 ** 40]):
+        assert backoff.unpack_counts(backoff.pack_counts(np.array(counts, np.int64))).tolist() == counts
 
 
 # 5 sharding
