@@ -147,15 +147,15 @@ SOF = {
     0xCD: "Differential sequential DCT (arithmetic)", 0xCE: "Differential progressive DCT (arithmetic)",
     0xCF: "Differential lossless (arithmetic)",
 }
-_SIZE = "struct<width:bigint,height:bigint,variant:string,issue:string>"
+_SIZE = "struct<width:bigint,height:bigint,variant:string,marker:int,issue:string>"
 
 
 def _size(width: Column | None = None, height: Column | None = None, variant: str | Column | None = None,
-          issue: str | None = None) -> Column:
+          issue: str | None = None, marker: Column | None = None) -> Column:
     v = variant if isinstance(variant, Column) else F.lit(variant)
     w = F.lit(None) if width is None else width
     h = F.lit(None) if height is None else height
-    return F.struct(w.alias("width"), h.alias("height"), v.alias("variant"), F.lit(issue).alias("issue")).cast(_SIZE)
+    return F.struct(w.alias("width"), h.alias("height"), v.alias("variant"), (F.lit(None) if marker is None else marker).alias("marker"), F.lit(issue).alias("issue")).cast(_SIZE)
 
 
 def _checked(width: Column, height: Column, variant: str | None) -> Column:
@@ -185,9 +185,8 @@ def webp_size(blob: Column) -> Column:
 
 
 def jpeg_size(blob: Column) -> Column:
-    """Walk the marker segments to the frame header. Sixty-four steps are enough for nearly every file; a longer chain
-    continues over the whole length."""
-    names = F.create_map(*[F.lit(v) for code, name in SOF.items() for v in (code, f"SOF{code - 0xC0:X} = {name}")])
+    """Walk the marker segments to the frame header; its marker and coding are told apart."""
+    names = F.create_map(*[F.lit(v) for item in SOF.items() for v in item])
     state = "struct<p:bigint,result:" + _SIZE + ">"
 
     def stop(result: Column) -> Column:
@@ -205,8 +204,8 @@ def jpeg_size(blob: Column) -> Column:
             frame = F.try_element_at(names, m)
             return (F.when(m == 0xFF, move(p + 1))
                     .when((m == 0x01) | m.between(0xD0, 0xD7), move(p + 2))
-                    .when(frame.isNotNull(), stop(F.when(width.isNull(), _size(variant=frame, issue="truncated")).otherwise(
-                        _size(width, height, frame))))
+                    .when(frame.isNotNull(), stop(F.when(width.isNull(), _size(variant=frame, issue="truncated", marker=m)).otherwise(
+                        _size(width, height, frame, marker=m))))
                     .when(m == 0xDA, stop(_size(issue="scan-before-size")))
                     .otherwise(move(p + 2 + length)))
 
@@ -215,16 +214,13 @@ def jpeg_size(blob: Column) -> Column:
                 .when(byte_at(blob, p) != 0xFF, stop(_size(issue="marker-expected")))
                 .otherwise(let(byte_at(blob, p + 1), at_marker)))
 
-    def finish(acc: Column) -> Column:
-        rest = F.aggregate(F.sequence(F.lit(1), F.octet_length(blob)), acc, step)
-        return F.when(acc["result"].isNotNull(), acc["result"]).otherwise(let(rest, lambda a: a["result"]))
-
-    first = F.aggregate(F.sequence(F.lit(1), F.lit(64)), move(lng(2)), step)
-    return F.coalesce(let(first, finish), _size(issue="no-size-header"))
+    # Every step moves on by a byte at least.
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(blob), F.lit(1))), move(lng(2)), step, lambda a: a["result"])
+    return F.coalesce(walked, _size(issue="no-size-header"))
 
 
 def raster_size(blob: ColumnOrName, kind: ColumnOrName) -> Column:
-    """STRUCT(width, height, variant, issue) of a PNG, JPEG or WebP payload, read from its header."""
+    """STRUCT(width, height, variant, marker, issue) of a PNG, JPEG or WebP payload, read from its header."""
     k = col(kind)
     return let(col(blob), lambda b: F.when(k == "png", png_size(b)).when(k == "jpeg", jpeg_size(b)).when(
         k == "webp", webp_size(b)).otherwise(_size(issue="no-reader")))

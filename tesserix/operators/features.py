@@ -143,8 +143,8 @@ def hit_test(points: DataFrame, features: DataFrame, keys: list[str], tolerance:
     """Features at each point, best first: (request_id, rank, layer_index, feature_index, type, distance, area).
 
     ``points`` carry (request_id, keys, fx, fy) as fractions of the tile, ``features`` the result of ``with_geometry``
-    plus ``extent``. Features are filed under the one to four cells of a grid that fits their box, points probe one cell
-    per grid size, so a crowded tile is split into cells and only near pairs are ever compared. Inside any polygon, other
+    plus ``extent``. The boxes of features are filed under the one to four cells of a grid that fits them, points probe one cell
+    per grid size that their tile uses, so a crowded tile is split into cells; geometry only meets the pairs that are near. Inside any polygon, other
     polygons that are merely near are dropped. Points rank before lines before the rest, then distance, then area.
     """
     e = F.col("extent")
@@ -166,10 +166,13 @@ def hit_test(points: DataFrame, features: DataFrame, keys: list[str], tolerance:
     for axis in ("x", "y"):
         lo, hi = cell(F.col(f"_{axis}0"), F.col("_level")), cell(F.col(f"_{axis}1"), F.col("_level"))
         filed = filed.withColumn(f"_c{axis}", F.explode(F.sequence(lo, hi)))
-    filed = filed.select(*keys, "_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "layer_index", "feature_index", "type", "extent", "parts", "area")
-    probes = points.select("request_id", *keys, "fx", "fy").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_FINEST))))
+    filed = filed.select(*keys, "_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "layer_index", "feature_index")
+    used = filed.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # at most nine numbers per tile
+    probes = points.select("request_id", *keys, "fx", "fy").join(used, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
     probes = probes.withColumns({"_cx": cell(F.col("fx"), F.col("_level")), "_cy": cell(F.col("fy"), F.col("_level"))})
     near = probes.join(filed, [*keys, "_level", "_cx", "_cy"]).filter("fx >= _x0 AND fx <= _x1 AND fy >= _y0 AND fy <= _y1")
+    near = near.select("request_id", *keys, "fx", "fy", "layer_index", "feature_index").join(
+        features.select(*keys, "layer_index", "feature_index", "type", "extent", "parts", "area"), [*keys, "layer_index", "feature_index"])
     near = near.withColumns({"_px": F.col("fx") * e, "_py": F.col("fy") * e})
     hits = near.withColumn("distance", G.distance_to("parts", "type", "_px", "_py")).filter(F.col("distance") <= F.lit(tolerance) * e)
     hits = hits.select("request_id", "layer_index", "feature_index", "type", "distance", "area")

@@ -118,12 +118,17 @@ def _le(value: Column, width: int) -> Column:
     return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(width - 1, -1, -1)])
 
 
+#: Bit depths and colour types the pictures take in turn.
+_DEPTHS, _COLORS = (1, 2, 4, 8, 16), (0, 3, 3, 2, 6)
+
+
 def rasters(spark: SparkSession, d: str) -> DataFrame:
     """One picture header per part, in nine forms, some broken."""
     p = T.read(spark, d, "part").selectExpr("p_partkey", "CAST(p_partkey % 9 AS INT) AS form", "1 + p_partkey % 499 AS w", "1 + CAST(p_size AS BIGINT) * 7 AS h",
-                                            "CAST(p_partkey % 100 AS INT) AS segs")
+                                            "CAST(p_partkey % 100 AS INT) AS segs", "CAST(p_partkey div 9 AS INT) AS k")
     w, h = F.col("w"), F.col("h")
-    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _be(w, 4), _be(h, 4), F.lit("0802000000"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _be(w, 4), _be(h, 4), _be(F.element_at(F.array(*map(F.lit, _DEPTHS)), F.col("k") % 5 + 1), 1), _be(F.element_at(
+        F.array(*map(F.lit, _COLORS)), F.col("k") % 5 + 1), 1), F.lit("0000"), _be(F.col("k") % 2, 1))
     riff = "5249464600000000574542505650"
     app = F.concat(F.lit("FFD8"), F.repeat(F.lit("FFE00004AAAA"), F.col("segs")))
     frame = F.concat(F.lit("001108"), _be(h, 2), _be(w, 2), F.lit("03"))
@@ -146,13 +151,25 @@ def raster_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 _RASTER_SQL = """
 SELECT p_partkey, CASE WHEN form NOT IN (1, 7, 8) THEN 1 + p_partkey % 499 END::BIGINT AS width, CASE WHEN form NOT IN (1, 7, 8) THEN 1 + p_size::BIGINT * 7 END AS height,
-  CASE form WHEN 2 THEN 'VP8' WHEN 3 THEN 'VP8L' WHEN 4 THEN 'VP8X' WHEN 5 THEN 'SOF0 = Baseline DCT' WHEN 6 THEN 'SOF2 = Progressive DCT' END AS variant,
+  CASE form WHEN 2 THEN 'VP8' WHEN 3 THEN 'VP8L' WHEN 4 THEN 'VP8X' WHEN 5 THEN 'Baseline DCT' WHEN 6 THEN 'Progressive DCT' END AS variant,
+  CASE form WHEN 5 THEN 192 WHEN 6 THEN 194 END AS marker,
   CASE form WHEN 1 THEN 'truncated' WHEN 7 THEN 'scan-before-size' WHEN 8 THEN 'unknown-chunk' END AS issue FROM (SELECT *, p_partkey % 9 AS form FROM part)"""
 
 
+def png_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Bit depth, colour type and interlacing of every PNG; NULL where the header is cut short."""
+    r = rasters(spark, d).filter(P.sniff("payload") == "png")
+    return r.select("p_partkey", P.png_details("payload").alias("d")).select("p_partkey", "d.*")
+
+
+PNG_SQL = f"""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN {list(_DEPTHS)}[p_partkey // 9 % 5 + 1] END::INTEGER AS bit_depth,
+  CASE WHEN p_partkey % 9 = 0 THEN {list(_COLORS)}[p_partkey // 9 % 5 + 1] END::INTEGER AS color_type,
+  CASE WHEN p_partkey % 9 = 0 THEN p_partkey // 9 % 2 = 1 END AS interlaced FROM part WHERE p_partkey % 9 IN (0, 1)"""
+
+
 def raster_audit(spark: SparkSession, d: str) -> DataFrame:
     """Pictures by kind and size: the groups that stand out are odd-sized tiles."""
-    return raster_sizes(spark, d).groupBy("variant", "width", "height", "issue").agg(F.count(F.lit(1)).alias("n"))
+    return raster_sizes(spark, d).groupBy("variant", "marker", "width", "height", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -161,5 +178,6 @@ QUERIES = {
     "payload_routing": (payload_routing, ROUTING_SQL),
     "decompress_payloads": (decompress_payloads, DECOMPRESS_SQL),
     "raster_sizes": (raster_sizes, _RASTER_SQL),
-    "raster_audit": (raster_audit, f"SELECT variant, width, height, issue, count(*)::BIGINT AS n FROM ({_RASTER_SQL}) GROUP BY 1, 2, 3, 4"),
+    "png_headers": (png_headers, PNG_SQL),
+    "raster_audit": (raster_audit, f"SELECT variant, marker, width, height, issue, count(*)::BIGINT AS n FROM ({_RASTER_SQL}) GROUP BY 1, 2, 3, 4, 5"),
 }
