@@ -10,8 +10,9 @@ joined need no check: each posting list is first checked against its most connec
 joined, and only pairs of different classes go on. Every pair that could still join two classes is checked exactly.
 
 Null and empty texts have no n-grams, link with nothing and are their own component. A text with fewer words than n counts as
-one n-gram. Rows of one doc_id are taken as one document, so they are in one component; a null doc_id is never a
-component's name. Repeated rows stay in the result. Other columns are ignored.
+one n-gram. Rows of one doc_id are taken as one document, so they are in one component. A null doc_id is never a component's
+name; it joins the component of an equal text that has an id, and links nothing by itself. Repeated rows stay in the result.
+Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -192,7 +192,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "tox
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return found.select("doc_id", F.expr("pmod(crc32(CAST(doc_id AS STRING)), 5) = 0").alias("held_out"),
+    return found.select("doc_id", F.expr("coalesce(pmod(crc32(CAST(doc_id AS STRING)), 5) = 0, false)").alias("held_out"),
                         F.col("toxicity.score").alias("score"), (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
                         F.col("toxicity.hits").alias("hits"))
 
