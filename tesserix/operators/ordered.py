@@ -101,7 +101,10 @@ def floor_join(left: DataFrame, right: DataFrame, on: list[str], left_key: str,
     targets = left.select(*on, F.col(left_key).alias("_k")).filter(F.col("_k") >= 0).distinct()
     found = _resolve(targets, candidates, on, bits, key_bits).select(
         *on, F.col("_k").alias(left_key), F.col("_m").alias(name))
-    return left.join(found, [*on, left_key], "left")
+    # Rows without a target match nothing; a hash of the row deals them over the tasks, where NULL alone would be one key.
+    plain = [c for c, kind in left.dtypes if "map<" not in kind]
+    spread = F.when(F.col(left_key).isNull(), F.xxhash64(*plain)).otherwise(F.lit(0).cast("bigint"))
+    return left.withColumn("_s", spread).join(found.withColumn("_s", F.lit(0).cast("bigint")), [*on, left_key, "_s"], "left").drop("_s")
 
 
 def span_join(ranges: DataFrame, spans: DataFrame, on: list[str], span_start: str, span_end: str, range_start: str,
