@@ -12,7 +12,7 @@ from tesserix.plans import tables as T
 NAMES = [n for n, _, _ in R.HEADER_FIELDS]
 
 
-def _header_blobs(spark: SparkSession, d: str) -> DataFrame:
+def header_blobs(spark: SparkSession, d: str) -> DataFrame:
     """First bytes of one file per customer; some are cut short, of another kind or declare an impossible size."""
     a = T.archives(spark, d).withColumn("h", R.header_hex())
     c = F.col("archive_id")
@@ -24,7 +24,7 @@ def _header_blobs(spark: SparkSession, d: str) -> DataFrame:
 
 def parse_headers(spark: SparkSession, d: str) -> DataFrame:
     """Fields of every readable header."""
-    ok, _ = R.split_headers(R.parse_headers(_header_blobs(spark, d)))
+    ok, _ = R.split_headers(R.parse_headers(header_blobs(spark, d)))
     return ok.select("archive_id", *[F.col(n).cast("bigint").alias(n) for n in NAMES])
 
 
@@ -34,7 +34,7 @@ HEADERS_SQL = T.with_tables(f"SELECT archive_id, {', '.join(f'{n}::BIGINT AS {n}
 
 def rejected_headers(spark: SparkSession, d: str) -> DataFrame:
     """Files that are not readable archives, by reason."""
-    _, bad = R.split_headers(R.parse_headers(_header_blobs(spark, d)))
+    _, bad = R.split_headers(R.parse_headers(header_blobs(spark, d)))
     return bad.select("archive_id", "reason")
 
 

@@ -122,12 +122,12 @@ SELECT *, n_forward = 0 AND first_offset = 0 AS is_clustered, n_forward = 0 AND
   AND n_resume = n_backward AS single_reuses_only FROM s""", "t_placed")
 
 
-def _blobs(spark: SparkSession, d: str) -> DataFrame:
+def blobs(spark: SparkSession, d: str) -> DataFrame:
     return T.stored(spark, d, "t_blobs", lambda s, p: D.encode_directories(T.leaves(s, p), DIR))
 
 
-def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    return T.stored(spark, d, "t_decoded", lambda s, p: D.decode_values(D.spread(_blobs(s, p).drop("n"), DIR)))
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    return T.stored(spark, d, "t_decoded", lambda s, p: D.decode_values(D.spread(blobs(s, p).drop("n"), DIR)))
 
 
 def encode_directories(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ SELECT archive_id, dir_id, n, octet_length(blob)::BIGINT AS n_bytes, md5(blob) A
 
 def decode_directories(spark: SparkSession, d: str) -> DataFrame:
     """Bytes back to entries: the entries that were encoded."""
-    return D.decode_entries(D.decode_values(D.spread(_blobs(spark, d).drop("n"), DIR)), DIR).drop("delta", "code")
+    return D.decode_entries(D.decode_values(D.spread(blobs(spark, d).drop("n"), DIR)), DIR).drop("delta", "code")
 
 
 DECODE_SQL = T.with_tables('SELECT archive_id, dir_id, i, tile_id, run_length, "offset", length FROM t_leaves', "t_leaves")
@@ -155,7 +155,7 @@ DECODE_SQL = T.with_tables('SELECT archive_id, dir_id, i, tile_id, run_length, "
 
 def encoded_values(spark: SparkSession, d: str) -> DataFrame:
     """Every stored number with the bytes it came from."""
-    v = D.encoded_values(_decoded(spark, d), DIR)
+    v = D.encoded_values(decoded(spark, d), DIR)
     return v.select(*DIR, "n", "col", "i", "value", F.col("byte_offset").cast("bigint").alias("byte_offset"),
                     F.col("byte_length").cast("bigint").alias("byte_length"))
 
@@ -165,7 +165,7 @@ VALUES_SQL = T.with_tables("SELECT archive_id, dir_id, n, col, i, value, byte_of
 
 def column_stats(spark: SparkSession, d: str) -> DataFrame:
     """Bytes, one-byte share and most common value of every directory column."""
-    s = D.column_stats(D.encoded_values(_decoded(spark, d), DIR), DIR)
+    s = D.column_stats(D.encoded_values(decoded(spark, d), DIR), DIR)
     return s.withColumn("bytes_per_value", F.round("bytes_per_value", 6))
 
 
@@ -180,7 +180,7 @@ GROUP BY 1, 2, 3""", "t_dir_values")
 
 def column_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Where each column lies in its directory; blobs of even archives have three stray bytes at the end."""
-    b = _blobs(spark, d).drop("n").withColumn("blob", F.when(F.col("archive_id") % 2 == 0, F.concat("blob", F.lit(b"\x01\x02\x03"))).otherwise(F.col("blob")))
+    b = blobs(spark, d).drop("n").withColumn("blob", F.when(F.col("archive_id") % 2 == 0, F.concat("blob", F.lit(b"\x01\x02\x03"))).otherwise(F.col("blob")))
     r = D.column_ranges(D.decode_values(b), DIR)
     return r.select(*DIR, "col", *[F.col(c).cast("bigint").alias(c) for c in ("byte_offset", "byte_length", "trailing_bytes")])
 
@@ -193,7 +193,7 @@ UNION ALL SELECT DISTINCT archive_id, dir_id, 'count', 0, {_W('n')}, CASE WHEN a
 
 def size_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Plain rows against encoded columns, per directory."""
-    s = D.size_comparison(_decoded(spark, d), DIR)
+    s = D.size_comparison(decoded(spark, d), DIR)
     return s.withColumns({c: F.round(c, 6) for c in ("encoded_per_entry", "encoded_share")})
 
 
@@ -282,7 +282,7 @@ FROM t_leaves e JOIN t_archives a ON e.archive_id = a.archive_id""", "t_leaves",
 
 def damaged_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries and columns hit by a damaged stretch of bytes in every directory."""
-    dec = _decoded(spark, d)
+    dec = decoded(spark, d)
     ranges = dec.select(*DIR, F.expr("(archive_id * 31 + dir_id + 1) % decoded_length").alias("damage_start")).withColumn(
         "damage_end", F.col("damage_start") + 5)
     hit = D.damaged_values(ranges, D.encoded_values(dec, DIR), DIR)
