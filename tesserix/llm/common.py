@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tesserix.session import cut_lineage
 
 #: Text bytes handled at once in a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

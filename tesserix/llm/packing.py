@@ -30,7 +30,7 @@ SENTENCE_PRICE, FORCED_PRICE = 4, 12
 FORCED_STEP = 32
 #: Tokens per range partition, at which a sequence is ended early; and tokens held before finished sequences are given out.
 PARTITION_TOKENS, BLOCK_TOKENS = 4 << 20, 1 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 _SEPARATOR, _SEPARATOR_ID = "<|endoftext|>", 49407
 _WORDS: dict[str, dict[bytes, bytes]] = {}
