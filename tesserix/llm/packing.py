@@ -40,14 +40,6 @@ _TOKENIZERS: dict = {}
 _SIGNS = b".,!?;:#$%&*)"
 
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """Pieces of a word that the tokenizer reads apart from each other: it lower-cases, and signs after a letter are their own."""
-    core = word.rstrip(_SIGNS)
-    if core and len(core) < len(word) and core.decode()[-1].isalpha():
-        return core.lower(), word[len(core):]
-    return (word.lower(),)
-
-
 class WordEncoder:
     """Ids of a text, word by word. The tokenizer drops white space and never joins over it, so the ids of a text are those
     of its words in turn; words seen before come from a table that lives as long as the worker and is emptied when full."""
@@ -61,13 +53,24 @@ class WordEncoder:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
+    def _read(self, text: str) -> str:
+        """The text as the tokenizer reads it. A letter may become a letter and a mark (U+0130 in lower case, U+0958 composed)."""
+        return text if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        """Pieces of a word that the tokenizer reads apart from each other: it lower-cases, and signs after a letter are their own."""
+        core = word.rstrip(_SIGNS)
+        if core and len(core) < len(word) and self._read(core.decode())[-1].isalpha():
+            return core.lower(), word[len(core):]
+        return (word.lower(),)
+
     def learn(self, words: set[bytes]) -> None:
         known = self.known
         new = [w for w in words if w not in known]
         if len(known) + 2 * len(new) > CACHE_WORDS:
             known.clear()
             new = list(words)
-        parts = {w: _parts(w) for w in new if b"<|" not in w}
+        parts = {w: self._parts(w) for w in new if b"<|" not in w}
         plain = list({p for both in parts.values() for p in both if p not in known})
         for at in range(0, len(plain), 2000):
             self._encode(plain[at:at + 2000])
@@ -78,11 +81,12 @@ class WordEncoder:
                 known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, words: list[bytes]) -> None:
-        """Many words in one call. A word of letters only is read as one, and its last id is one that ends words, so spaces
+        """Many words in one call. A word that the tokenizer reads as letters only is one to it, and its last id is one that ends words, so spaces
         between such words are enough; others are set apart by a special token."""
         texts = [w.decode() for w in words]
+        plain = [self._read(t).isalpha() for t in texts]
         for letters in (True, False):
-            some = [(w, t) for w, t in zip(words, texts) if t.isalpha() == letters]
+            some = [(w, t) for w, t, p in zip(words, texts, plain) if p == letters]
             if not some:
                 continue
             joined = (" " if letters else _SEPARATOR).join([t for _, t in some])

@@ -329,6 +329,18 @@ def test_packing(rough, empty):
     assert packing.pack(rough, path).groupBy("doc_id").count().count() == rough.select("doc_id").distinct().count()
 
 
+def test_packing_of_letters_that_become_letter_and_mark(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["İstanbul plain İ. dİ! क़लम क़. word", "İİ", "x İSTANBUL, é. ﬁ"]
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i].doc_tokens, got[i].length, got[i].ids_crc32) == (len(ids), len(ids), zlib.crc32(ids.tobytes()))
+
+
 # 9 secrets
 
 KINDS = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
