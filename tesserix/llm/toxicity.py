@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
 The lexicon is learned: a few seed words, and whole words and word beginnings that stand out in texts labelled toxic, weighted
-by log-odds. Text and lexicon are folded alike: lower case, no accents, look-alike letters and digit substitutions read as Latin letters. Hits inside
-an exception phrase don't count. The summed weights, alone and by length, give the score through a fitted logistic curve.
+by log-odds. Text and lexicon are folded alike: lower case, no accents, look-alike letters and digit substitutions read as Latin letters, l
+as i (1 stands for both). Substitutes that end a word may also be a number or punctuation ("a1", "stupid$$$"): they are read as letters where
+that makes a term. Hits inside an exception phrase don't count. The summed weights, alone and by length, give the score through a fitted logistic curve.
 
 Null and empty texts get the score of a text without hits. Rows repeat in the result as they do in the input; ties don't arise.
 Without labels of both kinds only the seed words are known and every score is the share of toxic labels, below one half.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -43,18 +44,23 @@ SEED_WEIGHT = 4.0
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 _LOOKALIKES = dict(zip("абвгеёзикмнорстуухіјѕԁһοαερτυιν", "abbreezukmhopctyyxijsdhoaeptuiv", strict=True))
 _DIGITS = str.maketrans("013457@$", "oieastas")
+_ONE = str.maketrans("l", "i")
 _COMBINING = re.compile("[̀-ͯ]+")
 _LOOK = str.maketrans(_LOOKALIKES)
 _LEET = re.compile(r"(?:(?<=[a-z])|(?<![a-z0-9@$]))[013457@$]+(?=[a-z])")
+_FINAL = re.compile(r"([a-z0-9]*[a-z])([013457@$]+)(?![a-z0-9@$])")
 _GAP = re.compile(r"[\W_]+")
 
 
-def fold(text: str | None) -> str:
-    """Words of the folded text between single spaces, with one space at either end."""
+def fold(text: str | None, known: Callable[[str, int], bool] | None = None) -> str:
+    """Words of the folded text between single spaces, with one space at either end. Substitutes at the end of a word are
+    letters where ``known`` says so of the word with them and its length without."""
     t = (text or "").lower()
     if not t.isascii():
         t = _COMBINING.sub("", unicodedata.normalize("NFKD", t)).translate(_LOOK)
-    t = _LEET.sub(lambda m: m[0].translate(_DIGITS), t)
+    t = _LEET.sub(lambda m: m[0].translate(_DIGITS), t).translate(_ONE)
+    if known:
+        t = _FINAL.sub(lambda m: w if known(w := m[1] + m[2].translate(_DIGITS), len(m[1])) else m[0], t)
     return f" {_GAP.sub(' ', t).strip()} "
 
 
@@ -66,9 +72,23 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
+    def folded_terms(self) -> dict[str, float]:
+        """Terms with l as i; the heaviest of those that become one."""
+        folded: dict[str, float] = {}
+        for term, weight in self.terms.items():
+            key = term.translate(_ONE)
+            folded[key] = max(weight, folded.get(key, weight))
+        return folded
+
+    def known(self) -> Callable[[str, int], bool]:
+        """Whether a word, read with its last letters from ``start`` on, is a term or has a beginning that needs them."""
+        terms = self.folded_terms()
+        longest = max((len(t) for t in terms), default=0)
+        return lambda word, start: f" {word} " in terms or any(f" {word[:k]}" in terms for k in range(start + 1, min(len(word), longest) + 1))
+
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for term, weight in self.terms.items():
+        for term, weight in self.folded_terms().items():
             found.add_word(term, (len(term), weight))
         for phrase in self.exceptions:
             found.add_word(fold(phrase), (len(fold(phrase)), -1.0))
@@ -99,19 +119,21 @@ def _features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _measured(docs: DataFrame, lexicon: Lexicon, text: str) -> DataFrame:
     @F.pandas_udf("weight double, words int, hits int")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = lexicon.automaton()
+        automaton, known = lexicon.automaton(), lexicon.known()
         for texts in batches:
             rows = []
             for x in texts:
-                folded = fold(x)
+                folded = fold(x, known)
                 rows.append((*(hits(automaton, folded)), folded.count(" ") - 1 if len(folded) > 2 else 0))
             yield pd.DataFrame([(w, n, k) for w, k, n in rows], columns=["weight", "words", "hits"])
 
     return docs.withColumn("_tox", measure(F.col(text)))
 
 
-def _terms(folded: str) -> set[str]:
-    words = set(folded.split())
+def _terms(text: str | None) -> set[str]:
+    """Terms of either reading of the text."""
+    ended: set[str] = set()
+    words = set(fold(text, lambda word, _: ended.add(word)).split()) | ended
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) >= k}
 
 
@@ -135,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 size[int(toxic > 0)] += 1
-                seen[int(toxic > 0)].update(_terms(fold(text)))
+                seen[int(toxic > 0)].update(_terms(text))
         terms = [*(seen[0].keys() | seen[1].keys()), ""]  # the empty term counts texts
         for at in range(0, len(terms), 50_000):
             some = terms[at:at + 50_000]

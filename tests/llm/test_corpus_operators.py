@@ -38,6 +38,22 @@ def test_fold_and_exceptions():
     assert toxicity.hits(found, toxicity.fold("the trash can, useful idiot")) == (0, 0)
 
 
+def test_substitutes_at_word_ends_and_ones():
+    lexicon = toxicity.Lexicon({toxicity.fold(w): 2.0 for w in (*toxicity.SEED, "ass")} | {" scu": 1.0})
+    found, known = lexicon.automaton(), lexicon.known()
+
+    def hit(text):
+        return toxicity.hits(found, toxicity.fold(text, known))[1]
+
+    for text in ("whor3", "imbecil3", "idio7", "a$$", "c1own", "1oser", "wh0r3!", "assh01e", "sc7 scu", "an idiot, a1", "stupid$$$", "5cum5", "IDI0T", "gi1ipo11a5"):
+        assert hit(text) == 1, text
+    assert hit("idio7 c1own a$$ stupid$$ and whor3") == 5
+    for text in ("a1 b2 c5 10 2024", "clown fish, c1own f1sh", "useful idio7", "sore 1oser", "mp3 $5 h1"):
+        assert hit(text) == 0, text
+    assert toxicity.hits(toxicity.Lexicon({" loser ": 2.0}).automaton(), toxicity.fold("1oser")) == (2.0, 1)
+    assert {" idiot ", " idio7 "} <= toxicity._terms("idio7")
+
+
 def test_toxicity_learns_and_ignores_held_out(spark, empty):
     texts = [(i, ("zabul " if i % 5 == 0 else "") + f"word{i % 7} plain text {'zabul' if i % 5 == 0 else ''}", "en", "s") for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
