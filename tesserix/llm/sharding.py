@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, so that each shard covers a small box of several metadata columns.
 
-Each column is quantised into equally filled cells (approximate quantiles; strings by their first bytes, in order), the cells
+Each column is quantised into equally filled cells (approximate quantiles; whole strings, in order), the cells
 of a row give its index on the curve, rows are ordered by it, and the order is cut into runs of equal row counts. Files written
 this way can be skipped by filters on any of the columns.
 
@@ -11,9 +11,11 @@ empty; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.llm.common import running
@@ -50,33 +52,45 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A number in the column's order: strings by their first six bytes."""
-    if dict(df.dtypes)[column] == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(column).cast("double")
+def string_edges(df: DataFrame, column: str, bits: int = BITS) -> list[bytes]:
+    """Borders between the cells of a string column: all values where there are few, else those at which equal shares of the
+    rows end. At most 2^bits - 1, as nulls have a cell of their own."""
+    cells = (1 << bits) - 1
+    values = cut_lineage(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n")), "values")
+    distinct, rows = values.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if distinct > cells:
+        share = f"least(({{}}) * {cells} div {rows}, {cells - 1})"
+        values = running(values, ["_value"], "_n", out="_at").filter(f"{share.format('_at')} < {share.format('_at + _n')}")
+    return sorted(r["_value"].encode() for r in values.select("_value").collect())
 
 
 def with_curve(df: DataFrame, columns: list[str], bits: int = BITS, out: str = "curve") -> DataFrame:
     """``df`` plus its index on the curve over ``columns``. Reaches the driver: 2^bits borders per column."""
-    numbers = df.select(*[as_number(df, c).alias(c) for c in columns])
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    borders = numbers.agg(*[F.percentile_approx(c, shares, 20_000).alias(c) for c in columns]).first()
-    edges = [np.unique(np.array(borders[c], float)) if borders[c] else np.zeros(0) for c in columns]
+    strings = [c for c in columns if dict(df.dtypes)[c] == "string"]
+    numbers = [c for c in columns if c not in strings]
+    edges: dict = {c: string_edges(df, c, bits) for c in strings}
+    if numbers:
+        shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+        borders = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 20_000).alias(c) for c in numbers]).first()
+        edges |= {c: np.unique(np.array(borders[c], float)) if borders[c] else np.zeros(0) for c in numbers}
 
     @F.pandas_udf("long")
     def curve(*values: pd.Series) -> pd.Series:
         cells = np.zeros((len(values[0]), len(values)), np.int64)
-        for d, (v, e) in enumerate(zip(values, edges)):
-            v = v.to_numpy(float)
+        for d, (v, c) in enumerate(zip(values, columns)):
+            e = edges[c]
+            if c in strings:
+                codes, kinds = pd.factorize(v)  # a null has code -1, the last place
+                at = np.array([*(bisect_left(e, k.encode()) for k in kinds), 0])[codes]
+            else:
+                at = np.searchsorted(e, v.to_numpy(float), side="left")
             # A column of few values fills few cells; they are spread over the whole axis.
-            place = np.minimum(np.searchsorted(e, v, side="left") + 1, (1 << bits) - 1)
+            place = np.minimum(at + 1, (1 << bits) - 1)
             spread = ((1 << bits) - 1) // max(1, min(len(e) + 1, (1 << bits) - 1))
-            cells[:, d] = np.where(np.isnan(v), 0, place * spread)
+            cells[:, d] = np.where(v.isna(), 0, place * spread)
         return pd.Series(hilbert_index(cells, bits))
 
-    return df.withColumn(out, curve(*[as_number(df, c) for c in columns]))
+    return df.withColumn(out, curve(*[F.col(c) if c in strings else F.col(c).cast("double") for c in columns]))
 
 
 def curve_shards(df: DataFrame, columns: list[str], ties: list[str], shards: int = 8, bits: int = BITS) -> DataFrame:

@@ -203,6 +203,16 @@ def test_shards(rough, empty, tmp_path):
     assert sum(r["rows"] for r in ranges) == len(got)
 
 
+def test_strings_that_share_their_beginning(spark):
+    for n in (20, 700):  # a cell for each value, and cells by shares of the rows
+        names = [f"https://host/{i:04}" for i in range(n)]
+        rows = [(s,) for s in names for _ in range(3)] + [(None,)]
+        got = {r.source: r.curve for r in sharding.with_curve(spark.createDataFrame(rows, "source string"), ["source"]).collect()}
+        cells = [got[s] for s in names]
+        assert got[None] == 0 and cells == sorted(cells) and cells[0] > 0 and len(set(cells)) >= min(n, 250)
+        assert max(Counter(cells).values()) <= -(-n // 250)
+
+
 # 6 Jaccard join
 
 def brute_classes(pairs, n, percent):
