@@ -97,12 +97,19 @@ def scan_contents(spark: SparkSession, d: str) -> DataFrame:
 CONTENTS_SQL = f"""WITH {F_TILES} SELECT file_id, "offset", length, md5(content) AS md5, NULL::VARCHAR AS error FROM f_contents"""
 
 
-def stored_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries stored by archive and read back for some archives."""
+def stored_entries_all(spark: SparkSession, d: str) -> DataFrame:
+    """Entries stored by archive, every row read back."""
     folder = shared_folder(spark, "stored_entries")
     write_entries(T.placed(spark, d).select("archive_id", "tile_id", "run_length", "offset", "length"), folder)
-    rows = spark.read.schema("archive_id long, tile_id long, run_length long, offset long, length long").parquet(folder)
-    return rows.filter("archive_id % 2 = 1")
+    return spark.read.schema("archive_id long, tile_id long, run_length long, offset long, length long").parquet(folder)
+
+
+STORED_ALL_SQL = T.with_tables('SELECT archive_id, tile_id, run_length, "offset", length FROM t_placed', "t_placed")
+
+
+def stored_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The same for some archives."""
+    return stored_entries_all(spark, d).filter("archive_id % 2 = 1")
 
 
 STORED_SQL = T.with_tables('SELECT archive_id, tile_id, run_length, "offset", length FROM t_placed WHERE archive_id % 2 = 1', "t_placed")
@@ -123,6 +130,7 @@ QUERIES = {
     "scan_problems": (scan_problems, PROBLEMS_SQL),
     "scan_metadata": (scan_metadata, METADATA_SQL),
     "scan_contents": (scan_contents, CONTENTS_SQL),
+    "stored_entries_all": (stored_entries_all, STORED_ALL_SQL),
     "stored_entries": (stored_entries, STORED_SQL),
     "tms_tiles": (tms_tiles, TMS_SQL),
 }

@@ -37,3 +37,8 @@ def test_every_outcome_occurs(spark):
     assert values("payload_kinds", "kind") == {"gzip", "zstd", "png", "jpeg", "webp", "avif", "mvt-like", "text", "empty", "unknown"}
     assert values("layout_issues", "issue") == {"overlap", "beyond-eof", "root-outside-first-read"}
     assert values("grid_classes", "state") == {"tile", "miss", "unloaded", "none"}
+
+
+def test_every_stored_entry_is_read_back(spark):
+    archives = {r[0] for r in QUERIES["stored_entries_all"](spark, SF).select("archive_id").distinct().collect()}
+    assert 0 in archives and {a % 2 for a in archives} == {0, 1}
