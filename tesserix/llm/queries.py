@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserix.llm.alignment import alignment_digest, file_chunks
 from tesserix.llm.backoff import SHARD_ROWS, backoff_scores
+from tesserix.llm.bitplanes import cluster_digest
 from tesserix.llm.common import documents
 from tesserix.llm.jaccard import classes
+from tesserix.llm.lines import lines_digest
 from tesserix.llm.media import audio_digest
 from tesserix.llm.mixing import mix_digest
 from tesserix.llm.neighbours import nearest
 from tesserix.llm.packing import pack
 from tesserix.llm.secrets import secret_digest
 from tesserix.llm.sharding import shard_digest
-from tesserix.llm.sql import OP3, OP4, OP6, OP9
+from tesserix.llm.sql import OP3, OP4, OP6, OP9, OP12, OP13
 from tesserix.llm.suffixes import repeats_digest
 from tesserix.llm.toxicity import toxicity_digest
 
@@ -69,6 +72,21 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(documents(spark, sf_dir))
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment_digest(documents(spark, sf_dir), *paths, chunk=file_chunks())
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_digest(documents(spark, sf_dir))
+
+
+def op13_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_lexicon_toxicity": (op1_lexicon_toxicity, None),
     "op2_source_mixing": (op2_source_mixing, None),
@@ -80,4 +98,7 @@ QUERIES = {
     "op8_ordered_packing": (op8_ordered_packing, None),
     "op9_secret_ownership": (op9_secret_ownership, OP9),
     "op10_suffix_repeats": (op10_suffix_repeats, None),
+    "op11_cross_alignment": (op11_cross_alignment, None),
+    "op12_line_dedup": (op12_line_dedup, OP12),
+    "op13_bitplane_clusters": (op13_bitplane_clusters, OP13),
 }

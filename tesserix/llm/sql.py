@@ -80,3 +80,40 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live,
   coalesce(n_shared, 0)::BIGINT AS n_shared, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN g USING (r)
 """
+
+_WHITE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+OP12 = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+j AS (SELECT k.doc_id, pos, line, coalesce(k.doc_id <> first_id, FALSE) AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY 1
+"""
+
+
+def _clusters(rounds: int = 3, k: int = 16) -> str:
+    """Rounds of clustering, one step of assignment and one of means each."""
+    steps = [f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+s AS (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, q FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {k})),
+c0 AS (SELECT cluster, q FROM s)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, q, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+  SELECT v.vec_id, v.q, c.cluster, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r} c) GROUP BY 1, 2)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT cluster, i, sum(x)::HUGEINT AS t, count(*)::HUGEINT AS n FROM (
+  SELECT cluster, unnest(q) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY 1, 2),
+n{r} AS (SELECT cluster, list((t - ((t % n) + n) % n) // n ORDER BY i) AS q FROM m{r} GROUP BY 1),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.q, c.q) AS q FROM c{r} c LEFT JOIN n{r} n ON c.cluster = n.cluster)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance::BIGINT AS distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster"""
+
+
+OP13 = _clusters()
