@@ -244,7 +244,7 @@ def test_clusters_of_large_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((tuple(r) for r in bitplanes.cluster_digest(df).collect()), key=str)
     assert got == clustered(rows)
-    huge = [(i, [v * 2.0 ** 900 for v in r]) for i, r in rows]
+    huge = [(i, [v * 2.0 ** 90 for v in r]) for i, r in rows]
     planes = bitplanes.to_planes(bitplanes.whole_numbers(np.array([r for _, r in huge[:6]])))
     exact = [[math.floor(x) * 64 for x in r] for _, r in huge[:6]]
     assert bitplanes.distances(planes, planes).tolist() == [[sum((a - b) ** 2 for a, b in zip(x, y)) for y in exact] for x in exact]
