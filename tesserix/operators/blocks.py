@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserix.functions.address import (KEY_BITS_DEFAULT, hilbert_xy, range_block_cells, tile_zoom,
+from tesserix.functions.address import (hilbert_xy, range_block_cells, tile_zoom,
                                         with_aligned_block, with_tile_address, zoom_base)
 from tesserix.functions.common import lng, pow2, shl
 from tesserix.functions.mercator import lonlat_to_tile
 from tesserix.operators.lookup import MAX_DEPTH, ROOT
-from tesserix.operators.ordered import BITS, exclusive_scan, floor_join
+from tesserix.operators.ordered import exclusive_scan, floor_join
 from tesserix.session import cut_lineage
 
 
@@ -66,7 +66,7 @@ def tile_grid(windows: DataFrame, k: str = "k") -> DataFrame:
     return with_tile_address(df, "tile_id").drop("zoom_base", "hilbert_index")
 
 
-def classify_grid(grid: DataFrame, entries: DataFrame, bits: int = BITS, key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
+def classify_grid(grid: DataFrame, entries: DataFrame) -> DataFrame:
     """State of each grid tile from the directories at hand, without reading any other: adds ``state`` and ``region``.
 
     tile: inside a run; miss: a leaf at hand covers it and has no run there; unloaded: its leaf is not at hand;
@@ -76,15 +76,14 @@ def classify_grid(grid: DataFrame, entries: DataFrame, bits: int = BITS, key_bit
     rows = entries.select("archive_id", "dir_id", "tile_id", "run_length", "offset")
     known = entries.groupBy("archive_id", "dir_id").agg(F.lit(True).alias("known"))
     leaf_starts = rows.filter((F.col("dir_id") == ROOT) & (F.col("run_length") == 0))
-    ordinals = exclusive_scan(leaf_starts, ["archive_id"], "tile_id", {"_r": ("sum", F.lit(1).cast("bigint"))}, bits,
-                              key_bits).select("archive_id", F.col("tile_id").alias("_root"),
+    ordinals = exclusive_scan(leaf_starts, ["archive_id"], "tile_id", {"_r": ("sum", F.lit(1).cast("bigint"))}).select("archive_id", F.col("tile_id").alias("_root"),
                                                F.coalesce("_r", lng(0)).alias("region"))
     rows = rows.withColumnRenamed("tile_id", "entry_tile")
     todo = cut_lineage(grid, "grid").withColumns({"dir_id": lng(ROOT), "_root": lng(-1)})
     done = []
     cols = [*grid.columns, "state", "_root"]
     for depth in range(MAX_DEPTH):
-        found = floor_join(todo, rows, ["archive_id", "dir_id"], "tile_id", "entry_tile", "c", bits, key_bits)
+        found = floor_join(todo, rows, ["archive_id", "dir_id"], "tile_id", "entry_tile", "c")
         run, no = F.col("c.run_length"), F.lit("none" if depth == 0 else "miss")
         last = depth == MAX_DEPTH - 1
         state = (F.when(F.col("c").isNull(), no)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserix.functions.address import KEY_BITS_DEFAULT, with_tile_address
 from tesserix.functions.common import div, lng
-from tesserix.functions.varint import decode_varints, varint_hex, varint_width
-from tesserix.operators.ordered import BITS, exclusive_scan, span_join
+from tesserix.functions.varint import decode_blobs, padded_varint_hex, varint_hex, varint_width
+from tesserix.operators.ordered import exclusive_scan, span_join
 from tesserix.session import cut_lineage
 
 #: Names of the four encoded columns, in the order they are stored.
@@ -17,6 +17,10 @@ ENCODED_COLUMNS = ["tile_id", "run_length", "length", "offset"]
 PLAIN_ROW_BYTES = 24
 
 
+#: Ids in one window of ``collapse_runs``, as bits.
+BITS = 18
+
+
 # ---- building entries ------------------------------------------------------------------------------------------
 
 def collapse_runs(tiles: DataFrame, keys: list[str] | None = None, bits: int = BITS,
@@ -43,13 +47,12 @@ def collapse_runs(tiles: DataFrame, keys: list[str] | None = None, bits: int = B
     size = 1 << bits
     at_start = F.col("tile_id") % size == 0
     at_edge = at_start | ((F.col("tile_id") + F.col("run_length")) % size == 0)
-    wide = min(2 * bits, 32)
     edge = exclusive_scan(runs.filter(at_edge), keys, "tile_id", {"_p": ("last", F.struct(
-        (F.col("tile_id") + F.col("run_length")).alias("end"), "content"))}, wide, key_bits)
+        (F.col("tile_id") + F.col("run_length")).alias("end"), "content"))})
     joins = F.coalesce(at_start & (F.col("_p.end") == F.col("tile_id")) & (F.col("_p.content") == F.col("content")),
                        F.lit(False))
     edge = edge.withColumn("_root", F.when(~joins, F.col("tile_id")))
-    edge = exclusive_scan(edge, keys, "tile_id", {"_before": ("last", F.col("_root"))}, wide, key_bits)
+    edge = exclusive_scan(edge, keys, "tile_id", {"_before": ("last", F.col("_root"))})
     edge = edge.withColumn("tile_id", F.coalesce("_root", "_before")).groupBy(*keys, "tile_id").agg(
         F.sum("run_length").alias("run_length"), F.first("content").alias("content"))
     return runs.filter(~at_edge).unionByName(edge.select(*out))
@@ -77,8 +80,7 @@ def run_ends(entries: DataFrame) -> DataFrame:
     return rows.drop("first_zoom_base", "first_hilbert_index", "last_zoom_base", "last_hilbert_index")
 
 
-def assign_offsets(entries: DataFrame, lengths: DataFrame, bits: int = BITS,
-                   key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
+def assign_offsets(entries: DataFrame, lengths: DataFrame) -> DataFrame:
     """Store each distinct content once: the first use in tile id order gets the next offset, later uses point back.
 
     ``entries`` hold (archive_id, tile_id, run_length, content), ``lengths`` (archive_id, content, length). First uses
@@ -87,35 +89,33 @@ def assign_offsets(entries: DataFrame, lengths: DataFrame, bits: int = BITS,
     """
     firsts = entries.groupBy("archive_id", "content").agg(F.min("tile_id").alias("first_tile_id"))
     firsts = firsts.join(lengths, ["archive_id", "content"])
-    placed = exclusive_scan(firsts, ["archive_id"], "first_tile_id", {"offset": ("sum", F.col("length"))}, bits,
-                            key_bits)
+    placed = exclusive_scan(firsts, ["archive_id"], "first_tile_id", {"offset": ("sum", F.col("length"))})
     placed = placed.select("archive_id", "content", F.coalesce("offset", lng(0)).alias("offset"), "length")
     return entries.join(placed, ["archive_id", "content"])
 
 
-def number_entries(entries: DataFrame, keys: list[str] | None = None, bits: int = BITS,
-                   key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
+def number_entries(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Add ``ordinal``: the entry's position in tile id order."""
     one = F.lit(1).cast("bigint")
-    out = exclusive_scan(entries, keys or ["archive_id"], "tile_id", {"ordinal": ("sum", one)}, bits, key_bits)
+    out = exclusive_scan(entries, keys or ["archive_id"], "tile_id", {"ordinal": ("sum", one)})
     return out.withColumn("ordinal", F.coalesce("ordinal", lng(0)))
 
 
-def pack_leaves(entries: DataFrame, leaf_size: int, bits: int = BITS, key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
+def pack_leaves(entries: DataFrame, leaf_size: int) -> DataFrame:
     """Cut each archive's entries into leaves of ``leaf_size`` and put a root above them.
 
     Returns every entry with ``dir_id`` (-1 root, else the leaf's offset in the leaf section), ``leaf_no`` and its
     position ``i``. An archive that fits one leaf keeps all its entries in the root.
     """
-    rows = number_entries(entries.select("archive_id", "tile_id", "run_length", "offset", "length"), None, bits, key_bits)
+    rows = number_entries(entries.select("archive_id", "tile_id", "run_length", "offset", "length"))
     rows = rows.withColumns({"leaf_no": div("ordinal", leaf_size), "i": F.pmod("ordinal", lng(leaf_size))})
     rows = cut_lineage(rows, "numbered")  # read three times below
-    sized = encode_entries(rows, ["archive_id", "leaf_no"], bits=bits)
+    sized = encode_entries(rows, ["archive_id", "leaf_no"])
     leaves = sized.groupBy("archive_id", "leaf_no").agg(
         F.min("tile_id").alias("tile_id"), F.count(F.lit(1)).alias("n"), F.sum("encoded_bytes").alias("body"))
     leaves = cut_lineage(leaves.withColumn("length", F.col("body") + varint_width("n")), "leaves")
     counts = leaves.groupBy("archive_id").agg(F.count(F.lit(1)).alias("leaves"))
-    leaves = exclusive_scan(leaves, ["archive_id"], "leaf_no", {"offset": ("sum", F.col("length"))}, bits, key_bits)
+    leaves = exclusive_scan(leaves, ["archive_id"], "leaf_no", {"offset": ("sum", F.col("length"))})
     leaves = leaves.withColumn("offset", F.coalesce("offset", lng(0)))
     leaves = cut_lineage(leaves.join(counts, "archive_id"), "leaves")
     root = leaves.filter("leaves > 1").select(
@@ -129,29 +129,30 @@ def pack_leaves(entries: DataFrame, leaf_size: int, bits: int = BITS, key_bits:
 
 # ---- encoding --------------------------------------------------------------------------------------------------
 
-def encode_entries(entries: DataFrame, keys: list[str], order: str = "i", bits: int = BITS,
-                   index_bits: int = 32) -> DataFrame:
+def encode_entries(entries: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
     """Add the stored value of each column (``delta``, ``code``) and the bytes the entry takes.
 
     The id is stored as the difference to the entry before; the offset as 0 when the entry's bytes follow the ones of
     the entry before, else as offset + 1.
     """
     out = exclusive_scan(entries, keys, order, {"_prev": ("last", F.struct(
-        "tile_id", (F.col("offset") + F.col("length")).alias("end")))}, bits, index_bits)
+        "tile_id", (F.col("offset") + F.col("length")).alias("end")))})
     code = F.when(F.col("_prev.end") == F.col("offset"), lng(0)).otherwise(F.col("offset") + 1)
     out = out.withColumns({"delta": F.col("tile_id") - F.coalesce("_prev.tile_id", lng(0)), "code": code})
     width = (varint_width("delta") + varint_width("run_length") + varint_width("length") + varint_width("code"))
     return out.withColumn("encoded_bytes", width.cast("bigint")).drop("_prev")
 
 
-def encode_directories(entries: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
+def encode_directories(entries: DataFrame, keys: list[str], order: str = "i", extra: str | None = None) -> DataFrame:
     """Directory blobs (keys, n, blob): count, then the four columns one after the other.
 
     A directory is stored as one value in the end, so gathering its entries is bounded by the size of that value; cut
-    large entry lists with ``pack_leaves`` first.
+    large entry lists with ``pack_leaves`` first. ``extra``, a column of the entries, pads their values by so many bytes, as
+    some writers do.
     """
     rows = encode_entries(entries, keys, order)
-    item = F.struct(F.col(order).alias("o"), *[varint_hex(c).alias(c) for c in ("delta", "run_length", "length", "code")])
+    hexed = (lambda c: padded_varint_hex(c, extra)) if extra else varint_hex
+    item = F.struct(F.col(order).alias("o"), *[hexed(c).alias(c) for c in ("delta", "run_length", "length", "code")])
     dirs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_e"), F.count(F.lit(1)).alias("n"))
     # A field of an array of structs is the array of that field.
     body = F.concat(*[F.array_join(F.col(f"_e.{c}"), "") for c in ("delta", "run_length", "length", "code")])
@@ -172,9 +173,9 @@ def spread(blobs: DataFrame, keys: list[str]) -> DataFrame:
 def decode_values(blobs: DataFrame) -> DataFrame:
     """Add ``n``, ``values`` (ARRAY<STRUCT(value, byte_offset, byte_length)>), ``decoded_length`` and ``error``.
 
-    Works inside the row that holds the blob: no shuffle and no row per byte.
+    Whole batches of blobs are decoded as one array of bytes: no shuffle and no row per byte.
     """
-    df = blobs.withColumn("values", decode_varints("blob")).withColumn("decoded_length", F.octet_length("blob"))
+    df = decode_blobs(blobs).withColumn("decoded_length", F.octet_length("blob"))
     df = df.withColumn("n", F.get("values", F.lit(0))["value"])
     stored = F.slice("values", 1, F.least(F.size("values"), F.col("n") * 4 + 1).cast("int"))
     error = (F.when((F.size("values") == 0) | (F.size("values") < F.col("n") * 4 + 1), "truncated")
@@ -230,12 +231,11 @@ def directory_issues(decoded: DataFrame, entries: DataFrame, keys: list[str]) ->
 
 # ---- reports ---------------------------------------------------------------------------------------------------
 
-def offset_classes(entries: DataFrame, keys: list[str], order: str = "i", bits: int = BITS,
-                   index_bits: int = 32) -> DataFrame:
+def offset_classes(entries: DataFrame, keys: list[str], order: str = "i") -> DataFrame:
     """Add ``offset_class``: contiguous, first, backward (reuses earlier bytes), resume (continues at the end of what
     was written so far) or forward (skips ahead)."""
     end = F.col("offset") + F.col("length")
-    rows = exclusive_scan(entries, keys, order, {"_prev": ("last", end), "_high": ("max", end)}, bits, index_bits)
+    rows = exclusive_scan(entries, keys, order, {"_prev": ("last", end), "_high": ("max", end)})
     kind = (F.when(F.col("_prev").isNull(), "first").when(F.col("offset") == F.col("_prev"), "contiguous")
             .when(F.col("offset") < F.col("_prev"), "backward").when(F.col("offset") == F.col("_high"), "resume")
             .otherwise("forward"))
@@ -333,7 +333,7 @@ def damaged_values(ranges: DataFrame, values: DataFrame, on: list[str]) -> DataF
     """
     spans = values.select(*on, "col", "i", F.col("byte_offset").cast("bigint").alias("span_start"),
                           (F.col("byte_offset") + F.col("byte_length")).cast("bigint").alias("span_end"))
-    return span_join(ranges, spans, on, "span_start", "span_end", "damage_start", "damage_end", key_bits=32)
+    return span_join(ranges, spans, on, "span_start", "span_end", "damage_start", "damage_end")
 
 
 def same_entries(a: DataFrame, b: DataFrame) -> DataFrame:

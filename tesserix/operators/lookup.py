@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserix.functions.address import KEY_BITS_DEFAULT, is_valid_zxy, tile_id
 from tesserix.functions.common import lng
-from tesserix.operators.ordered import BITS, exclusive_scan, floor_join
+from tesserix.operators.ordered import exclusive_scan, floor_join
 from tesserix.session import cut_lineage
 
 #: Directories nest at most this deep, the root included (fixed value).
@@ -42,96 +42,87 @@ def zoom_gate(requests: DataFrame, archives: DataFrame) -> DataFrame:
 
 
 def floor_entry(requests: DataFrame, entries: DataFrame, on: list[str] | None = None, target: str = "target",
-                bits: int = BITS, key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """Requests plus ``candidate``: the entry with the largest tile id at or before the target, if any."""
-    return floor_join(requests, entries, on or ["archive_id"], target, "tile_id", "candidate", bits, key_bits)
+    return floor_join(requests, entries, on or ["archive_id"], target, "tile_id", "candidate", partitions)
 
 
-def lookup_flat(requests: DataFrame, archives: DataFrame, entries: DataFrame, bits: int = BITS,
-                key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
+def lookup_flat(requests: DataFrame, archives: DataFrame, entries: DataFrame) -> DataFrame:
     """Search one directory per archive: adds ``outcome``, with ``out-of-zoom`` and ``invalid`` decided up front."""
     asked = zoom_gate(requests, archives)
-    searched = floor_entry(asked.withColumn("_t", F.when(F.col("in_zoom"), F.col("target"))), entries, target="_t",
-                           bits=bits, key_bits=key_bits)
+    searched = floor_entry(asked.withColumn("_t", F.when(F.col("in_zoom"), F.col("target"))), entries, target="_t")
     outcome = (F.when(F.col("target").isNull(), "invalid").when(~F.col("in_zoom"), "out-of-zoom")
                .otherwise(search_outcome(F.col("target"), F.col("candidate.tile_id"), F.col("candidate.run_length"))))
     return searched.withColumn("outcome", outcome).drop("_t", "in_zoom")
 
 
-def lookup_tree(requests: DataFrame, archives: DataFrame, entries: DataFrame, bits: int = BITS,
-                key_bits: int = KEY_BITS_DEFAULT) -> DataFrame:
+def lookup_tree(requests: DataFrame, archives: DataFrame, entries: DataFrame) -> DataFrame:
     """Walk root -> leaf -> ... as one floor join per level, at most four.
 
     ``entries`` carry ``dir_id`` (-1 for the root, else the leaf's offset). Adds ``status`` (found, not-found,
     out-of-zoom, error, invalid), the ``depth`` where the walk ended and the found ``offset`` and ``length``.
-    A leaf with no entries, or one that could not be read, is an error; an empty root just finds nothing.
+    A leaf with no entries, or one that could not be read, is an error; an empty root just finds nothing. Only different
+    (archive, tile) pairs walk, without the requests' other columns; the answers are joined back once.
     """
     known = entries.groupBy("archive_id", "dir_id").agg(F.lit(True).alias("known"))
     rows = entries.select("archive_id", "dir_id", "tile_id", "run_length", "offset", "length")
     asked = zoom_gate(requests, archives)
-    status = F.when(F.col("target").isNull(), "invalid").when(~F.col("in_zoom"), "out-of-zoom")
-    asked = asked.withColumns({"status": status, "depth": F.lit(0), "dir_id": lng(ROOT)}).drop("in_zoom")
-    none = F.lit(None).cast("bigint")
-    cols = [*requests.columns, "status", "depth", "offset", "length"]
-    done = [asked.filter(F.col("status").isNotNull()).withColumns({"offset": none, "length": none}).select(*cols)]
-    active = cut_lineage(asked.filter(F.col("status").isNull()).drop("status"), "walk")
+    gate = F.when(F.col("target").isNull(), "invalid").when(~F.col("in_zoom"), "out-of-zoom")
+    asked = asked.withColumn("_gate", gate).drop("in_zoom")
+    active = asked.filter("_gate IS NULL").select("archive_id", "target").distinct().withColumn("dir_id", lng(ROOT))
+    cols, done = ["archive_id", "target", "status", "depth", "offset", "length"], []
     for depth in range(MAX_DEPTH):
-        found = floor_join(active, rows, ["archive_id", "dir_id"], "target", "tile_id", "c", bits, key_bits)
-        if depth:
-            found = found.join(known, ["archive_id", "dir_id"], "left")
-        else:
-            found = found.withColumn("known", F.lit(True))
+        found = floor_join(active, rows, ["archive_id", "dir_id"], "target", "tile_id", "c")
+        found = found.join(known, ["archive_id", "dir_id"], "left") if depth else found.withColumn("known", F.lit(True))
         state = (F.when(F.col("known").isNull(), "error").when(F.col("c").isNull(), "not-found")
                  .when(F.col("c.run_length") > 0, F.when(
                      F.col("target") - F.col("c.tile_id") < F.col("c.run_length"), "found").otherwise("not-found"))
                  .otherwise("error" if depth == MAX_DEPTH - 1 else "descend"))
-        found = found.withColumns({"status": state, "depth": F.lit(depth), "offset": F.col("c.offset"),
-                                   "length": F.col("c.length")})
-        found = cut_lineage(found.drop("c"), "walk")  # both the finished and the descending part read it
-        ended = found.filter("status <> 'descend'")
+        found = found.withColumns({"status": state, "depth": F.lit(depth), "offset": F.col("c.offset"), "length": F.col("c.length")})
         hit = F.col("status") == "found"
-        done.append(ended.withColumns({"offset": F.when(hit, F.col("offset")), "length": F.when(hit, F.col("length"))})
-                    .select(*cols))
+        done.append(found.filter("status <> 'descend'").withColumns(
+            {"offset": F.when(hit, F.col("offset")), "length": F.when(hit, F.col("length"))}).select(*cols))
         if depth < MAX_DEPTH - 1:
-            active = found.filter("status = 'descend'").withColumn("dir_id", F.col("offset")).select(
-                *requests.columns, "depth", "dir_id")
+            active = found.filter("status = 'descend'").select("archive_id", "target", F.col("offset").alias("dir_id"))
             if active.isEmpty():
                 break
-    out = done[0]
+    walked = done[0]
     for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        walked = walked.unionByName(part)
+    out = asked.join(walked, ["archive_id", "target"], "left")
+    return out.withColumns({"status": F.coalesce("_gate", "status"), "depth": F.coalesce("depth", F.lit(0))}).select(
+        *requests.columns, "status", "depth", "offset", "length")
 
 
-def responsibility(entries: DataFrame, keys: list[str], upper: str | None = None, bits: int = BITS,
-                   index_bits: int = 32) -> DataFrame:
+def responsibility(entries: DataFrame, keys: list[str], upper: str | None = None) -> DataFrame:
     """Add the half-open tile id interval [range_start, range_end) each entry answers for.
 
     A tile entry covers its run. A leaf entry has no end of its own: it reaches to the next entry of its directory, or
     to the bound ``upper`` inherited from the parent (NULL for a root: no bound). Entries are ordered by ``i``.
     """
-    last = (1 << index_bits) - 1
-    back = entries.withColumn("_back", F.lit(last).cast("bigint") - F.col("i"))
-    nxt = exclusive_scan(back, keys, "_back", {"_next": ("last", F.col("tile_id"))}, bits, index_bits).drop("_back")
+    back = entries.withColumn("_back", -F.col("i"))
+    nxt = exclusive_scan(back, keys, "_back", {"_next": ("last", F.col("tile_id"))}).drop("_back")
     bound = F.col(upper) if upper else F.lit(None).cast("bigint")
     end = F.when(F.col("run_length") > 0, F.col("tile_id") + F.col("run_length")).otherwise(
         F.coalesce(F.col("_next"), bound))
     return nxt.withColumns({"range_start": F.col("tile_id"), "range_end": end, "next_tile_id": F.col("_next")}).drop("_next")
 
 
-def flatten_tree(entries: DataFrame, bits: int = BITS) -> DataFrame:
+def flatten_tree(entries: DataFrame) -> DataFrame:
     """All reachable tile runs of a directory tree as disjoint intervals: one row per run, any depth.
 
     A leaf's runs are clipped to the interval its parent entry answers for, so one interval join over the result gives
     the same hits as walking the tree. A leaf that is not at hand, or lies below the deepest level, answers its whole
     interval with an error. Columns: archive_id, run_start, run_end, offset, length, depth, status (found or error).
+
+    Intervals go down level by level: the next tile id inside each directory is found once for all directories and stored, each
+    level takes its entries from there, cuts them by its parents' bounds and stores them; so is the result.
     """
     none = F.lit(None).cast("bigint")
-    known = entries.select("archive_id", "dir_id").distinct().withColumn("_known", F.lit(True))
-    # Next tile id inside each directory, for every directory at once.
-    all_rows = responsibility(entries, ["archive_id", "dir_id"], bits=bits).select(
-        "archive_id", "dir_id", "tile_id", "run_length", "offset", "length", F.col("next_tile_id").alias("nxt"))
-    level = all_rows.filter(F.col("dir_id") == ROOT).withColumns({"lo": lng(0), "hi": none})
+    rows = cut_lineage(responsibility(entries, ["archive_id", "dir_id"]).select(
+        "archive_id", "dir_id", "tile_id", "run_length", "offset", "length", F.col("next_tile_id").alias("nxt")), "entries")
+    known = rows.select("archive_id", "dir_id").distinct().withColumn("_known", F.lit(True))
+    level = rows.filter(F.col("dir_id") == ROOT).withColumns({"lo": lng(0), "hi": none})
     parts = []
     for depth in range(MAX_DEPTH):
         start = F.greatest("tile_id", "lo")
@@ -149,12 +140,13 @@ def flatten_tree(entries: DataFrame, bits: int = BITS) -> DataFrame:
         lost = lost.select("archive_id", F.col("lo").alias("run_start"), F.coalesce("hi", lng(1 << KEY_BITS_DEFAULT)).alias("run_end"),
                            none.alias("offset"), none.alias("length"), F.lit(depth if last else depth + 1).alias("depth"), F.lit("error").alias("status"))
         parts.append(lost.filter("run_start < run_end"))
-        if not last:
-            level = all_rows.join(leaves, ["archive_id", "dir_id"])
+        if last or leaves.isEmpty():
+            break
+        level = cut_lineage(rows.join(leaves, ["archive_id", "dir_id"]), "level")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return cut_lineage(out, "runs")
 
 
 _STEP = 4
@@ -212,7 +204,7 @@ def fetch_tiles(requests: DataFrame, archives: DataFrame, runs: DataFrame, conte
     address, a directory that could not be read and a found tile whose content cannot be decoded are errors. ``runs`` are
     those of ``flatten_tree``; ``contents`` hold (archive_id, offset, length, payload, error), one row per stored range.
     """
-    looked = lookup_flattened(requests, archives, runs)
+    looked = cut_lineage(lookup_flattened(requests, archives, runs), "looked")  # read twice below
     types = archives.select("archive_id", F.col("tile_type").isin(1, 6).alias("is_vector"))
     hit = looked.filter("status = 'found'").join(contents, ["archive_id", "offset", "length"], "left").withColumn(
         "status", F.when(F.col("payload").isNull(), "error").otherwise("found"))

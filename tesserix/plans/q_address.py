@@ -213,7 +213,7 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     focus = focus.unionByName(t.select("archive_id").distinct().selectExpr("archive_id", "4 AS z", "0L AS x", "0L AS y"))
     focus = focus.withColumn("k", F.lit(4))
     tree = T.leaves(spark, d).filter("dir_id = -1 OR leaf_no % 3 <> 1")
-    return B.classify_grid(B.tile_grid(focus), tree, key_bits=T.KEY_BITS)
+    return B.classify_grid(B.tile_grid(focus), tree)
 
 
 def grid_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ def lookup_outcomes_by_zoom(spark: SparkSession, d: str) -> DataFrame:
     """How many requests are exact hits, run hits, misses and out of zoom, per zoom (the flagship)."""
     # Equal requests are counted before the search, so each distinct tile is looked up once.
     asked = T.requests(spark, d).groupBy("archive_id", "z", "target").agg(F.count(F.lit(1)).alias("c"))
-    out = L.lookup_flat(asked, T.archives(spark, d), T.entries(spark, d), key_bits=T.KEY_BITS + 2)
+    out = L.lookup_flat(asked, T.archives(spark, d), T.entries(spark, d))
     return out.groupBy("z", "outcome").agg(F.sum("c").alias("n"))
 
 
@@ -33,7 +33,7 @@ LOOKUP_OUTCOMES_SQL = T.with_tables(
 
 def floor_entries(spark: SparkSession, d: str) -> DataFrame:
     """The entry at or before every request, without the run check."""
-    out = L.floor_entry(T.requests(spark, d), T.entries(spark, d), key_bits=T.KEY_BITS + 2)
+    out = L.floor_entry(T.requests(spark, d), T.entries(spark, d))
     return out.select("request_id", F.col("candidate.tile_id").alias("floor_tile_id"),
                       F.col("candidate.run_length").alias("floor_run_length"))
 
@@ -44,8 +44,8 @@ FLOOR_SQL = T.with_tables(
 
 
 def bucketed_lookup_equals_plain(spark: SparkSession, d: str) -> DataFrame:
-    """The bucketed search with very small buckets: same rows as one window per archive."""
-    out = L.floor_entry(T.requests(spark, d), T.entries(spark, d), bits=6, key_bits=T.KEY_BITS + 2)
+    """The search cut into many small ranges, so that archives reach over several: same rows as one window per archive."""
+    out = L.floor_entry(T.requests(spark, d), T.entries(spark, d), partitions=64)
     return out.groupBy("archive_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("candidate").alias("n_found"),
         F.sum("candidate.tile_id").alias("sum_tile_id"), F.sum("candidate.run_length").alias("sum_run_length"))
@@ -59,7 +59,7 @@ BUCKETED_SQL = T.with_tables(
 
 def tree_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Root -> leaf walk over packed directories; leaf 2 of every third archive is missing, which is an error."""
-    out = L.lookup_tree(T.requests(spark, d), T.archives(spark, d), _damaged(spark, d), key_bits=T.KEY_BITS + 2)
+    out = L.lookup_tree(T.requests(spark, d), T.archives(spark, d), _damaged(spark, d))
     return out.groupBy("archive_id", "status", "depth").agg(
         F.count(F.lit(1)).alias("n"), F.sum("offset").alias("sum_offset"), F.sum("length").alias("sum_length"))
 

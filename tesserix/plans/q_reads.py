@@ -126,7 +126,7 @@ def read_budget(spark: SparkSession, d: str) -> DataFrame:
         "archive_id", "tile_id", "run_length", F.col("length").alias("tile_bytes"), F.when(F.col("dir_id") >= 0, F.col("dir_id")).alias("leaf_id"), "leaf_bytes")
     asked = zoom_gate(T.requests(spark, d), T.archives(spark, d))
     asked = asked.select("request_id", "archive_id", F.when(F.col("in_zoom"), F.col("target")).alias("target"))
-    found = floor_join(asked, runs, ["archive_id"], "target", "tile_id", "e", key_bits=T.KEY_BITS + 2)
+    found = floor_join(asked, runs, ["archive_id"], "target", "tile_id", "e")
     hit = F.col("target") - F.col("e.tile_id") < F.col("e.run_length")
     traces = found.select(
         F.col("request_id").alias("id"), F.col("archive_id").alias("session_id"), F.lit(16384).cast("bigint").alias("open_bytes"),

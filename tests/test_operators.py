@@ -1,8 +1,10 @@
 """Scans, joins, directories, geometry: properties and fixed examples against plain Python."""
 
 import random
+import re
 from bisect import bisect_right
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserix.functions import geometry as G
@@ -14,42 +16,81 @@ from tesserix.operators.features import hit_test, with_geometry
 from tesserix.operators.ordered import exclusive_scan, floor_join, span_join
 
 
-def test_scan_equals_one_pass_for_any_bucket_size(spark):
+@pytest.mark.parametrize("batch", ["1", "7", "10000"])
+def test_scan_equals_one_pass_for_any_cut(spark, batch):
+    """Groups reach over partitions and over batches; keys may be null, values too."""
     rnd = random.Random(3)
-    rows = [(g, k, rnd.randrange(100), rnd.choice([None, rnd.randrange(9)])) for g in range(3) for k in sorted(rnd.sample(range(500), 60))]
-    df = spark.createDataFrame(rows, "g int, k long, v long, w long")
-    want = {}
-    for g in range(3):
-        total, high, last = None, None, None
-        for _, k, v, w in (r for r in rows if r[0] == g):
-            want[g, k] = (total, high, last)
-            total, high, last = (total or 0) + v, max(v, high if high is not None else v), w if w is not None else last
-    for bits, key_bits in ((3, 9), (4, 9), (9, 9)):
-        out = exclusive_scan(df, ["g"], "k", {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("w"))}, bits, key_bits)
-        assert {(r.g, r.k): (r.s, r.m, r.l) for r in out.collect()} == want
-
-
-def test_floor_join_for_any_bucket_size(spark):
+    groups = [(None, "x"), (1, None), (1, "a"), (2, "a")]
+    rows = [(*g, k, rnd.choice([None, rnd.randrange(-50, 100)]), rnd.choice([None, None, f"w{k}"])) for g in groups for k in sorted(rnd.sample(range(-250, 250), 40))]
+    rows += [(9, "many", k, 1, None) for k in range(300)] + [(10, "one", 0, 5, "last")]
+    df = spark.createDataFrame(rows, "g int, h string, k long, v long, w string").repartition(3)
+    want, state = {}, {}
+    for g, h, k, v, w in sorted(rows, key=lambda r: r[2]):
+        total, high, low, last = state.get((g, h), (None,) * 4)
+        want[g, h, k] = (total, high, low, last)
+        if v is not None:
+            total, high, low = (total or 0) + v, v if high is None else max(v, high), v if low is None else min(v, low)
+        state[g, h] = (total, high, low, last if w is None else w)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for partitions in (1, 5, 60):
+            out = exclusive_scan(df, ["g", "h"], "k", {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "n": ("min", F.col("v")),
+                                                       "l": ("last", F.struct("w").getField("w"))}, partitions)
+            assert {(r.g, r.h, r.k): (r.s, r.m, r.n, r.l) for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_floor_join_for_any_cut(spark):
     rnd = random.Random(4)
     keys = {g: sorted(rnd.sample(range(1000), 30)) for g in range(3)}
-    right = spark.createDataFrame([(g, k, k * 2) for g, ks in keys.items() for k in ks], "g int, k long, v long")
-    asked = [(g, t) for g in range(4) for t in range(0, 1000, 7)] * 2
-    left = spark.createDataFrame(asked, "g int, t long")
-    for bits in (3, 10):
-        got = floor_join(left, right, ["g"], "t", "k", bits=bits, key_bits=10).collect()
-        assert len(got) == len(asked)
+    right = spark.createDataFrame([(g, k, k * 2) for g, ks in keys.items() for k in ks] + [(None, 5, 0), (1, None, 0)], "g int, k long, v long")
+    asked = [(g, t) for g in range(4) for t in range(0, 1000, 7)] * 2 + [(1, None)] * 50 + [(None, 7), (2, -3)] + [(0, 500)] * 200
+    left = spark.createDataFrame([(i, *r) for i, r in enumerate(asked)], "n int, g int, t long")
+    for partitions in (1, 40):
+        got = floor_join(left, right, ["g"], "t", "k", partitions=partitions).collect()
+        assert sorted(r.n for r in got) == list(range(len(asked)))
         for r in got:
-            ks = keys.get(r.g, [])
-            i = bisect_right(ks, r.t) - 1
+            ks = keys.get(r.g, []) if r.t is not None else []
+            i = bisect_right(ks, r.t) - 1 if ks else -1
             assert (r.match.k if r.match else None) == (ks[i] if i >= 0 else None)
 
 
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"\bExchange (?:hash|range|Single)", plan)), len(re.findall(r"Scan parquet|FileScan", plan))
+
+
+def test_as_of_join_moves_rows_once(spark, tmp_path):
+    """What is left after the scan is stored: only the carry, a row or two per partition, is exchanged again."""
+    left = spark.range(1000).selectExpr("id % 5 AS g", "id AS t")
+    right = spark.range(100).selectExpr("id % 5 AS g", "id * 10 AS k")
+    shuffles, scans = _exchanges(floor_join(left, right, ["g"], "t", "k"))
+    assert shuffles <= 2 and scans <= 2
+
+
+def test_a_popular_target_is_cut_over_partitions(spark):
+    left = spark.range(20000).selectExpr("1 AS g", "77L AS t", "id AS n")
+    right = spark.createDataFrame([(1, 70, "hit")], "g int, k long, v string")
+    from tesserix.operators import ordered
+
+    kept, cut = [], ordered.cut_lineage
+    ordered.cut_lineage = lambda df, name: kept.append(cut(df, name)) or kept[-1]
+    try:
+        got = floor_join(left, right, ["g"], "t", "k", partitions=8)
+    finally:
+        ordered.cut_lineage = cut
+    assert got.filter("match.v = 'hit'").count() == 20000
+    parts = {r[0]: r[1] for r in kept[0].filter("_edge = 0").groupBy("_part").count().collect()}
+    assert len(parts) == 8 and max(parts.values()) < 6000
+
+
 def test_span_join(spark):
     spans = [(1, 0, 5), (1, 5, 7), (1, 9, 12), (2, 3, 4)]
     ranges = [(1, 4, 6), (1, 7, 9), (1, 8, 100), (2, 0, 3), (2, 3, 3), (1, 6, 7), (3, 0, 9)]
     a = spark.createDataFrame(ranges, "d int, rs long, re long")
     b = spark.createDataFrame(spans, "d int, ss long, se long")
-    got = sorted((r.d, r.rs, r.re, r.ss) for r in span_join(a, b, ["d"], "ss", "se", "rs", "re", bits=2, key_bits=8).collect())
+    got = sorted((r.d, r.rs, r.re, r.ss) for r in span_join(a, b, ["d"], "ss", "se", "rs", "re", partitions=5).collect())
     assert got == sorted((d, s, e, x) for d, s, e in ranges for d2, x, y in spans if d == d2 and s < y and e > x and s < e)
 
 
