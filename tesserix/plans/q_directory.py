@@ -19,6 +19,11 @@ T.CTES["t_dir_rows"] = ("""
 SELECT *, tile_id - lag(tile_id, 1, 0) OVER w AS delta, count(*) OVER (PARTITION BY archive_id, dir_id) AS n,
   CASE WHEN lag("offset" + length) OVER w = "offset" THEN 0 ELSE "offset" + 1 END AS code
 FROM t_leaves WINDOW w AS (PARTITION BY archive_id, dir_id ORDER BY i)""", ["t_leaves"])
+_EXTRA = "CASE WHEN (archive_id + leaf_no) % 3 = 0 AND i % 5 = 2 THEN 1 + i % 2 ELSE 0 END"
+T.CTES["t_padded_values"] = (f"""
+SELECT *, CASE WHEN extra > 0 THEN 1 ELSE 0 END AS loose FROM (SELECT archive_id, dir_id, i, extra, unnest(['tile_id', 'run_length', 'length', 'offset']) AS col,
+  unnest([delta, run_length, length, code]) AS value, unnest([{_W('delta')}, {_W('run_length')}, {_W('length')}, {_W('code')}]) + extra AS byte_length
+  FROM (SELECT *, {_EXTRA} AS extra FROM t_dir_rows))""", ["t_dir_rows"])
 T.CTES["t_dir_values"] = (f"""
 SELECT archive_id, dir_id, n, i, c, ['tile_id', 'run_length', 'length', 'offset'][c] AS col, value, w AS byte_length,
   {_W('n')} + coalesce(sum(w) OVER (PARTITION BY archive_id, dir_id ORDER BY c, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
@@ -79,7 +84,7 @@ LEAVES_SQL = T.with_tables("SELECT * FROM t_leaves", "t_leaves")
 
 
 def _classed(spark: SparkSession, d: str) -> DataFrame:
-    return D.offset_classes(T.placed(spark, d), ["archive_id"], "tile_id", index_bits=T.KEY_BITS)
+    return D.offset_classes(T.placed(spark, d), ["archive_id"], "tile_id")
 
 
 def offset_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +113,7 @@ SUMMARY_SQL = T.with_tables("SELECT archive_id, " + ", ".join(
 def clustered_check(spark: SparkSession, d: str) -> DataFrame:
     """Whether each archive's tile data lies in tile id order; odd archives are stored back to front first."""
     p = T.placed(spark, d).withColumn("offset", F.when(F.col("archive_id") % 2 == 1, 10000000 - F.col("offset")).otherwise(F.col("offset")))
-    return D.clustered_check(D.offset_classes(p, ["archive_id"], "tile_id", index_bits=T.KEY_BITS), ["archive_id"], "tile_id")
+    return D.clustered_check(D.offset_classes(p, ["archive_id"], "tile_id"), ["archive_id"], "tile_id")
 
 
 CLUSTERED_SQL = T.with_tables("""
@@ -164,18 +169,21 @@ VALUES_SQL = T.with_tables("SELECT archive_id, dir_id, n, col, i, value, byte_of
 
 
 def column_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes, one-byte share and most common value of every directory column."""
-    s = D.column_stats(D.encoded_values(decoded(spark, d), DIR), DIR)
+    """Bytes, one-byte share, most common value and padded values of every directory column; a third of the directories
+    pads every fifth entry by one or two bytes."""
+    extra = F.when((F.col("archive_id") + F.col("leaf_no")) % 3 == 0, F.when(F.col("i") % 5 == 2, 1 + F.col("i") % 2).otherwise(0)).otherwise(0)
+    padded = D.encode_directories(T.leaves(spark, d).withColumn("extra", extra.cast("int")), DIR, extra="extra")
+    s = D.column_stats(D.encoded_values(D.decode_values(padded.drop("n")), DIR), DIR)
     return s.withColumn("bytes_per_value", F.round("bytes_per_value", 6))
 
 
 STATS_SQL = T.with_tables(f"""
 SELECT archive_id, dir_id, col, count(*)::BIGINT AS n_values, sum(byte_length)::BIGINT AS bytes,
   round(sum(byte_length) / count(*)::DOUBLE, 6) AS bytes_per_value, count(*) FILTER (WHERE byte_length = 1)::BIGINT AS one_byte_values,
-  any_value(best) AS most_common, max(cnt)::BIGINT AS frequency, 0::BIGINT AS not_shortest
+  any_value(best) AS most_common, max(cnt)::BIGINT AS frequency, sum(loose)::BIGINT AS not_shortest
 FROM (SELECT *, first_value(value) OVER (PARTITION BY archive_id, dir_id, col ORDER BY cnt DESC, first_i) AS best FROM (
-    SELECT *, count(*) OVER v AS cnt, min(i) OVER v AS first_i FROM t_dir_values WINDOW v AS (PARTITION BY archive_id, dir_id, col, value)))
-GROUP BY 1, 2, 3""", "t_dir_values")
+    SELECT *, count(*) OVER v AS cnt, min(i) OVER v AS first_i FROM t_padded_values WINDOW v AS (PARTITION BY archive_id, dir_id, col, value)))
+GROUP BY 1, 2, 3""", "t_padded_values")
 
 
 def column_ranges(spark: SparkSession, d: str) -> DataFrame:

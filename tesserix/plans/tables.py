@@ -62,11 +62,12 @@ def build_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.selectExpr(
         "o_orderkey",
         "CASE WHEN o_orderkey % 3 = 0 THEN 0L ELSE 1 + o_custkey div 500 END AS archive_id",
-        "CAST(3 + (o_orderkey div 3) % 8 AS INT) AS z",
-        "(o_orderkey div 3) div 8 AS j",
+        "(o_orderkey div 3) % 8 AS k", "(o_orderkey div 3) div 8 AS j",
         "CASE WHEN o_totalprice < 300000 THEN o_orderstatus ELSE concat(o_orderstatus, '-', o_custkey) END AS content")
+    # Every fourth archive starts at zoom 5.
+    o = o.selectExpr("*", "CAST(3 + k + CASE WHEN archive_id % 4 = 1 AND k < 2 THEN 2 ELSE 0 END AS INT) AS z")
     o = o.selectExpr("o_orderkey", "archive_id", "z", "j % shiftleft(1L, z) AS x",
-                     "shiftright(j, z) % shiftleft(1L, z) AS y", "content").filter("NOT (archive_id % 4 = 1 AND z < 5)")
+                     "shiftright(j, z) % shiftleft(1L, z) AS y", "content")
     o = o.groupBy("archive_id", "z", "x", "y").agg(F.min_by("content", "o_orderkey").alias("content"))
     return o.select("archive_id", "z", "x", "y", tile_id("z", "x", "y").alias("tile_id"), "content")
 
@@ -74,11 +75,10 @@ def build_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 T_TILES = f"""
 SELECT archive_id, z, x, y, {tile_id_sql('z', 'x', 'y')} AS tile_id, content FROM (
   SELECT archive_id, z, j % (1::BIGINT << z) AS x, (j >> z) % (1::BIGINT << z) AS y, arg_min(content, o_orderkey) AS content
-  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + o_custkey // 500 END::BIGINT AS archive_id,
-          (3 + (o_orderkey // 3) % 8)::INTEGER AS z, (o_orderkey // 3) // 8 AS j,
+  FROM (SELECT *, (3 + k + CASE WHEN archive_id % 4 = 1 AND k < 2 THEN 2 ELSE 0 END)::INTEGER AS z FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + o_custkey // 500 END::BIGINT AS archive_id,
+          (o_orderkey // 3) % 8 AS k, (o_orderkey // 3) // 8 AS j,
           CASE WHEN o_totalprice < 300000 THEN o_orderstatus ELSE o_orderstatus || '-' || o_custkey END AS content
-        FROM orders)
-  WHERE NOT (archive_id % 4 = 1 AND z < 5)
+        FROM orders))
   GROUP BY 1, 2, 3, 4)
 """
 
@@ -192,7 +192,7 @@ def build_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entries(spark, sf_dir)
     lengths = e.groupBy("archive_id", "content").agg(
         (F.max(F.length("content")) * 7 + 10).cast("bigint").alias("length"))
-    return assign_offsets(e, lengths, key_bits=KEY_BITS)
+    return assign_offsets(e, lengths)
 
 
 T_PLACED = """
@@ -210,7 +210,7 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t_leaves(archive_id, dir_id, leaf_no, i, tile_id, run_length, offset, length): t_placed cut into directories."""
-    return pack_leaves(placed(spark, sf_dir), LEAF_SIZE, key_bits=KEY_BITS)
+    return pack_leaves(placed(spark, sf_dir), LEAF_SIZE)
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
