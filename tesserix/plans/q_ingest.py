@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tesserix.plans import tables as T
 from tesserix.session import shared_folder
-from tesserix.sources.archive_writer import write_archives
+from tesserix.sources.archive_writer import write_archives, write_files
+from tesserix.sources.entry_source import load_entries, write_manifest
 from tesserix.sources.ingest import from_tms, read_contents, read_directories, read_metadata, scan_archives, write_entries
 
 LEAF = 64
-FIRST_TILE, END_TILE = 300, 1100
 _FOLDERS: dict[tuple[str, str], str] = {}
 
 # One archive per 50 customers, so an archive stays small however large the tables are.
@@ -53,6 +53,15 @@ def _entries(spark: SparkSession, d: str, **window: int) -> tuple[DataFrame, Dat
     return entries.join(names, "archive_id"), problems.join(names, "archive_id"), a
 
 
+def _window(spark: SparkSession, d: str) -> tuple[int, int]:
+    """The middle half of all tile ids."""
+    low, high = T.read(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    return low + (high - low) // 4, low + (high - low) * 3 // 4
+
+
+_INSIDE = "tile_id >= (SELECT min(tile_id) + (max(tile_id) - min(tile_id)) // 4 FROM f_tiles) AND tile_id < (SELECT min(tile_id) + (max(tile_id) - min(tile_id)) * 3 // 4 FROM f_tiles)"
+
+
 def scan_directories(spark: SparkSession, d: str) -> DataFrame:
     """Every tile entry of every file, and the level of the directory it stood in."""
     return _entries(spark, d)[0].filter("run_length > 0").select("file_id", "tile_id", "run_length", "offset", "length", "depth")
@@ -63,19 +72,72 @@ DIRECTORIES_SQL = f"""WITH {F_TILES} SELECT file_id, tile_id, 1::BIGINT AS run_l
 
 def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
     """Tile entries in a range of ids, read with the leaves outside of it left alone."""
-    e = _entries(spark, d, first_tile=FIRST_TILE, end_tile=END_TILE)[0]
-    return e.filter((F.col("run_length") > 0) & F.col("tile_id").between(FIRST_TILE, END_TILE - 1)).select("file_id", "tile_id", "offset")
+    first, end = _window(spark, d)
+    e = _entries(spark, d, first_tile=first, end_tile=end)[0]
+    return e.filter((F.col("run_length") > 0) & (F.col("tile_id") >= first) & (F.col("tile_id") < end)).select("file_id", "tile_id", "offset")
+
+
+PRUNED_SQL = f"""WITH {F_TILES} SELECT file_id, tile_id, "offset" FROM f_entries WHERE {_INSIDE}"""
+
+
+def _manifest(spark: SparkSession, d: str) -> str:
+    key = (spark.sparkContext.applicationId, f"{d} manifest")
+    if key not in _FOLDERS:
+        folder = shared_folder(spark, "manifest")
+        a = archives(spark, d)
+        write_manifest(a, read_directories(a)[0], folder, 200)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+def _named(spark: SparkSession, d: str, entries: DataFrame) -> DataFrame:
+    return entries.join(archives(spark, d).select("archive_id", "file_id"), "archive_id").select(
+        "file_id", F.col("z").cast("bigint").alias("z"), "tile_id", "run_length", "offset", "length")
+
+
+def entries_by_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every tile entry, read by way of the manifest."""
+    return _named(spark, d, load_entries(spark, _manifest(spark, d)))
+
+
+_Z = "CASE " + " ".join(f"WHEN tile_id < {(4 ** (z + 1) - 1) // 3} THEN {z}" for z in range(14)) + " END::BIGINT"
+BY_MANIFEST_SQL = f"""WITH {F_TILES} SELECT file_id, {_Z} AS z, tile_id, 1::BIGINT AS run_length, "offset", length FROM f_entries"""
+
 
+def entries_in_window(spark: SparkSession, d: str) -> DataFrame:
+    """The same where the deepest zoom meets a range of ids: only directories that can hold such tiles are opened."""
+    first, end = _window(spark, d)
+    rows = load_entries(spark, _manifest(spark, d), first_tile=first, end_tile=end)
+    return _named(spark, d, rows.filter(F.col("z") >= F.lit(6)))
 
-PRUNED_SQL = f"""WITH {F_TILES} SELECT file_id, tile_id, "offset" FROM f_entries WHERE tile_id BETWEEN {FIRST_TILE} AND {END_TILE - 1}"""
+
+IN_WINDOW_SQL = f"""SELECT * FROM ({BY_MANIFEST_SQL} WHERE {_INSIDE}) WHERE z >= 6"""
+
+
+def _damaged_archives(spark: SparkSession, d: str) -> DataFrame:
+    """The files again: of every four, one with a broken first leaf, one cut off before its leaves, one with a broken root."""
+    key = (spark.sparkContext.applicationId, f"{d} damaged")
+    if key not in _FOLDERS:
+        folder = shared_folder(spark, "damaged")
+        heads = archives(spark, d).select("file_id", *[F.col(c).cast("int").alias(c) for c in ("root_offset", "leaf_offset", "leaf_length")])
+        files = spark.read.format("binaryFile").load(_FOLDERS[spark.sparkContext.applicationId, d]).select(
+            F.regexp_extract("path", r"(\d+)\.tiles$", 1).cast("bigint").alias("file_id"), "content")
+        body = F.expr("""CASE file_id % 4 WHEN 1 THEN CASE WHEN leaf_length > 0 THEN overlay(content PLACING unhex(repeat('00', 8)) FROM leaf_offset + 1) ELSE content END
+            WHEN 2 THEN substring(content, 1, leaf_offset) WHEN 3 THEN overlay(content PLACING unhex(repeat('00', 8)) FROM root_offset + 1) ELSE content END""")
+        write_files(files.join(heads, "file_id").select("file_id", body.alias("content")), "file_id", "content", folder).write.format("noop").mode("overwrite").save()
+        _FOLDERS[key] = folder
+    return scan_archives(spark, _FOLDERS[key], ".tiles").withColumn("file_id", F.regexp_extract("path", r"(\d+)\.tiles$", 1).cast("bigint"))
 
 
 def scan_problems(spark: SparkSession, d: str) -> DataFrame:
-    """Directories that break a rule or cannot be read, per kind: none in files that were just written."""
-    return _entries(spark, d)[1].groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    """Directories that break a rule or cannot be read, per damaged file and kind."""
+    a = _damaged_archives(spark, d)
+    return read_directories(a)[1].join(a.select("archive_id", "file_id"), "archive_id").groupBy("file_id", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
-PROBLEMS_SQL = "SELECT 'none' AS issue, 0::BIGINT AS n WHERE FALSE"
+PROBLEMS_SQL = f"""WITH {F_TILES}, n AS (SELECT file_id, count(*) AS n FROM f_tiles GROUP BY 1)
+SELECT file_id, CASE WHEN file_id % 4 = 2 THEN 'short-read' ELSE 'broken' END AS issue, CASE WHEN file_id % 4 = 2 THEN (n + {LEAF} - 1) // {LEAF} ELSE 1 END::BIGINT AS n
+FROM n WHERE file_id % 4 = 3 OR (file_id % 4 IN (1, 2) AND n > {LEAF})"""
 
 
 def scan_metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -97,22 +159,54 @@ def scan_contents(spark: SparkSession, d: str) -> DataFrame:
 CONTENTS_SQL = f"""WITH {F_TILES} SELECT file_id, "offset", length, md5(content) AS md5, NULL::VARCHAR AS error FROM f_contents"""
 
 
-def stored_entries_all(spark: SparkSession, d: str) -> DataFrame:
-    """Entries stored by archive, every row read back."""
+#: Bytes between two contents that are still read together, in the query below.
+NEAR = 2
+
+
+def merged_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Contents of tiles in a range of ids: how many reads of each file fetched them, and with how many bytes."""
+    first, end = _window(spark, d)
+    entries, _, a = _entries(spark, d, first_tile=first, end_tile=end)
+    entries = entries.filter((F.col("tile_id") >= first) & (F.col("tile_id") < end))
+    got = read_contents(a, entries, gap=NEAR).join(a.select("archive_id", "file_id", "tile_offset"), "archive_id")
+    reads = got.groupBy("file_id", "read_at", "tile_offset").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("offset") + F.col("length")).alias("stop"))
+    return reads.groupBy("file_id").agg(F.sum("n").alias("n_contents"), F.count(F.lit(1)).alias("n_reads"),
+                                        F.sum(F.col("stop") + F.col("tile_offset") - F.col("read_at")).cast("bigint").alias("bytes_read"))
+
+
+MERGED_SQL = f"""WITH {F_TILES}, c AS (SELECT DISTINCT file_id, "offset", length FROM f_entries WHERE {_INSIDE}),
+g AS (SELECT *, CASE WHEN "offset" <= lag("offset" + length) OVER (PARTITION BY file_id ORDER BY "offset") + {NEAR} THEN 0 ELSE 1 END AS head FROM c),
+r AS (SELECT *, sum(head) OVER (PARTITION BY file_id ORDER BY "offset") AS r FROM g)
+SELECT file_id, sum(n)::BIGINT AS n_contents, count(*)::BIGINT AS n_reads, sum(bytes)::BIGINT AS bytes_read FROM (
+  SELECT file_id, r, count(*) AS n, max("offset" + length) - min("offset") AS bytes FROM r GROUP BY 1, 2) GROUP BY 1"""
+
+
+_COLUMNS = ["archive_id", "tile_id", "run_length", "offset", "length"]
+
+
+def stored_folder(spark: SparkSession, d: str) -> str:
     folder = shared_folder(spark, "stored_entries")
-    write_entries(T.placed(spark, d).select("archive_id", "tile_id", "run_length", "offset", "length"), folder)
-    return spark.read.schema("archive_id long, tile_id long, run_length long, offset long, length long").parquet(folder)
+    write_entries(T.placed(spark, d).select(*_COLUMNS), folder)
+    return folder
+
+
+def stored_entries_all(spark: SparkSession, d: str) -> DataFrame:
+    """Entries stored by archive bucket, every row read back."""
+    return spark.read.parquet(stored_folder(spark, d)).select(*_COLUMNS)
 
 
 STORED_ALL_SQL = T.with_tables('SELECT archive_id, tile_id, run_length, "offset", length FROM t_placed', "t_placed")
 
 
 def stored_entries(spark: SparkSession, d: str) -> DataFrame:
-    """The same for some archives."""
-    return stored_entries_all(spark, d).filter("archive_id % 2 = 1")
+    """Rows, contents and bytes of every archive, from the stored entries."""
+    return stored_entries_all(spark, d).groupBy("archive_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("offset").alias("n_contents"), F.sum("run_length").alias("addressed"),
+        F.sum(F.col("tile_id") * 31 + F.col("offset") * 7 + F.col("length")).alias("mark"))
 
 
-STORED_SQL = T.with_tables('SELECT archive_id, tile_id, run_length, "offset", length FROM t_placed WHERE archive_id % 2 = 1', "t_placed")
+STORED_SQL = T.with_tables("""SELECT archive_id, count(*)::BIGINT AS n, count(DISTINCT "offset")::BIGINT AS n_contents, sum(run_length)::BIGINT AS addressed,
+  sum(tile_id * 31 + "offset" * 7 + length)::BIGINT AS mark FROM t_placed GROUP BY 1""", "t_placed")
 
 
 def tms_tiles(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +221,9 @@ QUERIES = {
     "scan_headers": (scan_headers, HEADERS_SQL),
     "scan_directories": (scan_directories, DIRECTORIES_SQL),
     "scan_pruned": (scan_pruned, PRUNED_SQL),
+    "entries_by_manifest": (entries_by_manifest, BY_MANIFEST_SQL),
+    "entries_in_window": (entries_in_window, IN_WINDOW_SQL),
+    "merged_reads": (merged_reads, MERGED_SQL),
     "scan_problems": (scan_problems, PROBLEMS_SQL),
     "scan_metadata": (scan_metadata, METADATA_SQL),
     "scan_contents": (scan_contents, CONTENTS_SQL),

@@ -16,7 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Needed by the archive data source; off by default in Spark.
+    # Lets the data sources rule out files before they are opened; they also work without it.
     "spark.sql.python.filterPushdown.enabled": "true",
 }
 

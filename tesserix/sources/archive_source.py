@@ -1,7 +1,8 @@
 """Data source over a folder of archives: one row per file with its first 16 KiB.
 
 Files are opened through pyarrow's file systems, so a path may be local or on an object store. Only the first bytes are
-read, whatever the size of the file; conditions on ``path`` (the full address) are applied before any file is opened.
+read, whatever the size of the file; where the session passes filters to Python sources, conditions on ``path`` (the full address)
+are applied before any file is opened, elsewhere Spark applies them to the rows.
 """
 
 from __future__ import annotations
@@ -27,13 +28,6 @@ class ArchiveReader(DataSourceReader):
         self.options = options
         self.conditions: list = []
 
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith)) and f.attribute == ("path",):
-                self.conditions.append(f)
-            else:
-                yield f
-
     def _wanted(self, path: str) -> bool:
         def holds(f) -> bool:
             if isinstance(f, In):
@@ -73,8 +67,23 @@ class ArchiveReader(DataSourceReader):
             names=["path", "file_size", "blob"])
 
 
+class PushingArchiveReader(ArchiveReader):
+    """Spark refuses readers that take filters unless its setting is on, so this is a class of its own."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            if isinstance(f, (EqualTo, In, StringStartsWith)) and f.attribute == ("path",):
+                self.conditions.append(f)
+            else:
+                yield f
+
+
+def can_push(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower() == "true"
+
+
 class ArchiveSource(DataSource):
-    """``spark.read.format("tile_archives").option("path", ...)``; options: ending, filesPerTask."""
+    """``spark.read.format("tile_archives").option("path", ...)``; options: ending, filesPerTask, push."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,9 +93,10 @@ class ArchiveSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return ArchiveReader(dict(self.options))
+        options = dict(self.options)
+        return (PushingArchiveReader if options.get("push") == "true" else ArchiveReader)(options)
 
 
 def read_first_bytes(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("tile_archives").option("ending", ending).load(path)
+    return spark.read.format("tile_archives").option("ending", ending).option("push", str(can_push(spark)).lower()).load(path)

@@ -57,6 +57,22 @@ def archive_bytes(tiles: pd.DataFrame, leaf_size: int, metadata: bytes, zooms: t
     return head + b"".join(sections)
 
 
+def write_files(bodies: DataFrame, name: str, body: str, folder: str) -> DataFrame:
+    """Writes each row's bytes as ``<name>.tiles``; returns (name, size). Nothing happens before it is read."""
+    def write(frames):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder)
+        system.create_dir(inner, recursive=True)
+        for pdf in frames:
+            for key, data in zip(pdf[name], pdf[body]):
+                with system.open_output_stream(f"{inner}/{key}.tiles") as out:
+                    out.write(data)
+            yield pd.DataFrame({name: pdf[name], "size": [len(v) for v in pdf[body]]})
+
+    return bodies.select(name, body).mapInPandas(write, f"`{name}` {bodies.schema[name].dataType.simpleString()}, size long")
+
+
 def write_archives(tiles: DataFrame, name: str, folder: str, leaf_size: int = 4096, zooms: tuple[int, int] = (0, 15)) -> DataFrame:
     """Writes one file ``<name>.tiles`` for each value of the column ``name`` into ``folder``, an address every executor can
     write to. An archive's tiles must fit in a task. Returns (name, size), one row per file; nothing happens before it is read."""

@@ -42,6 +42,14 @@ def _plain(blob: bytes, codec: int) -> tuple[bytes | None, str | None]:
     return None, "unsupported"
 
 
+def unpacked(blob: bytes, codec: int) -> bytes:
+    """The payload of one value that must be readable."""
+    payload, error = _plain(blob, codec)
+    if error:
+        raise ValueError(f"{error} data, compression {codec}")
+    return payload
+
+
 def decompress(df: DataFrame, blob: str, codec: str, payload: str = "payload", error: str = "error") -> DataFrame:
     """Add the decompressed bytes and, where that fails, why (``broken`` or ``unsupported``). The raw bytes stay."""
     schema = T.StructType([*df.schema.fields, T.StructField(payload, T.BinaryType()), T.StructField(error, T.StringType())])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from tesserix.operators.lookup import MAX_DEPTH, ROOT
 from tesserix.session import cut_lineage
 from tesserix.sources.archive_source import read_first_bytes
 from tesserix.sources.codecs import decompress, with_values
+from tesserix.sources.ranges import GAP, merged
 
 
 def scan_archives(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
@@ -28,48 +29,73 @@ def scan_archives(spark: SparkSession, path: str, ending: str = "") -> DataFrame
     return df.withColumn("archive_id", F.xxhash64("path"))
 
 
-def read_ranges(df: DataFrame, offset: str, length: str, out: str = "blob", path: str = "path") -> DataFrame:
+def read_ranges(df: DataFrame, offset: str, length: str, out: str = "blob", path: str = "path", gap: int = GAP,
+                read_at: str | None = None) -> DataFrame:
     """Add the bytes [offset, offset + length) of each row's file; ``read_error`` where they cannot be had.
 
     Rows go to tasks by file and 256 MiB stretch and are sorted, so a task reads its stretch front to back and even one
-    enormous file is shared by many tasks.
+    enormous file is shared by many tasks. Ranges of a batch that overlap or lie at most ``gap`` bytes apart are fetched by one read of
+    up to ``READ_BYTES`` and cut out of it. ``read_at`` names a column for the place where a row's read began.
     """
     rows = df.withColumn("_stretch", F.shiftright(F.col(offset), 28))
     rows = rows.repartition(path, "_stretch").sortWithinPartitions(path, offset).drop("_stretch")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType()), T.StructField("read_error", T.StringType())])
+    extra = [T.StructField(read_at, T.LongType())] if read_at else []
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType()), T.StructField("read_error", T.StringType()), *extra])
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetched(places: list[tuple[str, int | None, int | None]]) -> Iterator[tuple[bytes | None, str | None, int | None]]:
+        """For each place, in order, its bytes, what went wrong, and where its read began."""
         from pyarrow import fs
 
-        name, handle, size = None, None, 0
-
-        def one(p: str, o: int | None, n: int | None) -> tuple[bytes | None, str | None]:
-            nonlocal name, handle, size
-            if o is None or n is None or o < 0 or n < 0:
-                return None, "bad-range"
-            if p != name:
-                # A file system that cannot be opened fails the job; only a file or a range can be bad data.
-                system, inner = fs.FileSystem.from_uri(p)
-                name = None
-                try:
-                    handle = system.open_input_file(inner)
-                    name, size = p, handle.size()
-                except OSError as e:
-                    return None, type(e).__name__
-            try:  # a declared length may be nonsense; what the file holds bounds the read
-                data = handle.read_at(max(0, min(n, size - o)), min(o, size))
+        at = 0
+        while at < len(places):
+            name, end = places[at][0], at
+            while end < len(places) and places[end][0] == name:
+                end += 1
+            mine, at = places[at:end], end
+            good = [k for k, place in enumerate(mine) if not _bad(place)]
+            bad = set(range(len(mine))) - set(good)
+            # A file system that cannot be opened fails the job; only a file or a range can be bad data.
+            system, inner = fs.FileSystem.from_uri(name)
+            try:
+                handle, size = (f := system.open_input_file(inner)), f.size()
             except OSError as e:
-                name = None
-                return None, type(e).__name__
-            return data, None if len(data) == n else "short-read"
+                yield from ((None, "bad-range" if k in bad else type(e).__name__, None) for k in range(len(mine)))
+                continue
+            with handle:
+                # A declared length may be nonsense; what the file holds bounds the read.
+                spans = [(min(mine[k][1], size), min(mine[k][1] + mine[k][2], size)) for k in good]
+                yield from ((None, "bad-range", None) for _ in bad)  # they are first
+                for start, stop, members in merged(spans, gap):
+                    try:
+                        data = handle.read_at(stop - start, start)
+                    except OSError as e:
+                        yield from ((None, type(e).__name__, start) for _ in members)
+                        continue
+                    for m in members:
+                        a, b = spans[m]
+                        yield data[a - start:b - start], None if b - a == mine[good[m]][2] else "short-read", start
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = (one(p, o, n) for p, o, n in zip(*(batch.column(c).to_pylist() for c in (path, offset, length))))
-            yield from with_values(batch, values, schema.names)
+            # Ranges that cannot be read go first in their file, so that the others stay sorted.
+            places = list(zip(*(batch.column(c).to_pylist() for c in (path, offset, length))))
+            order = sorted(range(len(places)), key=lambda i: (places[i][0] or "", not _bad(places[i]), places[i][1] or 0))
+            batch, places = batch.take(pa.array(order, pa.int64())), [places[i] for i in order]
+            begins: list[int | None] = []
+            values = ((v, e) for v, e, at in fetched(places) if begins.append(at) is None)
+            for part in with_values(batch, values, schema.names[:-1] if read_at else schema.names):
+                if read_at:
+                    part = pa.RecordBatch.from_arrays([*part.columns, pa.array(begins[:part.num_rows], pa.int64())], names=schema.names)
+                    del begins[:part.num_rows]
+                yield part
 
     return rows.mapInArrow(step, schema)
 
 
+def _bad(place: tuple[str, int | None, int | None]) -> bool:
+    return place[1] is None or place[2] is None or place[1] < 0 or place[2] < 0
+
+
 _DIR = ["archive_id", "dir_id"]
 
 
@@ -134,15 +160,15 @@ def read_metadata(archives: DataFrame) -> DataFrame:
         "archive_id", "raw", "metadata", F.coalesce("read_error", "error").alias("error"), "meta", "json_ok")
 
 
-def read_contents(archives: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each stored tile content once: (archive_id, offset, length, raw, payload, error). Entries that share a content
-    join it afterwards."""
+def read_contents(archives: DataFrame, entries: DataFrame, gap: int = GAP) -> DataFrame:
+    """Each stored tile content once: (archive_id, offset, length, raw, payload, error, read_at). Entries that share a content
+    join it afterwards. Contents near each other come from one read, which began at ``read_at`` in the file."""
     a = archives.filter("reason IS NULL").select("archive_id", "path", "tile_offset", "tile_compression")
     wanted = entries.filter("run_length > 0").select("archive_id", "offset", "length").distinct()
     todo = wanted.join(a, "archive_id").withColumn("_at", F.col("tile_offset") + F.col("offset"))
-    raw = read_ranges(todo, "_at", "length", "raw")
+    raw = read_ranges(todo, "_at", "length", "raw", gap=gap, read_at="read_at")
     return decompress(raw, "raw", "tile_compression").select(
-        "archive_id", "offset", "length", "raw", "payload", F.coalesce("read_error", "error").alias("error"))
+        "archive_id", "offset", "length", "raw", "payload", F.coalesce("read_error", "error").alias("error"), "read_at")
 
 
 def from_tms(tiles: DataFrame) -> DataFrame:
@@ -151,8 +177,18 @@ def from_tms(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("y", side - 1 - F.col("tms_y")).drop("tms_y")
 
 
-def write_entries(entries: DataFrame, path: str) -> None:
-    """Store entries by archive, sorted by tile id, so later lookups skip row groups. Range partitioning splits a
-    dominant archive over many files."""
-    (entries.repartitionByRange("archive_id", "tile_id").sortWithinPartitions("archive_id", "tile_id")
-     .write.mode("overwrite").partitionBy("archive_id").parquet(path))
+def write_entries(entries: DataFrame, path: str, buckets: int = 64, file_rows: int = 1 << 20) -> None:
+    """Store entries sorted by (archive, tile id), in folders of many archives each.
+
+    ``archive_bucket`` is a hash of the archive, so the number of folders does not grow with the archives; range partitioning cuts a
+    dominant archive over many files, and sorted files let a reader skip all row groups but those it needs. A lookup
+    states its archive's bucket (``archive_bucket``) along with the archive.
+    """
+    rows = entries.withColumn("archive_bucket", archive_bucket(F.col("archive_id"), buckets))
+    order = ["archive_bucket", "archive_id", "tile_id"]
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+     .option("maxRecordsPerFile", file_rows).partitionBy("archive_bucket").parquet(path))
+
+
+def archive_bucket(archive: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(archive), F.lit(buckets)).cast("int")
