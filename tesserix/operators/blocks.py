@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserix.functions.address import (hilbert_xy, range_block_cells, tile_zoom,
+from tesserix.functions.address import (KEY_BITS_DEFAULT, hilbert_xy, range_block_cells, tile_zoom,
                                         with_aligned_block, with_tile_address, zoom_base)
 from tesserix.functions.common import lng, pow2, shl
 from tesserix.functions.mercator import lonlat_to_tile
-from tesserix.operators.lookup import MAX_DEPTH, ROOT
-from tesserix.operators.ordered import exclusive_scan, floor_join
+from tesserix.operators.lookup import MAX_DEPTH, ROOT, responsibility
+from tesserix.operators.ordered import exclusive_scan, span_join
 from tesserix.session import cut_lineage
 
 
@@ -35,12 +35,26 @@ def range_blocks(ranges: DataFrame, start: str, end: str, z: str | None = None)
                              "size": pow2("_k")}).drop("_base", "_cell", "_bz", "_k", "_m", "_xy")
 
 
+#: Bits of the numbers that one array may hold when ranges are expanded.
+ARRAY_BITS = 16
+
+
+def explode_range(df: DataFrame, first: str, count: str, out: str) -> DataFrame:
+    """One row per number of [first, first + count); rows without numbers go. Long ranges are cut into chunks of 2^16, these
+    into chunks of chunks, so no array ever holds more than 2^16 numbers."""
+    df = df.filter(F.col(count) > 0).withColumns({"_at": lng(first), "_left": lng(count)})
+    for bits in (2 * ARRAY_BITS, ARRAY_BITS, 0):
+        df = df.withColumn("_c", F.explode(F.sequence(lng(0), F.shiftright(F.col("_left") - 1, bits))))
+        df = df.withColumns({"_at": F.col("_at") + F.shiftleft(F.col("_c"), bits),
+                             "_left": F.least(F.col("_left") - F.shiftleft(F.col("_c"), bits), lng(1 << bits))})
+    return df.withColumn(out, F.col("_at")).drop("_c", "_at", "_left")
+
+
 def cover_boxes(boxes: DataFrame, west: str = "west", south: str = "south", east: str = "east", north: str = "north",
                 z: str = "z") -> DataFrame:
     """Tiles of zoom ``z`` that a bounding box touches: one row per tile with x, y and the world copy ``wrap``.
 
-    ``east`` < ``west`` means the box crosses the antimeridian. Rows and columns are exploded one after the other, so
-    no array holds more than one side of the box.
+    ``east`` < ``west`` means the box crosses the antimeridian. Rows and columns are exploded one after the other, in chunks.
     """
     side = pow2(z).cast("double")
     right = F.col(east) + F.when(F.col(east) < F.col(west), 360.0).otherwise(0.0)
@@ -48,10 +62,10 @@ def cover_boxes(boxes: DataFrame, west: str = "west", south: str = "south", east
         "_x0": F.floor((F.col(west) + 180.0) / 360.0 * side).cast("bigint"),
         "_x1": F.ceil((right + 180.0) / 360.0 * side).cast("bigint") - 1,
         "_y0": lonlat_to_tile(F.lit(0.0), north, z)["y"], "_y1": lonlat_to_tile(F.lit(0.0), south, z)["y"]})
-    df = df.withColumn("y", F.explode(F.sequence("_y0", "_y1")))
-    df = df.withColumn("_x", F.explode(F.sequence("_x0", F.greatest("_x0", "_x1"))))
+    df = df.withColumns({"_rows": F.col("_y1") - F.col("_y0") + 1, "_columns": F.greatest("_x0", "_x1") - F.col("_x0") + 1})
+    df = explode_range(explode_range(df, "_y0", "_rows", "y"), "_x0", "_columns", "_x")
     return df.withColumns({"x": F.pmod("_x", pow2(z)), "wrap": F.floor(F.col("_x") / side).cast("int")}).drop(
-        "_x0", "_x1", "_y0", "_y1", "_x")
+        "_x0", "_x1", "_y0", "_y1", "_x", "_rows", "_columns")
 
 
 def tile_grid(windows: DataFrame, k: str = "k") -> DataFrame:
@@ -60,53 +74,99 @@ def tile_grid(windows: DataFrame, k: str = "k") -> DataFrame:
     Adds ``tile_id``, ``curve_order`` (position inside the window) and the tile's ``x``, ``y``; windows carry
     (archive_id, z, x, y, k).
     """
-    df = with_aligned_block(windows, k).withColumn("tile_id", F.explode(F.sequence("first_tile_id", "last_tile_id")))
+    df = with_aligned_block(windows, k).withColumn("_n", F.col("last_tile_id") - F.col("first_tile_id") + 1)
+    df = explode_range(df, "first_tile_id", "_n", "tile_id").drop("_n")
     df = df.withColumn("curve_order", F.col("tile_id") - F.col("first_tile_id"))
     df = df.drop("z", "x", "y", "x0", "y0", "size", "first_hilbert_index", "first_tile_id", "last_tile_id", k)
     return with_tile_address(df, "tile_id").drop("zoom_base", "hilbert_index")
 
 
-def classify_grid(grid: DataFrame, entries: DataFrame) -> DataFrame:
-    """State of each grid tile from the directories at hand, without reading any other: adds ``state`` and ``region``.
+#: A tile id above all others.
+_BEYOND = 1 << KEY_BITS_DEFAULT
+
+
+def state_intervals(entries: DataFrame) -> DataFrame:
+    """What the directories at hand say about every tile id of an archive, as intervals without gaps:
+    (archive_id, start, end, state, region).
 
     tile: inside a run; miss: a leaf at hand covers it and has no run there; unloaded: its leaf is not at hand;
     none: the root already rules it out. ``region`` numbers the root's leaf entries; -1 for a root tile entry.
     ``entries`` hold the directories at hand, keyed by dir_id (-1 for the root).
     """
-    rows = entries.select("archive_id", "dir_id", "tile_id", "run_length", "offset")
-    known = entries.groupBy("archive_id", "dir_id").agg(F.lit(True).alias("known"))
-    leaf_starts = rows.filter((F.col("dir_id") == ROOT) & (F.col("run_length") == 0))
-    ordinals = exclusive_scan(leaf_starts, ["archive_id"], "tile_id", {"_r": ("sum", F.lit(1).cast("bigint"))}).select("archive_id", F.col("tile_id").alias("_root"),
-                                               F.coalesce("_r", lng(0)).alias("region"))
-    rows = rows.withColumnRenamed("tile_id", "entry_tile")
-    todo = cut_lineage(grid, "grid").withColumns({"dir_id": lng(ROOT), "_root": lng(-1)})
-    done = []
-    cols = [*grid.columns, "state", "_root"]
+    keys = ["archive_id", "dir_id"]
+    rows = cut_lineage(responsibility(entries, keys).select(*keys, "tile_id", "run_length", "offset", F.col("next_tile_id").alias("nxt")), "entries")
+    known = rows.select(*keys).distinct().withColumn("_known", F.lit(True))
+    root_leaves = rows.filter((F.col("dir_id") == ROOT) & (F.col("run_length") == 0)).select("archive_id", F.col("tile_id").alias("start"))
+    ordinals = exclusive_scan(root_leaves, ["archive_id"], "start", {"_r": ("sum", F.lit(1))}).select(
+        "archive_id", F.col("start").alias("tile_id"), F.coalesce("_r", lng(0)).alias("region"), lng(ROOT).alias("dir_id"))
+    level = rows.filter(F.col("dir_id") == ROOT).join(ordinals, [*keys, "tile_id"], "left").withColumns(
+        {"region": F.coalesce("region", lng(-1)), "lo": lng(0), "hi": lng(_BEYOND)})
+    parts, regions = [], None
     for depth in range(MAX_DEPTH):
-        found = floor_join(todo, rows, ["archive_id", "dir_id"], "tile_id", "entry_tile", "c")
-        run, no = F.col("c.run_length"), F.lit("none" if depth == 0 else "miss")
-        last = depth == MAX_DEPTH - 1
-        state = (F.when(F.col("c").isNull(), no)
-                 .when(run > 0, F.when(F.col("tile_id") - F.col("c.entry_tile") < run, "tile").otherwise(no))
-                 .otherwise("unloaded" if last else "descend"))
-        found = found.withColumn("state", state)
+        start = F.greatest("tile_id", "lo")
+        reach = F.coalesce(F.least("nxt", "hi"), "hi")
+        cut = level.select(*keys, "run_length", "offset", "region", start.alias("start"),
+                           F.when(F.col("run_length") > 0, F.least(F.col("tile_id") + F.col("run_length"), reach)).otherwise(reach).alias("end"))
+        cut = cut_lineage(cut.filter("start < end"), "level")
+        parts.append(cut.filter("run_length > 0").withColumn("state", F.lit("tile")))
+        leaves = cut.filter("run_length = 0").drop("dir_id").withColumnRenamed("offset", "dir_id")
         if depth == 0:
-            found = found.withColumn("_root", F.when(run == 0, F.col("c.entry_tile")).otherwise(F.col("_root")))
-        found = found.withColumn("dir_id", F.col("c.offset")).drop("c")
-        if not last:
-            found = found.join(known, ["archive_id", "dir_id"], "left").withColumn(
-                "state", F.when((F.col("state") == "descend") & F.col("known").isNull(), "unloaded").otherwise(
-                    F.col("state"))).drop("known")
-        found = cut_lineage(found, "grid")
-        done.append(found.filter("state <> 'descend'").select(*cols))
-        todo = found.filter("state = 'descend'").drop("state")
-        if last or todo.isEmpty():
+            regions = leaves.select("archive_id", "region", "start", "end")
+        last = depth == MAX_DEPTH - 1
+        lost = leaves if last else leaves.join(known, keys, "left_anti")
+        parts.append(lost.withColumn("state", F.lit("unloaded")))
+        if last or leaves.isEmpty():
             break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    out = out.join(ordinals, ["archive_id", "_root"], "left").drop("_root")
-    return out.withColumn("region", F.coalesce("region", lng(-1)))
+        below = leaves.select(*keys, "region", F.col("start").alias("lo"), F.col("end").alias("hi"))
+        level = rows.join(below, keys)
+    cols = ["archive_id", "region", "start", "end", "state"]
+    known_tiles = parts[0].select(*cols)
+    for part in parts[1:]:
+        known_tiles = known_tiles.unionByName(part.select(*cols))
+    known_tiles = cut_lineage(known_tiles, "intervals")
+    inner = known_tiles.filter("region >= 0")
+    missed = _gaps(inner, regions, ["archive_id", "region"]).withColumn("state", F.lit("miss"))
+    told = cut_lineage(known_tiles.unionByName(missed.select(*cols)), "intervals")
+    whole = entries.select("archive_id").distinct().withColumns({"start": lng(0), "end": lng(_BEYOND)})
+    rest = _gaps(told, whole, ["archive_id"]).withColumns({"state": F.lit("none"), "region": lng(-1)})
+    return told.unionByName(rest.select(*cols))
+
+
+def _gaps(spans: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """What disjoint ``spans`` leave of the one frame each key has: (keys, start, end)."""
+    marks = spans.select(*keys, "start", "end").unionByName(frames.select(*keys, F.col("end").alias("start"), F.lit(None).cast("bigint").alias("end")))
+    before = exclusive_scan(marks, keys, "start", {"_prev": ("max", F.col("end"))})
+    gaps = before.join(frames.select(*keys, F.col("start").alias("_from"), F.col("end").alias("_to")), keys)
+    gaps = gaps.select(*keys, F.greatest(F.coalesce("_prev", "_from"), "_from").alias("_s"), F.least("start", "_to").alias("_e"))
+    return gaps.filter("_s < _e").select(*keys, F.col("_s").alias("start"), F.col("_e").alias("end"))
+
+
+def classify_windows(windows: DataFrame, entries: DataFrame, k: str = "k") -> DataFrame:
+    """State of all tiles of aligned 2^k windows around (archive_id, z, x, y), from the directories at hand, as stretches of equal
+    state along the curve: (archive_id, z, first_tile_id, start, end, state, region); states as in ``state_intervals``.
+
+    A window is one range of ids, cut by the archive's intervals. Nothing grows with the number of tiles: see ``window_squares``
+    for the stretches as squares and ``window_tiles`` for single tiles.
+    """
+    w = with_aligned_block(windows, k).select("archive_id", "z", "first_tile_id", (F.col("last_tile_id") + 1).alias("_end"))
+    spans = state_intervals(entries).withColumnsRenamed({"start": "_ss", "end": "_se"})
+    cut = span_join(w, spans, ["archive_id"], "_ss", "_se", "first_tile_id", "_end")
+    cut = cut.select("archive_id", "z", "first_tile_id", F.greatest("first_tile_id", "_ss").alias("start"), F.least("_end", "_se").alias("end"), "state", "region")
+    bare = w.join(entries.select("archive_id").distinct(), "archive_id", "left_anti").select(
+        "archive_id", "z", "first_tile_id", F.col("first_tile_id").alias("start"), F.col("_end").alias("end"), F.lit("none").alias("state"), lng(-1).alias("region"))
+    return cut.unionByName(bare)
+
+
+def window_squares(stretches: DataFrame) -> DataFrame:
+    """The stretches as aligned squares, at most six per zoom level each."""
+    return range_blocks(stretches, "start", "end", "z")
+
+
+def window_tiles(stretches: DataFrame) -> DataFrame:
+    """One row per tile: archive_id, tile_id, curve_order, z, x, y, state, region."""
+    df = stretches.withColumn("_n", F.col("end") - F.col("start"))
+    df = explode_range(df, "start", "_n", "tile_id").withColumn("curve_order", F.col("tile_id") - F.col("first_tile_id"))
+    return with_tile_address(df.select("archive_id", "tile_id", "curve_order", "state", "region"), "tile_id").drop("zoom_base", "hilbert_index")
 
 
 def region_edges(classified: DataFrame) -> DataFrame:

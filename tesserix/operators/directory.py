@@ -127,6 +127,43 @@ def pack_leaves(entries: DataFrame, leaf_size: int) -> DataFrame:
     return root.unionByName(tiles)
 
 
+def pack_tree(entries: DataFrame, leaf_size: int, root_bytes: int, levels: int = 4) -> DataFrame:
+    """Directories level by level until an archive's root takes at most ``root_bytes`` encoded: an archive that fits keeps its
+    entries in the root, the others are cut into leaves of ``leaf_size``, whose list is what the next round packs. The last level is
+    a root whatever its size.
+
+    Returns (archive_id, dir_id, level, i, tile_id, run_length, offset, length); ``dir_id`` is -1 for the root, else the leaf's place in
+    the leaf section, where leaves of a lower level come before those above them. ``level`` counts from the tile entries up.
+    """
+    top = entries.select("archive_id", "tile_id", "run_length", "offset", "length")
+    used = None
+    parts = []
+    cols = ["archive_id", "dir_id", "level", "i", "tile_id", "run_length", "offset", "length"]
+    for level in range(levels):
+        rows = cut_lineage(encode_entries(number_entries(top), ["archive_id"], "ordinal"), "level")
+        size = rows.groupBy("archive_id").agg((F.sum("encoded_bytes") + varint_width(F.count(F.lit(1)))).alias("_bytes"))
+        fits = F.lit(True) if level == levels - 1 else F.col("_bytes") <= root_bytes
+        rows = cut_lineage(rows.join(size.select("archive_id", fits.alias("_fits")), "archive_id"), "level").drop("encoded_bytes", "delta", "code")
+        parts.append(rows.filter("_fits").select("archive_id", lng(-1).alias("dir_id"), F.lit(level).alias("level"), F.col("ordinal").alias("i"),
+                                                 "tile_id", "run_length", "offset", "length"))
+        rows = rows.filter("NOT _fits").withColumns({"leaf_no": div("ordinal", leaf_size), "i": F.pmod("ordinal", lng(leaf_size))}).drop("_fits", "ordinal")
+        if level == levels - 1 or rows.isEmpty():
+            break
+        leaves = encode_entries(rows, ["archive_id", "leaf_no"]).groupBy("archive_id", "leaf_no").agg(
+            F.min("tile_id").alias("tile_id"), (F.sum("encoded_bytes") + varint_width(F.count(F.lit(1)))).alias("length"))
+        leaves = exclusive_scan(leaves, ["archive_id"], "leaf_no", {"offset": ("sum", F.col("length"))}).withColumn("offset", F.coalesce("offset", lng(0)))
+        if used is not None:
+            leaves = leaves.join(used, "archive_id", "left").withColumn("offset", F.col("offset") + F.col("_used")).drop("_used")
+        leaves = cut_lineage(leaves, "leaves")
+        parts.append(rows.join(leaves.select("archive_id", "leaf_no", F.col("offset").alias("dir_id")), ["archive_id", "leaf_no"]).withColumn("level", F.lit(level)).select(*cols))
+        used = leaves.groupBy("archive_id").agg(F.max(F.col("offset") + F.col("length")).alias("_used"))
+        top = leaves.select("archive_id", "tile_id", lng(0).alias("run_length"), "offset", "length")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # ---- encoding --------------------------------------------------------------------------------------------------
 
 def encode_entries(entries: DataFrame, keys: list[str], order: str = "i") -> DataFrame:

@@ -9,6 +9,7 @@ from tesserix.functions import address as A
 from tesserix.functions import mercator as M
 from tesserix.operators import blocks as B
 from tesserix.plans import tables as T
+from tesserix.session import cut_lineage
 
 
 def tile_address_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -213,12 +214,12 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     focus = focus.unionByName(t.select("archive_id").distinct().selectExpr("archive_id", "4 AS z", "0L AS x", "0L AS y"))
     focus = focus.withColumn("k", F.lit(4))
     tree = T.leaves(spark, d).filter("dir_id = -1 OR leaf_no % 3 <> 1")
-    return B.classify_grid(B.tile_grid(focus), tree)
+    return B.classify_windows(focus, tree)
 
 
 def grid_classes(spark: SparkSession, d: str) -> DataFrame:
     """State and region of every tile in a window of each archive."""
-    return _grid(spark, d).select("archive_id", F.col("z").cast("int").alias("z"), "x", "y", "tile_id", "curve_order", "state", "region")
+    return B.window_tiles(_grid(spark, d)).select("archive_id", F.col("z").cast("int").alias("z"), "x", "y", "tile_id", "curve_order", "state", "region")
 
 
 _GRID = f"""
@@ -244,7 +245,7 @@ GRID_SQL = _grid_sql("SELECT archive_id, z, x, y, tile_id, curve_order, state, r
 
 def region_edges(spark: SparkSession, d: str) -> DataFrame:
     """Borders between regions inside each window."""
-    return B.region_edges(_grid(spark, d)).withColumn("z", F.col("z").cast("int"))
+    return B.region_edges(cut_lineage(B.window_tiles(_grid(spark, d)), "grid")).withColumn("z", F.col("z").cast("int"))
 
 
 EDGES_SQL = _grid_sql("""
@@ -253,7 +254,16 @@ SELECT a.archive_id, a.z, a.x, a.y, CASE WHEN b.x < a.x THEN 'left' ELSE 'top' E
   ON a.archive_id = b.archive_id AND a.z = b.z AND ((a.y = b.y AND a.x = b.x + 1) OR (a.x = b.x AND a.y = b.y + 1)) WHERE a.r <> b.r""")
 
 
+def grid_squares(spark: SparkSession, d: str) -> DataFrame:
+    """The same windows as squares of equal state: tiles per state and region without listing any."""
+    s = B.window_squares(_grid(spark, d))
+    return s.groupBy("archive_id", F.col("z").cast("int").alias("z"), "state", "region").agg(F.sum(F.col("size") * F.col("size")).alias("n_tiles"))
+
+
+SQUARES_SQL = _grid_sql("SELECT archive_id, z, state, region, count(*)::BIGINT AS n_tiles FROM classed GROUP BY 1, 2, 3, 4")
+
 QUERIES = {
+    "grid_squares": (grid_squares, SQUARES_SQL),
     "tile_address_roundtrip": (tile_address_roundtrip, ROUNDTRIP_SQL),
     "tile_parent_rollup": (tile_parent_rollup, PARENT_SQL),
     "aligned_blocks": (aligned_blocks, ALIGNED_SQL),

@@ -226,25 +226,38 @@ FROM (SELECT archive_id, tile_id, layer_index, count(*) AS n FROM t_features GRO
 
 
 def feature_geojson(spark: SparkSession, d: str) -> DataFrame:
-    """Every feature as GeoJSON, checked through its first and last position."""
+    """Every feature as GeoJSON: its shape (NULL where the type gives none), and all its positions in document order, counted, summed,
+    and the first and last of them."""
     f = A.with_tile_address(features(spark, d).drop("z"))
     js = f.select("p", "type", G.feature_geojson("parts", "type", "z", "x", "y", "extent").alias("j"))
     js = T.stored(spark, d, "t_geojson", lambda s, q: js)
-    # Every position in document order, whatever the nesting.
+    # Every number in document order, whatever the nesting: longitudes and latitudes by turns.
     flat = F.transform(F.regexp_extract_all("j", F.lit(r"-?[0-9]+\.[0-9]+(?:E-?[0-9]+)?"), F.lit(0)), lambda v: v.cast("double"))
-    return js.select("p", F.get_json_object("j", "$.geometry.type").alias("shape"), F.size(flat).cast("bigint").alias("numbers"),
-                     F.round(F.get(flat, F.lit(0)), 7).alias("lon"), F.round(F.get(flat, F.lit(1)), 7).alias("lat"),
-                     F.round(F.get(flat, F.size(flat) - 1), 7).alias("last_lat")).filter("shape IS NOT NULL")
+    js = js.select("p", F.get_json_object("j", "$.geometry.type").alias("shape"), F.coalesce(flat, F.array().cast("array<double>")).alias("v"))
+
+    def total(odd: int):
+        return F.aggregate(F.filter("v", lambda _, i: i % 2 == odd), F.lit(0.0), lambda a, v: a + v)
+
+    some = F.size("v") > 0
+    return js.select("p", "shape", F.size("v").cast("bigint").alias("numbers"), F.round(F.get("v", F.lit(0)), 7).alias("lon"),
+                     F.round(F.get("v", F.lit(1)), 7).alias("lat"), F.round(F.get("v", F.size("v") - 1), 7).alias("last_lat"),
+                     F.round(F.when(some, total(0)), 6).alias("sum_lon"), F.round(F.when(some, total(1)), 6).alias("sum_lat"))
 
 
 _Y = "degrees(2 * atan(exp(pi() * (1 - 2 * (ty + ({v}) / 4096.0::DOUBLE) / 8))) - pi() / 2)"
+# Positions of a feature, as offsets from (a, b) in document order; rings end where they begin.
+_POSITIONS = """CASE WHEN type = 0 THEN [] WHEN p % 3 = 0 THEN [[0, 0]] WHEN p % 3 = 1 THEN [[0, 0], [w, 0], [w, w]]
+  WHEN hole THEN [[0, 0], [w, 0], [w, w], [0, w], [0, 0], [2, 2], [2, w - 2], [w - 2, w - 2], [w - 2, 2], [2, 2]]
+  ELSE [[0, 0], [w, 0], [w, w], [0, w], [0, 0]] END"""
 GEOJSON_SQL = T.with_tables(f"""
 , xy AS (SELECT *, tile_id - 21 AS h FROM t_features), addr AS (SELECT x AS tx, y AS ty, h2 FROM (SELECT x, y, {T.tile_id_sql('3', 'x', 'y')} - 21 AS h2 FROM (
-  SELECT i % 8 AS x, i // 8 AS y FROM (SELECT unnest(range(0, 64)) AS i))))
-SELECT p, ['MultiPoint', 'MultiLineString', 'MultiPolygon'][type] AS shape, CASE WHEN p % 3 = 0 THEN 2 WHEN p % 3 = 1 THEN 6 WHEN hole THEN 20 ELSE 10 END::BIGINT AS numbers,
-  round((tx + a / 4096.0::DOUBLE) / 8 * 360 - 180, 7) AS lon, round({_Y.format(v='b')}, 7) AS lat,
-  round(CASE WHEN hole THEN {_Y.format(v='b + 2')} WHEN p % 3 = 1 THEN {_Y.format(v='b + w')} ELSE {_Y.format(v='b')} END, 7) AS last_lat
-FROM xy JOIN addr ON h = h2 WHERE type > 0""", "t_features")
+  SELECT i % 8 AS x, i // 8 AS y FROM (SELECT unnest(range(0, 64)) AS i)))),
+v AS (SELECT p, type, unnest(q) AS o, unnest(range(len(q))) AS i, len(q) AS n, tx, ty, a, b FROM (SELECT *, {_POSITIONS} AS q FROM xy JOIN addr ON h = h2)),
+g AS (SELECT p, i, n, (tx + (a + o[1]) / 4096.0::DOUBLE) / 8 * 360 - 180 AS lon, {_Y.format(v='b + o[2]')} AS lat FROM v),
+s AS (SELECT p, 2 * count(*)::BIGINT AS numbers, round(max(CASE WHEN i = 0 THEN lon END), 7) AS lon, round(max(CASE WHEN i = 0 THEN lat END), 7) AS lat,
+  round(max(CASE WHEN i = n - 1 THEN lat END), 7) AS last_lat, round(sum(lon), 6) AS sum_lon, round(sum(lat), 6) AS sum_lat FROM g GROUP BY 1)
+SELECT f.p, CASE WHEN type > 0 THEN ['MultiPoint', 'MultiLineString', 'MultiPolygon'][type] END AS shape, coalesce(numbers, 0) AS numbers, lon, lat, last_lat, sum_lon, sum_lat
+FROM t_features f LEFT JOIN s ON f.p = s.p""", "t_features")
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -300,12 +313,12 @@ def click_hits(spark: SparkSession, d: str) -> DataFrame:
     runs = T.entries(spark, d).selectExpr("archive_id", "tile_id AS run_start", "tile_id + run_length AS run_end")
     found = L.hit_join(at, runs, target="tile_id").select(*at.columns)
     hits = V.hit_test(found, features(spark, d), ["archive_id", "tile_id"], 0.01)
-    best = hits.filter("rank = 1").select("request_id", "feature_index", F.round(F.col("distance") + 0.00012, 3).alias("distance"))
+    best = hits.filter("rank = 1").select("request_id", "feature_index", F.round("distance", 4).alias("distance"))
     return found.select("request_id", "tile_id").join(best, "request_id", "left")
 
 
 CLICK_SQL = T.with_tables(_HITS + """
-SELECT pts.request_id, pts.tile_id, h.p AS feature_index, round(h.distance + 0.00012, 3) AS distance FROM pts JOIN t_tiles t ON t.archive_id = 0 AND t.tile_id = pts.tile_id
+SELECT pts.request_id, pts.tile_id, h.p AS feature_index, round(h.distance, 4) AS distance FROM pts JOIN t_tiles t ON t.archive_id = 0 AND t.tile_id = pts.tile_id
 LEFT JOIN hits h ON pts.request_id = h.request_id AND h.rank = 1""", "t_features", "t_tiles")
 
 QUERIES = {

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserix.operators import directory as D
 from tesserix.operators import lookup as L
 from tesserix.plans import tables as T
+from tesserix.session import cut_lineage
 
 
 def lookup_outcomes_by_zoom(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +82,22 @@ SELECT archive_id, status, depth, count(*)::BIGINT AS n, sum(CASE WHEN status =
 GROUP BY 1, 2, 3""", "t_requests", "t_archives", "t_leaves")
 
 
+def deep_tree_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The walk over trees of up to four levels: small leaves, packed again until the root is small."""
+    tree = cut_lineage(D.pack_tree(T.placed(spark, d), 8, 64), "tree")
+    out = L.lookup_tree(T.requests(spark, d), T.archives(spark, d), tree)
+    return out.select("request_id", "status", "offset", "length")
+
+
+DEEP_SQL = T.with_tables("""
+SELECT request_id, status, CASE WHEN status = 'found' THEN "offset" END AS "offset", CASE WHEN status = 'found' THEN length END AS length FROM (
+  SELECT r.request_id, e."offset", e.length, CASE WHEN r.target IS NULL THEN 'invalid'
+      WHEN a.archive_id IS NULL OR r.z NOT BETWEEN a.min_zoom AND a.max_zoom THEN 'out-of-zoom'
+      WHEN r.target - e.tile_id < e.run_length THEN 'found' ELSE 'not-found' END AS status
+  FROM t_requests r LEFT JOIN t_archives a ON r.archive_id = a.archive_id
+  ASOF LEFT JOIN t_placed e ON r.archive_id = e.archive_id AND r.target >= e.tile_id)""", "t_requests", "t_archives", "t_placed")
+
+
 def hit_join(spark: SparkSession, d: str) -> DataFrame:
     """Requests answered by the flattened tree: the same hits as walking it."""
     runs = L.flatten_tree(T.leaves(spark, d)).filter("status = 'found'")
@@ -171,6 +189,7 @@ QUERIES = {
     "floor_entries": (floor_entries, FLOOR_SQL),
     "bucketed_lookup_equals_plain": (bucketed_lookup_equals_plain, BUCKETED_SQL),
     "tree_lookup": (tree_lookup, TREE_SQL),
+    "deep_tree_lookup": (deep_tree_lookup, DEEP_SQL),
     "flat_lookup": (flat_lookup, FLAT_SQL),
     "hit_join": (hit_join, HIT_SQL),
     "missing_requests": (missing_requests, MISSING_SQL),

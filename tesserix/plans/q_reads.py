@@ -11,6 +11,7 @@ from tesserix.operators import reads as R
 from tesserix.operators.lookup import zoom_gate
 from tesserix.operators.ordered import floor_join
 from tesserix.plans import tables as T
+from tesserix.session import shared_folder
 from tesserix.streaming import read_totals as S
 
 _READS = """event_id AS id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS session_id, user_id AS archive_id,
@@ -43,9 +44,9 @@ def _exchanges() -> str:
             f"WHEN 5 THEN CASE WHEN id % 2 = 0 THEN array({failed}, {probe[1]}) ELSE array({failed}, {probe[0]}) END ELSE array({ok}) END END AS exchanges")
 
 
-def as_reads(events: DataFrame) -> DataFrame:
+def as_reads(events: DataFrame, *more: str) -> DataFrame:
     """t_reads from ``events``; works on a batch and on a stream alike."""
-    return events.selectExpr(*[c.strip() for c in _split(_READS)]).selectExpr("*", _RECEIVED).selectExpr("*", _exchanges())
+    return events.selectExpr(*[c.strip() for c in _split(_READS)], *more).selectExpr("*", _RECEIVED).selectExpr("*", _exchanges())
 
 
 def _split(text: str) -> list[str]:
@@ -263,24 +264,59 @@ def mixed_content(spark: SparkSession, d: str) -> DataFrame:
 MIXED_SQL = "SELECT page_id, page_id % 2 = 0 AND page_id % 7 > 2 AND url LIKE 'http://%' AS mixed FROM pages"
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = T.read(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return as_reads(events.select("event_id", "user_id", "event_type"))
+#: Stretches of time the log arrives in, and files of each at most.
+PARTS, PART_FILES = 6, 4
+_LOGS: dict[tuple[str, str], tuple[str, int]] = {}
+
+
+def _log(spark: SparkSession, d: str) -> tuple[str, int]:
+    """(folder, seconds of a stretch): the log as it would arrive, one stretch of time after the other."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LOGS:
+        folder = shared_folder(spark, "log")
+        events = T.read(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+        first, last = events.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+        step = (last - first) // PARTS + 1
+        part = F.floor((F.unix_seconds("ts") - first) / step)
+        for n in range(PARTS):
+            events.filter(part == n).coalesce(PART_FILES).write.mode("append").parquet(folder)
+        _LOGS[key] = folder, step
+    return _LOGS[key]
+
+
+def _stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The log as a stream, a few files a batch, and how late a read of it can be: a stretch of time, a day at least."""
+    folder, step = _log(spark, d)
+    events = spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", PART_FILES).parquet(folder)
+    return as_reads(events, "ts"), f"{max(step, 86400)} seconds"
 
 
 def streaming_read_totals(spark: SparkSession, d: str) -> DataFrame:
     """Live totals drained to the end of the log: equal to the batch totals."""
-    return S.latest_totals(_stream(spark, d), S.KEYS)
+    stream, late = _stream(spark, d)
+    return S.latest_totals(stream, S.KEYS, "ts", late)
 
 
 STREAM_SQL = T.with_tables("SELECT purpose, initiator, sum(received)::BIGINT AS bytes, count(*)::BIGINT AS n FROM t_reads GROUP BY 1, 2", "t_reads")
 
 
+def streaming_daily_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The same per day, from windows whose state ended on the way."""
+    stream, late = _stream(spark, d)
+    path, _ = S.drained(S.windowed_totals(stream, S.KEYS, "ts", late), "daily-totals", "update")
+    rows = S.latest_windows(path, stream, S.KEYS)
+    return rows.select(F.unix_date(F.to_date("start")).cast("bigint").alias("day"), *S.KEYS, "bytes", "n")
+
+
+DAILY_SQL = T.with_tables("""SELECT datediff('day', DATE '1970-01-01', e.ts::DATE) AS day, purpose, initiator, sum(received)::BIGINT AS bytes, count(*)::BIGINT AS n
+FROM t_reads r JOIN events e ON r.id = e.event_id GROUP BY 1, 2, 3""", "t_reads")
+
+
 def streaming_first_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves each session has read, as they first arrive."""
-    path = S.drain(S.first_leaf_reads(_stream(spark, d)).select("session_id", "leaf_id"), "first-leaves", "append")
-    return spark.read.parquet(path).select("session_id", "leaf_id")
+    """Leaves each session has read, as they first arrive on a day."""
+    stream, late = _stream(spark, d)
+    path, _ = S.drained(S.first_leaf_reads(stream, "ts", late).select("session_id", "day", "leaf_id"), "first-leaves", "append")
+    return spark.read.parquet(path).select("session_id", "leaf_id").distinct()
 
 
 FIRST_LEAVES_SQL = T.with_tables("SELECT DISTINCT session_id, leaf_id FROM t_reads WHERE purpose = 'leaf-directory' AND error_kind IS NULL", "t_reads")
@@ -301,5 +337,6 @@ QUERIES = {
     "hidden_headers": (hidden_headers, HIDDEN_SQL),
     "mixed_content": (mixed_content, MIXED_SQL),
     "streaming_read_totals": (streaming_read_totals, STREAM_SQL),
+    "streaming_daily_totals": (streaming_daily_totals, DAILY_SQL),
     "streaming_first_leaves": (streaming_first_leaves, FIRST_LEAVES_SQL),
 }

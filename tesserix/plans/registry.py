@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_lookup", "q_address", "q_directory", "q_archive", "q_payload", "q_reads", "q_features", "q_ingest"]
+MODULES = ["q_lookup", "q_address", "q_directory", "q_archive", "q_payload", "q_reads", "q_features", "q_ingest", "q_sketches"]
 
 
 def all_queries() -> dict:
