@@ -16,6 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import ahocorasick
 import numpy as np
@@ -28,8 +29,12 @@ from tesserix.session import cut_lineage
 #: The model is fitted on at most so many labelled rows, those of the smallest hash of their id.
 FIT_ROWS = 20_000
 MAX_TERMS = 4096
-#: A term must stand out by so many standard errors of its log-odds.
-LEAST_Z = 3.0
+#: A term must stand out by so many standard errors of its log-odds that one in a hundred corpora would show any such term by
+#: chance (the border grows with the number of terms looked at), by this at least.
+LEAST_Z, BY_CHANCE = 3.0, 0.01
+#: Of the labelled texts with the term, so many must be toxic: words of a language or topic that is a little more often toxic
+#: stay out, however sure their log-odds are.
+LEAST_SHARE = 0.4
 PREFIXES = (3, 4, 5, 6)
 
 #: Phrases in which words of abuse are harmless.
@@ -172,14 +177,21 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     odds = counts.filter("term <> ''").crossJoin(F.broadcast(total)).withColumn(  # ``total`` is one row
         "weight", F.expr("ln((toxic + 0.5) / (all_toxic + 1)) - ln((clean + 0.5) / (all_clean + 1))")).withColumn(
         "z", F.expr("weight / sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))"))
-    chosen = odds.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    odds = cut_lineage(odds, "odds")
+    border = max(LEAST_Z, NormalDist().inv_cdf(1 - BY_CHANCE / max(odds.count(), 1)))
+    chosen = odds.filter((F.col("z") >= border) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean")))).orderBy(
+        F.desc("z"), "term").limit(MAX_TERMS).collect()
     terms = {w: SEED_WEIGHT for w in seeds}
     for r in odds.filter(F.col("term").isin(seeds)).collect():
         if r.clean >= 3 and r.z < LEAST_Z:
             del terms[r.term]
-    # A beginning says something of its own only if no longer term has nearly all of its toxic texts.
-    terms |= {r.term: r.weight for r in chosen if r.term.endswith(" ") or not any(
-        o.term != r.term and o.term.startswith(r.term) and o.toxic >= 0.8 * r.toxic for o in chosen)}
+    # The surest first; what begins with a chosen beginning says nothing new.
+    beginnings: set[str] = set()
+    for r in chosen:
+        if not any(r.term[:k] in beginnings for k in range(2, len(r.term))):
+            terms[r.term] = r.weight
+            if not r.term.endswith(" "):
+                beginnings.add(r.term)
     lexicon = Lexicon(terms, exceptions)
     rest = _measured(train.filter("part = 3"), lexicon, "text").select("toxic", "_tox.weight", "_tox.words").collect()
     label = np.array([float(r.toxic > 0) for r in rest])
