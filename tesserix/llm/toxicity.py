@@ -34,7 +34,7 @@ MAX_TERMS = 4096
 LEAST_Z, BY_CHANCE = 3.0, 0.01
 #: Of the labelled texts with the term, so many must be toxic: words of a language or topic that is a little more often toxic
 #: stay out, however sure their log-odds are.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.45
 PREFIXES = (3, 4, 5, 6)
 
 #: Phrases in which words of abuse are harmless.

@@ -68,24 +68,24 @@ def test_toxicity_learns_and_ignores_held_out(spark, empty):
 
 
 def test_a_language_more_often_toxic_is_no_lexicon(spark):
-    """Two languages, one of them four times as often toxic; only abuse counts, and scores are those of a plain count of it."""
+    """Two languages, one of them three times as often toxic; only abuse counts, and scores are those of a plain count of it."""
     rng = np.random.default_rng(2)
     tongues = [[f"{stem}{i}" for i in range(300)] for stem in ("lingua", "sprache")]
     abuse, texts, labels = ["zork", "blarg", "fnord"], [], []
     for i in range(3000):
         second = i % 3 == 0
-        toxic = rng.random() < (0.4 if second else 0.1)
+        toxic = rng.random() < (0.3 if second else 0.1)
         some = rng.choice(tongues[second], 60).tolist() + (rng.choice(abuse, 4).tolist() if toxic else [])
         texts.append((i, " ".join(rng.permutation(some).tolist())))
         labels.append((i, int(toxic)))
     docs, marks = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     lexicon = toxicity.fit(docs, marks)
     learned = set(lexicon.terms) - {toxicity.fold(w) for w in toxicity.SEED}
-    assert learned and all(any(f" {w} ".startswith(t) for w in abuse) for t in learned)
+    assert learned and all(any(toxicity.fold(w).startswith(t) for w in abuse) for t in learned)
     a, b, c = lexicon.curve
     truth, texts = dict(labels), dict(texts)
     for r in toxicity.toxicity_digest(docs, marks).collect():
-        weight = sum(max(w for t, w in lexicon.terms.items() if f" {word} ".startswith(t)) for word in texts[r.doc_id].split() if word in abuse)
+        weight = sum(max(w for t, w in lexicon.terms.items() if toxicity.fold(word).startswith(t)) for word in texts[r.doc_id].split() if word in abuse)
         n = len(texts[r.doc_id].split()) if r.doc_id < 40 else 60 + 4 * truth[r.doc_id]
         assert r.score == pytest.approx(1 / (1 + math.exp(-(a + b * math.log1p(weight) + c * math.log1p(100 * weight / n)))))
         assert r.predicted == truth[r.doc_id]
