@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,11 +58,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables() -> Iterator[list[str]]:
+    """The folders that ``cut_lineage`` writes meanwhile, for ``drop_tables`` once nothing reads them any more."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def drop_tables(spark: SparkSession, folders: list[str]) -> None:
+    """Delete stored tables that are of no use any longer."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    folders.clear()
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     A written table survives the loss of any executor and gives the next step real row counts to plan with.
     """
     path = shared_folder(df.sparkSession, name)
+    for made in _RECORDS:
+        made.append(path)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
