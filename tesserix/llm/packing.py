@@ -105,13 +105,13 @@ class WordEncoder:
         ends = [i for i, w in enumerate(words, 1) if w[-1] in b".!?"]
         before = 0
         for i in [*ends, len(words)]:
-            ids = b"".join([known[w] for w in words[before:i]])
-            last, before = i == len(words), i
-            while len(ids) > 8 * FORCED_STEP:
-                part, ids = ids[:4 * FORCED_STEP], ids[4 * FORCED_STEP:]
-                crc, at = zlib.crc32(part, crc), at + FORCED_STEP
+            ids = memoryview(b"".join([known[w] for w in words[before:i]]))
+            last, before, done = i == len(words), i, 0
+            while len(ids) - done > 8 * FORCED_STEP:
+                crc, at = zlib.crc32(ids[done:done + 4 * FORCED_STEP], crc), at + FORCED_STEP
+                done += 4 * FORCED_STEP
                 cuts.append(at), crcs.append(crc), kinds.append(0)
-            crc, at = zlib.crc32(ids, crc), at + len(ids) // 4
+            crc, at = zlib.crc32(ids[done:], crc), at + (len(ids) - done) // 4
             if not last and ids:
                 cuts.append(at), crcs.append(crc), kinds.append(1)
         crc = zlib.crc32(end_id.to_bytes(4, "little"), crc)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from tesserix.llm import backoff, jaccard, media, mixing, neighbours, packing, secrets, sharding, suffixes, toxicity
@@ -335,6 +336,24 @@ def test_sound():
 
 # 8 packing
 
+def test_a_sentence_of_a_million_words_takes_linear_time():
+    """Twice the words take about twice the time, and the cuts are those of short texts."""
+    import time
+
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.learn({b"word", b"other"})
+    spent = []
+    for n in (250_000, 1_000_000):
+        words = [b"word", b"other"] * (n // 2)
+        began = time.process_time()
+        cuts, crcs, kinds = encoder.places(words, 2)
+        spent.append(time.process_time() - began)
+        assert cuts[-1] == n + 1 and set(np.diff(cuts[:-1])) == {packing.FORCED_STEP} and set(kinds[:-1]) == {0}
+        ids = b"".join(encoder.known[w] for w in words)
+        assert crcs[5] == zlib.crc32(ids[:4 * cuts[5]]) and crcs[-1] == zlib.crc32(ids + (2).to_bytes(4, "little"))
+    assert spent[1] < 10 * spent[0] + 0.5
+
+
 def test_best_cuts_are_cheapest():
     rng = np.random.default_rng(4)
     for _ in range(30):
