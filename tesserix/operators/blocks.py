@@ -43,11 +43,11 @@ def explode_range(df: DataFrame, first: str, count: str, out: str) -> DataFrame:
     """One row per number of [first, first + count); rows without numbers go. Long ranges are cut into chunks of 2^16, these
     into chunks of chunks, so no array ever holds more than 2^16 numbers."""
     df = df.filter(F.col(count) > 0).withColumns({"_at": lng(first), "_left": lng(count)})
-    for bits in (2 * ARRAY_BITS, ARRAY_BITS, 0):
+    for bits in (2 * ARRAY_BITS, ARRAY_BITS):
         df = df.withColumn("_c", F.explode(F.sequence(lng(0), F.shiftright(F.col("_left") - 1, bits))))
         df = df.withColumns({"_at": F.col("_at") + F.shiftleft(F.col("_c"), bits),
                              "_left": F.least(F.col("_left") - F.shiftleft(F.col("_c"), bits), lng(1 << bits))})
-    return df.withColumn(out, F.col("_at")).drop("_c", "_at", "_left")
+    return df.withColumn(out, F.explode(F.sequence("_at", F.col("_at") + F.col("_left") - 1))).drop("_c", "_at", "_left")
 
 
 def cover_boxes(boxes: DataFrame, west: str = "west", south: str = "south", east: str = "east", north: str = "north",
@@ -149,6 +149,7 @@ def classify_windows(windows: DataFrame, entries: DataFrame, k: str = "k") -> Da
     for the stretches as squares and ``window_tiles`` for single tiles.
     """
     w = with_aligned_block(windows, k).select("archive_id", "z", "first_tile_id", (F.col("last_tile_id") + 1).alias("_end"))
+    w = cut_lineage(w, "windows")  # an address is a large expression, and is used several times below
     spans = state_intervals(entries).withColumnsRenamed({"start": "_ss", "end": "_se"})
     cut = span_join(w, spans, ["archive_id"], "_ss", "_se", "first_tile_id", "_end")
     cut = cut.select("archive_id", "z", "first_tile_id", F.greatest("first_tile_id", "_ss").alias("start"), F.least("_end", "_se").alias("end"), "state", "region")
