@@ -13,6 +13,26 @@ TILE_TYPE_NAMES = {0: "unknown/other", 1: "mvt", 2: "png", 3: "jpeg", 4: "webp",
 RASTER_TYPES = {2: "png", 3: "jpeg", 4: "webp", 5: "avif"}
 
 
+#: What the parts of an archive and the reasons for reading them are called.
+SECTION_NAMES = {"header": "Header", "rootDirectory": "Root Directory", "metadata": "Metadata", "leafDirectories": "Leaf Directories", "tileData": "Tile Data"}
+PURPOSE_NAMES = {"header+root": "Header + Root", "root-directory": "Root Directory", "metadata": "Metadata", "leaf-directory": "Leaf Directory",
+                 "tile-data": "Tile Data", "viewer-inspect": "Viewer display", "size-probe": "Size probe (HEAD)", "other": "Other"}
+
+
+def _worded(value: ColumnOrName, names: dict[str, str]) -> Column:
+    table = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
+    return F.coalesce(F.try_element_at(table, col(value)), F.concat(F.lit("undefined("), col(value), F.lit(")")))
+
+
+def section_name(section: ColumnOrName) -> Column:
+    return _worded(section, SECTION_NAMES)
+
+
+def purpose_name(purpose: ColumnOrName) -> Column:
+    """Name of a read's purpose; purposes nobody defined stay visible as undefined(..)."""
+    return _worded(purpose, PURPOSE_NAMES)
+
+
 def _named(code: ColumnOrName, names: dict[int, str]) -> Column:
     table = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
     c = col(code).cast("int")

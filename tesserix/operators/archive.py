@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.functions.common import MAX_EXACT, byte_at, lng, uint_le
+from tesserix.functions.common import MAX_EXACT, lng
 from tesserix.functions.payload import compression_name
 
 # The archive header.
@@ -26,21 +26,28 @@ DEFINED_KEYS = ["vector_layers", "name", "description", "attribution", "type", "
 SECTIONS = [("header", None), ("rootDirectory", "root"), ("metadata", "meta"), ("leafDirectories", "leaf"), ("tileData", "tile")]
 
 
-def _u64(blob: Column, pos: int) -> Column:
-    low, high = uint_le(blob, pos, 4), uint_le(blob, pos + 4, 4)
+def _little(digits: Column, pos: int, width: int) -> Column:
+    """Unsigned little-endian integer of ``width`` bytes at ``pos``, from hex digits; NULL where they end before."""
+    value = F.conv(F.concat(*[F.substring(digits, 2 * (pos + i) + 1, 2) for i in range(width - 1, -1, -1)]), 16, 10).cast("bigint")
+    return F.when(F.length(digits) >= 2 * (pos + width), value)
+
+
+def _u64(digits: Column, pos: int) -> Column:
+    low, high = _little(digits, pos, 4), _little(digits, pos + 4, 4)
     return F.when(high <= MAX_EXACT >> 32, high * (1 << 32) + low)
 
 
-def _i32(blob: Column, pos: int) -> Column:
-    v = uint_le(blob, pos, 4)
+def _i32(digits: Column, pos: int) -> Column:
+    v = _little(digits, pos, 4)
     return (v - F.when(v >= 1 << 31, 1 << 32).otherwise(0)).cast("int")
 
 
 def parse_headers(files: DataFrame, blob: str = "blob") -> DataFrame:
     """Header fields of each file's first bytes, and ``reason`` why a file is not a readable archive (else NULL)."""
-    b = F.col(blob)
-    read = {"u8": lambda p: byte_at(b, p), "u64": lambda p: _u64(b, p), "i32": lambda p: _i32(b, p)}
-    df = files.withColumns({name: read[kind](pos) for name, pos, kind in HEADER_FIELDS})
+    b, digits = F.col(blob), F.col("_digits")  # the header is turned to digits once, not once a field
+    read = {"u8": lambda p: _little(digits, p, 1).cast("int"), "u64": lambda p: _u64(digits, p), "i32": lambda p: _i32(digits, p)}
+    df = files.withColumn("_digits", F.hex(F.substring(b, F.lit(1), F.lit(HEADER_SIZE))))
+    df = df.withColumns({name: read[kind](pos) for name, pos, kind in HEADER_FIELDS}).drop("_digits")
     large = F.lit(False)
     for name, _, kind in HEADER_FIELDS:
         if kind == "u64":

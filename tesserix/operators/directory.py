@@ -335,13 +335,14 @@ def column_ranges(decoded: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def size_comparison(decoded: DataFrame, keys: list[str], stored: str | None = None) -> DataFrame:
-    """Bytes as plain rows, as encoded columns and (when known) as stored after compression."""
+    """Bytes as plain rows, as encoded columns and (when known) as stored after compression, with the ratio of the last two."""
     rows = decoded.filter("error IS NULL")
     plain = F.col("n") * PLAIN_ROW_BYTES
     out = rows.select(*keys, "n", plain.alias("plain_bytes"), F.col("decoded_length").cast("bigint").alias("encoded_bytes"),
                       *([F.col(stored).cast("bigint").alias("stored_bytes")] if stored else []))
     out = out.withColumn("encoded_per_entry", F.col("encoded_bytes") / F.nullif(F.col("n"), lng(0)))
-    return out.withColumn("encoded_share", F.col("encoded_bytes") / F.nullif(F.col("plain_bytes"), lng(0)))
+    out = out.withColumn("encoded_share", F.col("encoded_bytes") / F.nullif(F.col("plain_bytes"), lng(0)))
+    return out.withColumn("compression_ratio", F.col("encoded_bytes") / F.nullif(F.col("stored_bytes"), lng(0))) if stored else out
 
 
 def directory_summary(entries: DataFrame, keys: list[str]) -> DataFrame:

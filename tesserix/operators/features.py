@@ -112,13 +112,13 @@ def layer_byte_share(features: DataFrame, layers: DataFrame) -> DataFrame:
     """Bytes by kind per archive, zoom and layer with all subtotals, and the share of geometry."""
     f = features.groupBy("archive_id", "z", "layer").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("feature_bytes"),
                                                          F.sum("geometry_bytes").alias("g"), F.sum("tags_bytes").alias("t"))
-    per_layer = layers.groupBy("archive_id", "z", "layer").agg(F.sum("dictionary_bytes").alias("d"))
+    per_layer = layers.groupBy("archive_id", "z", "layer").agg(F.sum("key_bytes").alias("k"), F.sum("value_bytes").alias("v"))
     both = f.join(per_layer, ["archive_id", "z", "layer"], "full_outer")
     total = both.cube("archive_id", "z", "layer").agg(
         F.grouping_id().alias("level"), F.coalesce(F.sum("n"), lng(0)).alias("features"),
         F.coalesce(F.sum("feature_bytes"), lng(0)).alias("feature_bytes"), F.coalesce(F.sum("g"), lng(0)).alias("geometry_bytes"),
-        F.coalesce(F.sum("t"), lng(0)).alias("tags_bytes"), F.coalesce(F.sum("d"), lng(0)).alias("dictionary_bytes"))
-    whole = F.col("feature_bytes") + F.col("dictionary_bytes")
+        F.coalesce(F.sum("t"), lng(0)).alias("tags_bytes"), F.coalesce(F.sum("k"), lng(0)).alias("key_bytes"), F.coalesce(F.sum("v"), lng(0)).alias("value_bytes"))
+    whole = F.col("feature_bytes") + F.col("key_bytes") + F.col("value_bytes")
     return total.withColumn("geometry_share", F.col("geometry_bytes") / F.nullif(whole, lng(0)))
 
 

@@ -9,6 +9,7 @@ from tesserix.functions.common import lng
 from tesserix.functions.payload import is_mixed_content, refused_range_total
 from tesserix.operators.archive import FIRST_READ, HEADER_SIZE, SECTIONS
 from tesserix.operators.ordered import exclusive_scan
+from tesserix.session import cut_lineage
 
 #: Reads made for display or measuring; all others were needed to use the archive (fixed values).
 NOT_NEEDED = ["viewer-inspect", "size-probe"]
@@ -164,13 +165,26 @@ def failure_class(page: str = "page_url") -> Column:
 def etag_changes(reads: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
     """Reads whose strong ETag differs from the first strong one seen for the same file. Weak ones are ignored, and so are
     those of responses that were not accepted."""
-    tag = F.when(range_outcome().isin("ok", "ok-after-416", "whole-file"), _last()["headers"]["etag"])
-    strong = reads.withColumn("etag", F.when(~tag.startswith("W/"), tag)).filter("etag IS NOT NULL")
-    strong = strong.select(*keys, order, "etag")
+    ended = reads.select(*keys, order, range_outcome().alias("outcome"), _last()["headers"]["etag"].alias("_tag"))
+    return _changed(ended, keys, order)
+
+
+def _changed(ended: DataFrame, keys: list[str], order: str) -> DataFrame:
+    tag = F.when(F.col("outcome").isin("ok", "ok-after-416", "whole-file") & ~F.col("_tag").startswith("W/"), F.col("_tag"))
+    strong = ended.select(*keys, order, tag.alias("etag")).filter("etag IS NOT NULL")
     firsts = strong.groupBy(*keys).agg(F.min_by("etag", order).alias("first_etag"))
     return strong.join(firsts, keys).filter("etag <> first_etag")
 
 
+def read_outcomes(reads: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
+    """``reads`` with ``outcome``: as ``range_outcome``, but ``etag-changed`` where the file was another one than at first, which is
+    a failure of the read however good its response looks."""
+    ended = cut_lineage(reads.select("*", range_outcome().alias("outcome"), _last()["headers"]["etag"].alias("_tag")), "ended")  # read twice
+    changed = _changed(ended, keys, order).select(*keys, order, F.lit("etag-changed").alias("_changed"))
+    out = ended.join(changed, [*keys, order], "left")
+    return out.withColumn("outcome", F.coalesce("_changed", "outcome")).drop("_changed", "_tag")
+
+
 def hidden_headers(reads: DataFrame) -> DataFrame:
     """Why a response header is NULL: absent, hidden from the page, or one of the two."""
     e = reads.select("id", F.inline("exchanges")).select("id", "status", "type", F.explode("headers").alias("header", "value"))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserix.functions.varint import varint_hex
+from tesserix.operators import damage as DM
 from tesserix.operators import directory as D
 from tesserix.operators import lookup as L
+from tesserix.operators.ordered import exclusive_scan
 from tesserix.plans import tables as T
 from tesserix.session import cut_lineage
+from tesserix.sources.codecs import compress
 
 DIR = ["archive_id", "dir_id"]
 
@@ -304,6 +307,51 @@ SELECT v.archive_id, v.dir_id, r.s AS damage_start, col, i, byte_offset AS span_
   ON v.archive_id = r.archive_id AND v.dir_id = r.dir_id AND byte_offset < r.s + 5 AND byte_offset + byte_length > r.s""", "t_dir_values")
 
 
+#: Bytes that wrap uncompressed data in the gzip form: its header and the head of a stored block (fixed value).
+_WRAP = 15
+
+
+def damaged_files(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged ranges of files: the directories they touch, what still comes out of these, and the first value that does not.
+    Directories of odd archives are wrapped as gzip data."""
+    b = blobs(spark, d).drop("n").withColumn("codec", F.when(F.col("archive_id") % 2 == 1, 2).otherwise(1).cast("int"))
+    stored = cut_lineage(compress(b, "blob", "codec", "raw", 0).withColumn("stored", F.octet_length("raw").cast("bigint")), "stored")
+    at = exclusive_scan(stored.select(*DIR, "stored"), ["archive_id"], "dir_id", {"at": ("sum", F.col("stored"))}).withColumn("at", 1000 + F.coalesce("at", F.lit(0)))
+    ends = at.groupBy("archive_id").agg(F.max(F.col("at") + F.col("stored")).alias("e"))
+    ranges = ends.select("archive_id", F.explode(F.sequence(F.lit(1003).cast("bigint"), F.col("e") - 1, F.lit(997).cast("bigint"))).alias("damage_start")).withColumn(
+        "damage_end", F.col("damage_start") + 40)
+    hit = DM.damaged_directories(ranges, at).join(stored.select(*DIR, "codec", F.col("raw").alias("blob")), DIR)
+    lost = DM.lost_entries(DM.safe_bytes(hit).drop("blob"), D.encoded_values(decoded(spark, d), DIR), DIR)
+    return lost.select(*DIR, "damage_start", "stored_start", "safe", "n_lost", "col", "i")
+
+
+DAMAGED_FILES_SQL = T.with_tables(f"""
+, sizes AS (SELECT archive_id, dir_id, (sum(byte_length) + {_W('n')})::BIGINT AS b FROM t_dir_values GROUP BY 1, 2, n),
+st AS (SELECT *, b + CASE WHEN archive_id % 2 = 1 THEN {_WRAP} + 8 ELSE 0 END AS stored FROM sizes),
+places AS (SELECT *, 1000 + coalesce(sum(stored) OVER (PARTITION BY archive_id ORDER BY dir_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM st),
+r AS (SELECT archive_id, unnest(range(1003, max(place + stored), 997)) AS s FROM places GROUP BY 1),
+h AS (SELECT p.archive_id, p.dir_id, p.b, r.s AS damage_start, greatest(r.s - p.place, 0) AS stored_start FROM places p JOIN r ON p.archive_id = r.archive_id AND r.s < p.place + p.stored AND r.s + 40 > p.place),
+g AS (SELECT *, CASE WHEN archive_id % 2 = 1 THEN least(greatest(stored_start - {_WRAP}, 0), b) ELSE stored_start END AS safe FROM h),
+l AS (SELECT g.archive_id, g.dir_id, damage_start, count(*)::BIGINT AS n_lost, arg_min(col, byte_offset) AS col, arg_min(i, byte_offset) AS i
+  FROM g JOIN t_dir_values v ON g.archive_id = v.archive_id AND g.dir_id = v.dir_id AND byte_offset + byte_length > safe GROUP BY 1, 2, 3)
+SELECT g.archive_id, g.dir_id, g.damage_start, stored_start, safe, coalesce(n_lost, 0) AS n_lost, col, i FROM g LEFT JOIN l
+  ON g.archive_id = l.archive_id AND g.dir_id = l.dir_id AND g.damage_start = l.damage_start""", "t_dir_values")
+
+
+def damaged_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections hit by a damaged stretch of every archive's file."""
+    a = T.archives(spark, d)
+    ranges = a.selectExpr("archive_id", "archive_id * 7919 % 60000 AS damage_start", "archive_id * 7919 % 60000 + 300 AS damage_end")
+    return DM.damaged_sections(ranges, a).select("archive_id", "section", "hit")
+
+
+SECTIONS_HIT_SQL = T.with_tables("""
+SELECT archive_id, section, least(s + 300, e) - greatest(s, b) AS hit FROM (SELECT archive_id, archive_id * 7919 % 60000 AS s,
+  unnest(['header', 'rootDirectory', 'metadata', 'leafDirectories', 'tileData']) AS section, unnest([0, root_offset, meta_offset, leaf_offset, tile_offset]) AS b,
+  unnest([127, root_offset + root_length, meta_offset + meta_length, leaf_offset + leaf_length, tile_offset + tile_length]) AS e FROM t_archives)
+WHERE least(s + 300, e) - greatest(s, b) > 0""", "t_archives")
+
+
 def same_entries(spark: SparkSession, d: str) -> DataFrame:
     """Two versions of the entries compared: the second lost some rows and changed others."""
     a = T.placed(spark, d).select("archive_id", "tile_id", "run_length", "offset", "length")
@@ -350,6 +398,8 @@ QUERIES = {
     "directory_tree": (directory_tree, TREE_SQL),
     "entry_file_ranges": (entry_file_ranges, FILE_RANGES_SQL),
     "damaged_entries": (damaged_entries, DAMAGED_SQL),
+    "damaged_files": (damaged_files, DAMAGED_FILES_SQL),
+    "damaged_sections": (damaged_sections, SECTIONS_HIT_SQL),
     "same_entries": (same_entries, SAME_SQL),
     "sample_tiles": (sample_tiles, SAMPLE_SQL),
 }

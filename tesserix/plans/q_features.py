@@ -101,7 +101,7 @@ def layers(spark: SparkSession, d: str) -> DataFrame:
     return f.selectExpr("*", "CASE WHEN (tile_id + layer_index) % 11 = 0 THEN NULL WHEN tile_id % 6 = 0 AND layer_index = 2 THEN 'layer1' ELSE concat('layer', layer_index) END AS name",
                         "CASE WHEN (tile_id + layer_index) % 5 = 0 THEN 1 WHEN (tile_id + layer_index) % 5 = 1 THEN NULL ELSE 2 END AS version",
                         "CASE WHEN (tile_id + layer_index) % 7 = 0 THEN NULL ELSE 4096 END AS extent", "array('name', 'size', 'kind') AS keys", f"array({values}) AS values",
-                        "concat('layer', layer_index) AS layer", "100 + tile_id AS dictionary_bytes")
+                        "concat('layer', layer_index) AS layer", "40 + layer_index AS key_bytes", "60 + tile_id AS value_bytes")
 
 
 T.CTES["t_layers"] = ("""SELECT *, CASE WHEN (tile_id + layer_index) % 11 = 0 THEN NULL WHEN tile_id % 6 = 0 AND layer_index = 2 THEN 'layer1' ELSE 'layer' || layer_index END AS name
@@ -196,10 +196,10 @@ def layer_byte_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 BYTE_SHARE_SQL = T.with_tables("""
-, r AS (SELECT archive_id, z, layer, 1 AS n, bytes AS f, geometry_bytes AS g, tags_bytes AS t, 0 AS dict FROM t_features
-  UNION ALL SELECT archive_id, z, 'layer' || layer_index, 0, 0, 0, 0, 100 + tile_id FROM t_layers)
+, r AS (SELECT archive_id, z, layer, 1 AS n, bytes AS f, geometry_bytes AS g, tags_bytes AS t, 0 AS k, 0 AS v FROM t_features
+  UNION ALL SELECT archive_id, z, 'layer' || layer_index, 0, 0, 0, 0, 40 + layer_index, 60 + tile_id FROM t_layers)
 SELECT archive_id, z, layer, grouping_id(archive_id, z, layer)::BIGINT AS level, sum(n)::BIGINT AS features, sum(f)::BIGINT AS feature_bytes, sum(g)::BIGINT AS geometry_bytes,
-  sum(t)::BIGINT AS tags_bytes, sum(dict)::BIGINT AS dictionary_bytes, round(sum(g) / sum(f + dict)::DOUBLE, 6) AS geometry_share FROM r GROUP BY CUBE (archive_id, z, layer)""",
+  sum(t)::BIGINT AS tags_bytes, sum(k)::BIGINT AS key_bytes, sum(v)::BIGINT AS value_bytes, round(sum(g) / sum(f + k + v)::DOUBLE, 6) AS geometry_share FROM r GROUP BY CUBE (archive_id, z, layer)""",
                                "t_features", "t_layers")
 
 

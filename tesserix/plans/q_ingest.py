@@ -9,7 +9,7 @@ from tesserix.plans import tables as T
 from tesserix.session import shared_folder
 from tesserix.sources.archive_writer import write_archives, write_files
 from tesserix.sources.entry_source import load_entries, write_manifest
-from tesserix.sources.ingest import from_tms, read_contents, read_directories, read_metadata, scan_archives, write_entries
+from tesserix.sources.ingest import directory_sizes, from_tms, read_contents, read_directories, read_metadata, scan_archives, write_entries
 
 LEAF = 64
 _FOLDERS: dict[tuple[str, str], str] = {}
@@ -140,6 +140,24 @@ SELECT file_id, CASE WHEN file_id % 4 = 2 THEN 'short-read' ELSE 'broken' END AS
 FROM n WHERE file_id % 4 = 3 OR (file_id % 4 IN (1, 2) AND n > {LEAF})"""
 
 
+def stored_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Directories with tile entries: plain, encoded and stored bytes (the last only as known and ratio as consistent)."""
+    a = archives(spark, d)
+    entries = read_directories(a)[0]
+    first = entries.filter("run_length > 0").groupBy("archive_id", "dir_id").agg(F.min("tile_id").alias("first_tile"))
+    sizes = directory_sizes(a, entries).join(first, ["archive_id", "dir_id"]).join(a.select("archive_id", "file_id"), "archive_id")
+    ratio = F.abs(F.col("compression_ratio") * F.col("stored_bytes") - F.col("encoded_bytes")) < 1e-6
+    return sizes.select("file_id", "first_tile", "n", "plain_bytes", "encoded_bytes", ((F.col("stored_bytes") > 0) & ratio).alias("stored_known"))
+
+
+STORED_SIZES_SQL = f"""WITH {F_TILES}, e AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tile_id) - 1 AS k FROM f_entries),
+v AS (SELECT *, k // {LEAF} AS leaf, tile_id - lag(tile_id, 1, 0) OVER w AS delta, CASE WHEN lag("offset" + length) OVER w = "offset" THEN 0 ELSE "offset" + 1 END AS code
+  FROM e WINDOW w AS (PARTITION BY file_id, k // {LEAF} ORDER BY k))
+SELECT file_id, min(tile_id) AS first_tile, count(*)::BIGINT AS n, 24 * count(*)::BIGINT AS plain_bytes,
+  (sum({T._width('delta')} + 1 + {T._width('length')} + {T._width('code')}) + {T._width('count(*)')})::BIGINT AS encoded_bytes, TRUE AS stored_known
+FROM v GROUP BY file_id, leaf"""
+
+
 def scan_metadata(spark: SparkSession, d: str) -> DataFrame:
     a = archives(spark, d)
     return read_metadata(a).join(a.select("archive_id", "file_id"), "archive_id").select(
@@ -225,6 +243,7 @@ QUERIES = {
     "entries_in_window": (entries_in_window, IN_WINDOW_SQL),
     "merged_reads": (merged_reads, MERGED_SQL),
     "scan_problems": (scan_problems, PROBLEMS_SQL),
+    "stored_sizes": (stored_sizes, STORED_SIZES_SQL),
     "scan_metadata": (scan_metadata, METADATA_SQL),
     "scan_contents": (scan_contents, CONTENTS_SQL),
     "stored_entries_all": (stored_entries_all, STORED_ALL_SQL),

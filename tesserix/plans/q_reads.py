@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserix.functions.payload import is_mixed_content
+from tesserix.functions.payload import PURPOSE_NAMES, SECTION_NAMES, is_mixed_content, purpose_name, section_name
 from tesserix.operators import lookup as L
 from tesserix.operators import reads as R
 from tesserix.operators.lookup import zoom_gate
@@ -188,6 +188,19 @@ SELECT archive_id, section, purpose, sum(b)::BIGINT AS bytes, count(*)::BIGINT A
     ON r.archive_id = s.archive_id WHERE error_kind IS NULL AND received > 0) WHERE b > 0 GROUP BY 1, 2, 3""", "t_reads", "t_sections", "t_archives")
 
 
+def section_names(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes read by section and purpose over all archives, by their names."""
+    by = R.reads_by_section(reads(spark, d), T.archives(spark, d)).groupBy("section", "purpose").agg(F.sum("bytes").alias("bytes"))
+    return by.select(section_name("section").alias("section"), purpose_name("purpose").alias("purpose"), "bytes")
+
+
+def _words(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE 'undefined(' || {column} || ')' END"
+
+
+NAMES_SQL = f"SELECT {_words('section', SECTION_NAMES)} AS section, {_words('purpose', PURPOSE_NAMES)} AS purpose, sum(bytes)::BIGINT AS bytes FROM ({BY_SECTION_SQL}) GROUP BY 1, 2"
+
+
 def short_reads(spark: SparkSession, d: str) -> DataFrame:
     """Reads that ended early."""
     return R.short_reads(reads(spark, d)).select("id", "session_id", "requested", "received")
@@ -239,6 +252,20 @@ SELECT * FROM (SELECT session_id, url, id, tag AS etag, first_value(tag) OVER (P
   FROM t_reads WHERE tag IS NOT NULL AND tag NOT LIKE 'W/%' AND id % 9 IN (0, 1, 6, 7, 8) AND id % 27 <> 1) WHERE etag <> first_etag""", "t_reads")
 
 
+def read_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How every read ended, a file that changed under its session among the ways."""
+    return R.read_outcomes(reads(spark, d), ["session_id", "url"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+OUTCOMES_SQL = T.with_tables("""
+, v AS (SELECT *, id % 9 AS v FROM t_reads),
+o AS (SELECT *, CASE WHEN id % 27 = 1 OR v = 2 THEN 'range-not-supported' WHEN v = 1 THEN 'ok-after-416' WHEN v = 3 THEN 'whole-file' WHEN v = 4 THEN 'http-status'
+  WHEN v = 5 THEN 'failed' ELSE 'ok' END AS outcome FROM v),
+c AS (SELECT id FROM (SELECT id, tag, first_value(tag) OVER (PARTITION BY session_id, url ORDER BY id) AS first_etag
+  FROM t_reads WHERE tag IS NOT NULL AND tag NOT LIKE 'W/%' AND id % 9 IN (0, 1, 6, 7, 8) AND id % 27 <> 1) WHERE tag <> first_etag)
+SELECT CASE WHEN id IN (SELECT id FROM c) THEN 'etag-changed' ELSE outcome END AS outcome, count(*)::BIGINT AS n FROM o GROUP BY 1""", "t_reads")
+
+
 def hidden_headers(spark: SparkSession, d: str) -> DataFrame:
     """Missing response headers by reason."""
     return R.hidden_headers(reads(spark, d)).groupBy("header", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -330,6 +357,8 @@ QUERIES = {
     "read_budget_summary": (read_budget_summary, BUDGET_SUMMARY_SQL),
     "reads_of_traces": (reads_of_traces, TRACES_SQL),
     "reads_by_section": (reads_by_section, BY_SECTION_SQL),
+    "section_names": (section_names, NAMES_SQL),
+    "read_outcomes": (read_outcomes, OUTCOMES_SQL),
     "short_reads": (short_reads, SHORT_SQL),
     "compare_plans": (compare_plans, COMPARE_SQL),
     "http_outcomes": (http_outcomes, HTTP_SQL),

@@ -78,13 +78,14 @@ def with_values(batch: pa.RecordBatch, values: Iterator[tuple[bytes | None, str
             at, held, size = at + len(held), [], 0
 
 
-def compress(df: DataFrame, text: str, codec: str, out: str) -> DataFrame:
-    """Counterpart used to build derived tables and test archives; codecs other than 2 and 4 leave the bytes alone."""
+def compress(df: DataFrame, text: str, codec: str, out: str, level: int = 9) -> DataFrame:
+    """Counterpart used to build derived tables and test archives; codecs other than 2 and 4 leave the bytes alone. Level 0 wraps gzip
+    data without making it smaller."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
 
     def one(b: bytes, c: int) -> bytes:
         if c == 2:
-            return gzip.compress(b, mtime=0)
+            return gzip.compress(b, level, mtime=0)
         if c == 4:
             import zstandard
 

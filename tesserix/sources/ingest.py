@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tesserix.functions.common import lng
 from tesserix.operators.archive import parse_headers, with_metadata
-from tesserix.operators.directory import decode_entries, decode_values, directory_issues, spread
+from tesserix.operators.directory import decode_entries, decode_values, directory_issues, size_comparison, spread
 from tesserix.operators.lookup import MAX_DEPTH, ROOT
 from tesserix.session import cut_lineage
 from tesserix.sources.archive_source import read_first_bytes
@@ -152,6 +152,22 @@ def read_directories(archives: DataFrame, first_tile: int | None = None, end_til
     return union(entries), union(problems)
 
 
+def stored_directories(archives: DataFrame, entries: DataFrame) -> DataFrame:
+    """(archive_id, dir_id, path, codec, at, stored): where the directories that ``entries`` came from lie in their files."""
+    a = archives.filter("reason IS NULL").select("archive_id", "path", "root_offset", "root_length", "leaf_offset", F.col("internal_compression").cast("int").alias("codec"))
+    leaves = entries.filter("run_length = 0").groupBy("archive_id", F.col("offset").alias("dir_id")).agg(F.max("length").alias("stored"))
+    below = leaves.join(a, "archive_id").select(*_DIR, "path", "codec", (F.col("leaf_offset") + F.col("dir_id")).alias("at"), "stored")
+    return a.select("archive_id", lng(ROOT).alias("dir_id"), "path", "codec", F.col("root_offset").alias("at"), F.col("root_length").alias("stored")).unionByName(below)
+
+
+def directory_sizes(archives: DataFrame, entries: DataFrame) -> DataFrame:
+    """Every directory as plain rows, encoded, and as stored in its file, with the ratio of compression."""
+    places = stored_directories(archives, entries)
+    raw = read_ranges(places, "at", "stored", "raw")
+    plain = decompress(raw.drop("read_error"), "raw", "codec", "blob", "unpack_error").filter("unpack_error IS NULL")
+    return size_comparison(decode_values(plain.select(*_DIR, "stored", "blob")), _DIR, "stored")
+
+
 def read_metadata(archives: DataFrame) -> DataFrame:
     """(archive_id, raw, metadata, error, meta, json_ok)"""
     a = archives.filter("reason IS NULL").select("archive_id", "path", "meta_offset", "meta_length", "internal_compression")
