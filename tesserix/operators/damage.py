@@ -54,7 +54,7 @@ def safe_bytes(damage: DataFrame, blob: str = "blob", codec: str = "codec", star
                     out.append(made)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "safe"])
 
-    schema = damage.withColumn("safe", lng(0)).schema
+    schema = damage.withColumn("safe", F.lit(None).cast("bigint")).schema
     return damage.mapInArrow(step, schema)
 
 

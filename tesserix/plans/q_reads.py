@@ -10,6 +10,7 @@ from tesserix.operators import lookup as L
 from tesserix.operators import reads as R
 from tesserix.operators.lookup import zoom_gate
 from tesserix.operators.ordered import floor_join
+from tesserix.plans import q_archive  # noqa: F401  defines the sections in SQL
 from tesserix.plans import tables as T
 from tesserix.session import shared_folder
 from tesserix.streaming import read_totals as S
@@ -306,7 +307,7 @@ def _log(spark: SparkSession, d: str) -> tuple[str, int]:
         step = (last - first) // PARTS + 1
         part = F.floor((F.unix_seconds("ts") - first) / step)
         for n in range(PARTS):
-            events.filter(part == n).coalesce(PART_FILES).write.mode("append").parquet(folder)
+            events.filter(part == n).repartition(PART_FILES).write.mode("append").parquet(folder)
         _LOGS[key] = folder, step
     return _LOGS[key]
 

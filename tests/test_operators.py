@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tesserix.functions import geometry as G
 from tesserix.functions import payload as P
-from tesserix.functions.varint import encode_varint, varint_width
+from tesserix.functions.varint import decode_blobs, encode_varint, padded_varint_hex, varint_width
+from tesserix.operators import blocks as B
 from tesserix.operators import directory as D
 from tesserix.operators import lookup as L
 from tesserix.operators.features import hit_test, with_geometry
 from tesserix.operators.ordered import exclusive_scan, floor_join, span_join
+from tesserix.session import cut_lineage
 
 
 @pytest.mark.parametrize("batch", ["1", "7", "10000"])
@@ -256,3 +258,119 @@ def test_geometry_against_plain_python(spark):
             t = max(0, min(1, ((r.px - a[0]) * dx + (r.py - a[1]) * dy) / n)) if n else 0
             best = min(best, hypot(a[0] + t * dx - r.px, a[1] + t * dy - r.py))
         assert abs(r.d - best) < 1e-9
+
+
+def test_values_of_any_width_against_plain_python(spark):
+    rnd = random.Random(11)
+
+    def written(v, extra):
+        out = []
+        while True:
+            out.append(v % 128)
+            v //= 128
+            if not v:
+                break
+        out += [0] * extra
+        return bytes([b | 128 for b in out[:-1]] + out[-1:])
+
+    blobs = []
+    for _ in range(300):
+        values = [(rnd.getrandbits(rnd.choice([1, 7, 8, 14, 31, 52, 53, 54, 56, 57, 63, 70])), rnd.choice([0, 0, 1, 3])) for _ in range(rnd.randrange(6))]
+        blobs.append((b"".join(written(*v) for v in values) + rnd.choice([b"", b"", b"\x80", b"\xff\xff"]), values))
+    df = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(blobs)] + [(999, None)], "k int, blob binary")
+    got = {r.k: r["values"] for r in decode_blobs(df).collect()}
+    assert got.pop(999) is None
+    for k, (_, values) in enumerate(blobs):
+        at, want = 0, []
+        for v, extra in values:
+            n = len(written(v, extra))
+            want.append((v if v < 2 ** 53 and n <= 10 else None, at, n))
+            at += n
+        assert [tuple(v) for v in got[k]] == want, k
+
+
+def test_padded_values_are_longer_and_equal(spark):
+    df = spark.createDataFrame([(v, n) for v in (0, 1, 127, 128, 300, 2 ** 40) for n in range(4)], "v long, n int")
+    for r in decode_blobs(df.withColumn("blob", F.unhex(padded_varint_hex("v", "n"))).withColumn("w", varint_width("v"))).collect():
+        assert [(v.value, v.byte_length) for v in r["values"]] == [(r.v, r.w + r.n)]
+
+
+def test_map_tiles_reads_stored_levels(spark):
+    """The whole answer of a map comes from a handful of scans, not one tree per use."""
+    from tesserix.plans.q_lookup import map_tiles
+
+    plan = map_tiles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[", plan)) <= 20
+
+
+def test_trees_are_packed_until_the_root_fits(spark):
+    rnd = random.Random(12)
+    tiles, at, place = [], 0, 0
+    for a, n in ((1, 3000), (2, 20), (3, 1)):
+        at = place = 0
+        for _ in range(n):
+            run = rnd.choice([1, 1, 2, 5])
+            tiles.append((a, at, run, place, 10))
+            at, place = at + run + rnd.choice([0, 0, 1, 9]), place + 10
+    entries = spark.createDataFrame(tiles, "archive_id long, tile_id long, run_length long, offset long, length long")
+    tree = cut_lineage(D.pack_tree(entries, 8, 90))
+    levels = {r.archive_id: r.top for r in tree.filter("dir_id = -1").groupBy("archive_id").agg(F.max("level").alias("top")).collect()}
+    assert levels == {1: 3, 2: 1, 3: 0} or (levels[1] == 3 and levels[3] == 0)
+    roots = D.encode_directories(tree.filter("dir_id = -1"), ["archive_id", "level"]).withColumn("size", F.octet_length("blob"))
+    assert all(r["size"] <= 90 or r.level == 3 for r in roots.collect())
+    blobs = D.encode_directories(tree.filter("dir_id >= 0"), ["archive_id", "dir_id"]).withColumn("size", F.octet_length("blob").cast("bigint"))
+    named = tree.filter("run_length = 0").select("archive_id", F.col("offset").alias("dir_id"), "length").join(blobs, ["archive_id", "dir_id"], "full")
+    assert named.filter("NOT (length <=> size)").count() == 0  # each leaf is named once, by its place and size
+    arch = spark.createDataFrame([(a, 0, 30) for a in (1, 2, 3)], "archive_id long, min_zoom int, max_zoom int")
+    asked = entries.selectExpr("archive_id", "5 AS z", "explode(array(tile_id, tile_id + run_length - 1, tile_id + run_length)) AS target").distinct()
+    deep = {(r.archive_id, r.target): (r.status, r.offset) for r in L.lookup_tree(asked, arch, tree).collect()}
+    covered = {(a, t + k): o for a, t, n, o, _ in tiles for k in range(n)}
+    assert deep == {k: ("found", covered[k]) if k in covered else ("not-found", None) for k in deep}
+
+
+def test_long_ranges_are_cut_before_they_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(B, "ARRAY_BITS", 3)
+    df = spark.createDataFrame([(1, 5, 300), (2, 0, 1), (3, 9, 0), (4, 100, 64), (5, 7, 513)], "k int, a long, n long")
+    out = B.explode_range(df, "a", "n", "v")
+    assert sorted((r.k, r.v) for r in out.collect()) == sorted((k, v) for k, a, n in ((1, 5, 300), (2, 0, 1), (4, 100, 64), (5, 7, 513)) for v in range(a, a + n))
+
+
+def test_windows_by_stretches_and_squares(spark):
+    """States of every tile against a plain walk of the directories at hand."""
+    rnd = random.Random(13)
+    rows, at = [], 21
+    leaves = []
+    for leaf in range(6):
+        start = at
+        items = []
+        for i in range(5):
+            run = rnd.choice([1, 2, 4])
+            items.append((at, run))
+            at += run + rnd.choice([0, 0, 1, 3])
+        leaves.append((start, 100 + leaf, items))
+    root = [(1, -1, 0, 21 - 5, 2, 0, 0)] + [(1, -1, k + 1, s, 0, off, 9) for k, (s, off, _) in enumerate(leaves)]
+    loaded = [(1, off, i, t, n, 0, 1) for _, off, items in leaves if off % 3 for i, (t, n) in enumerate(items)]
+    tree = spark.createDataFrame(root + loaded, "archive_id long, dir_id long, i long, tile_id long, run_length long, offset long, length long")
+    windows = spark.createDataFrame([(1, 3, 0, 0, 3), (1, 2, 0, 0, 2), (1, 4, 5, 5, 2), (2, 3, 1, 1, 1)], "archive_id long, z int, x long, y long, k int")
+
+    def state(a, t):
+        if a == 2 or t < 16:
+            return "none", -1
+        if t < 18:
+            return "tile", -1
+        k = max((k for k, (s, _, _) in enumerate(leaves) if s <= t), default=None)
+        if k is None:
+            return "none", -1
+        if leaves[k][1] % 3 == 0:
+            return "unloaded", k
+        return ("tile" if any(s <= t < s + n for s, n in leaves[k][2]) else "miss"), k
+
+    stretches = cut_lineage(B.classify_windows(windows, tree))
+    tiles = B.window_tiles(stretches).collect()
+    assert len(tiles) == 64 + 16 + 16 + 4
+    assert all((r.state, r.region) == state(r.archive_id, r.tile_id) for r in tiles)
+    squares = B.window_squares(stretches).groupBy("archive_id", "z", "state").agg(F.sum(F.col("size") * F.col("size")).alias("n")).collect()
+    counted = {}
+    for r in tiles:
+        counted[r.archive_id, r.z, r.state] = counted.get((r.archive_id, r.z, r.state), 0) + 1
+    assert {(r.archive_id, r.z, r.state): r.n for r in squares} == counted
