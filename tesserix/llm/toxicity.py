@@ -36,6 +36,8 @@ LEAST_Z, BY_CHANCE = 3.0, 0.01
 #: stay out, however sure their log-odds are.
 LEAST_SHARE = 0.45
 PREFIXES = (3, 4, 5, 6)
+#: Terms whose counts a task holds before it hands them on.
+HELD_TERMS = 200_000
 
 #: Phrases in which words of abuse are harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "sore loser", "useful idiot", "moron test")
@@ -158,16 +160,21 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        size = [0, 0]
+
+        def told() -> Iterator[pd.DataFrame]:
+            terms = list(seen[0].keys() | seen[1].keys())
+            for at in range(0, len(terms), 50_000):
+                some = terms[at:at + 50_000]
+                yield pd.DataFrame({"term": some, "clean": [seen[0][t] for t in some], "toxic": [seen[1][t] for t in some]})
+            seen[0].clear(), seen[1].clear()
+
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                size[int(toxic > 0)] += 1
                 seen[int(toxic > 0)].update(_terms(text))
-        terms = [*(seen[0].keys() | seen[1].keys()), ""]  # the empty term counts texts
-        for at in range(0, len(terms), 50_000):
-            some = terms[at:at + 50_000]
-            yield pd.DataFrame({"term": some, "clean": [seen[0][t] if t else size[0] for t in some],
-                                "toxic": [seen[1][t] if t else size[1] for t in some]})
+                seen[int(toxic > 0)][""] += 1  # the empty term counts texts
+                if len(seen[0]) + len(seen[1]) > HELD_TERMS:
+                    yield from told()
+        yield from told()
 
     counts = train.filter("part < 3").select("text", "toxic").mapInPandas(count, "term string, clean long, toxic long").groupBy(
         "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
