@@ -6,8 +6,10 @@ estimated to cost least: a longer prefix reads more postings but lets fewer pair
 candidate when its two prefixes share at least the smaller of the two l.
 
 Equal sets are collapsed first. What is wanted is the classes of linked documents, so pairs inside a class that is already
-joined need no check: each posting list is first checked against its most connected member (a star), the links found are
-joined, and only pairs of different classes go on. Every pair that could still join two classes is checked exactly.
+joined need no check. Each posting list is first measured against its most connected member (a star); a set that shares at
+least half with such a leader joins its group. Inside a group, sets are compared by what sets them apart from their leader: a pair
+that links must share much of that, and copies of one text share little of it. Pairs of different groups meet in posting lists,
+the largest group of a list only with the others. Every pair that could still join two classes is checked exactly.
 
 Null and empty texts have no n-grams, link with nothing and are their own component. A text with fewer words than n counts as
 one n-gram. Rows of one doc_id are taken as one document, so they are in one component. A null doc_id is never a component's
@@ -33,6 +35,9 @@ from tesserix.session import cut_lineage
 #: Longest extension of a prefix, and what a verification costs in postings read.
 MOST_MATCHES = 12
 VERIFY_COST = 8
+#: Rounds of stars, each over the sets without a group; and tokens that sets of one group must share in prefixes of what they have apart.
+#: Neither changes the result.
+STARS, MORE_APART = 3, 4
 #: At most so many frequent n-grams are known to every task (8 bytes each); the others count as rare. It only sets the order.
 FREQUENT = 1 << 17
 _BUFFER, _LOCAL_DF, _FREQUENT_DF = 1 << 21, 3, 24
@@ -167,13 +172,85 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(live.filter("level <= most").select("token", "doc", "n", "most", "fame"), "prefixes")
 
 
-def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of fitting sizes, once each, whose prefixes share as many tokens as the more modest of the two asks for."""
-    fits = pairs.filter(f"least(a_n, b_n) * 100 >= greatest(a_n, b_n) * {percent}")
-    ordered = fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_most", "b_most").alias("most"))
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """(a, b): pairs, once each, whose prefixes share as many tokens as the more modest of the two asks for."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_most", "b_most").alias("most"))
     return ordered.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("most").alias("most")).filter("shared >= most").select("a", "b")
 
 
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` of lead and doc with ``linked``, and ``apart``: what only one of the two sets holds, where they share half."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            linked, apart = [], []
+            for x, y in zip(pdf.pop("x"), pdf.pop("y")):
+                a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                only = np.setxor1d(a, b, assume_unique=True)
+                union = (len(a) + len(b) + len(only)) // 2
+                linked.append(100 * (union - len(only)) >= percent * union)
+                apart.append(only if 2 * len(only) <= union else None)
+            yield pdf.assign(linked=linked, apart=apart)
+
+    with_y = pairs.join(sets.select("doc", F.col("grams").alias("y")), "doc")
+    with_x = with_y.join(sets.select(F.col("doc").alias("lead"), F.col("grams").alias("x")), "lead")
+    return with_x.select("lead", "fame", "doc", "n", "x", "y").mapInPandas(check, "lead long, fame long, doc long, n long, linked boolean, apart array<long>")
+
+
+def _star(postings: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Every list's members measured against its most connected one. One shared token is enough, as a star sees a pair in few lists."""
+    lead = postings.groupBy("token").agg(F.max(F.struct("fame", "doc", "n")).alias("m")).select(
+        "token", F.col("m.doc").alias("lead"), F.col("m.fame").alias("fame"), F.col("m.n").alias("lead_n"))
+    # Wider than what links: members of one group may link with each other, though not with its leader.
+    near = F.expr(f"least(n, lead_n) * 100 >= greatest(n, lead_n) * {2 * percent - 100}")
+    pairs = lead.join(postings.select("token", "doc", "n"), "token").filter((F.col("doc") != F.col("lead")) & near)
+    return cut_lineage(_measured(cut_lineage(pairs.select("lead", "fame", "doc", "n").distinct(), "candidates"), grams, percent), "stars")
+
+
+def _within_groups(grouped: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside groups that tell classes apart, from rows doc, group, n, near (linked with the leader), class and apart.
+
+    x and y differ in what only one of their ``apart`` sets holds, so they link if the two share at least
+    (excess(x) + excess(y)) / 2(100 + percent), where excess = (100 + percent) |apart| - (100 - percent) n. Most of what a copy has
+    apart is its own or rare in the group, which is why prefixes of these sets, rare tokens first, tell copies of one text from each
+    other where prefixes of the texts do not. Two sets that are near their leader share its class. Where the excesses sum to 0 or
+    less, a pair links in any case; then its smaller side has the class of the group's least, which stands in for it."""
+    up, down = 100 + percent, 100 - percent
+    rows = grouped.withColumn("size", F.size("apart")).withColumn("excess", F.col("size") * up - F.col("n") * down)
+    least = rows.groupBy("group").agg(F.min(F.struct("excess", "doc")).alias("m")).select("group", F.col("m.doc").alias("b"), F.col("m.excess").alias("_e"))
+    sure = rows.filter("NOT near").join(least, "group").filter("excess + _e <= 0 AND doc <> b").select(F.col("doc").alias("a"), "b")
+    tokens = rows.select("group", "doc", F.explode("apart").alias("token"))
+    often = cut_lineage(tokens.groupBy("group", "token").agg(F.count("*").alias("df")).filter("df > 1"), "apart_df")
+    # Tokens that no other set of the group has come first: they only shift the others' places.
+    known = tokens.join(often, ["group", "token"]).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t"))
+    placed = rows.drop("apart").join(known, "doc").select("*", F.posexplode("_t").alias("_i", "_s")).select(
+        "group", F.col("_s.token").alias("token"), "doc", "size", "excess", "near", "class", (F.col("_i") + F.col("size") - F.size("_t")).alias("place"))
+    placed = cut_lineage(placed, "apart")
+    x, y = (placed.select("group", "token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "size", "excess", "near", "class", "place")]) for s in "xy")
+    need = f"(x_excess + y_excess + {2 * up - 1}) div {2 * up}"
+    fits = " AND ".join(f"{s}_place < {s}_size - {need} + least({MORE_APART}, {need})" for s in "xy")
+    met = x.filter("NOT x_near").join(y, ["group", "token"]).filter(
+        f"(y_near OR x_doc < y_doc) AND x_class <> y_class AND x_excess + y_excess > 0 AND {fits}")
+    pairs = met.groupBy(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).agg(F.count("*").alias("shared"), F.first(F.expr(need)).alias("need")).filter(
+        f"shared >= least({MORE_APART}, need)")
+    pairs = cut_lineage(pairs, "apart_pairs")
+    both = pairs.join(rows.select(F.col("doc").alias("a"), F.col("apart").alias("p")), "a").join(rows.select(F.col("doc").alias("b"), F.col("apart").alias("q")), "b")
+    return sure.union(both.filter(F.size(F.array_intersect("p", "q")) >= F.col("need")).select("a", "b"))
+
+
+def _between_groups(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups and classes in a posting list (token, doc, n, most, group, class): the members outside a list's largest
+    group against all, so that a list of one large group and few others costs in proportion."""
+    largest = marked.groupBy("token", "group").agg(F.count("*").alias("_k")).groupBy("token").agg(
+        F.max(F.struct("_k", "group")).alias("m"), F.count("*").alias("_g")).filter("_g > 1").select("token", F.col("m.group").alias("main"))
+    live = cut_lineage(marked.join(largest, "token"), "mixed")
+    left, right = (live.select("token", *[F.col(c).alias(f"{s}{e}") for c, e in (
+        ("doc", ""), ("n", "_n"), ("most", "_most"), ("class", "_class"), ("group", "_group"))], F.col("main").alias(f"{s}_main")) for s in "ab")
+    return left.filter("a_group <> a_main").join(right.drop("b_main"), "token").filter(
+        "a_group <> b_group AND a_class <> b_class AND (b_group = a_main OR a < b)"
+        f" AND least(a_n, b_n) * 100 >= greatest(a_n, b_n) * {percent}")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
 
@@ -223,35 +300,33 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text")
 
     several = members.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("_b")).filter("doc_id IS NOT NULL AND a < _b").drop("_b")
     links = members.filter("sid IS NOT NULL").join(several, "doc_id").select("a", F.col("sid").alias("b"))
-    seen = None
-    for turn in range(3):
-        known = components(links) if turn else None
-        marked = postings.withColumn("class", F.col("doc")) if known is None else postings.join(
-            known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component")
-        if turn:
-            mixed = marked.groupBy("token").agg(F.min("class").alias("_l"), F.max("class").alias("_h")).filter("_l < _h").select("token")
-            marked = cut_lineage(marked.join(mixed, "token"), "mixed")
-        if turn < 2:  # every list against its most connected member
-            lead = marked.groupBy("token").agg(F.max(F.struct("fame", "doc", "n", "most", "class")).alias("m")).select(
-                "token", F.col("m.doc").alias("a"), F.col("m.n").alias("a_n"), F.col("m.most").alias("a_most"), F.col("m.class").alias("a_class"))
-            if turn:  # of the classes other than the first leader's
-                lead = marked.join(lead.select("token", "a_class"), "token").filter("class <> a_class").groupBy("token").agg(F.max(F.struct(
-                    "fame", "doc", "n", "most", "class")).alias("m")).select("token", F.col("m.doc").alias("a"), F.col("m.n").alias("a_n"),
-                                                                            F.col("m.most").alias("a_most"), F.col("m.class").alias("a_class"))
-            other = marked.select("token", F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("most").alias("b_most"), F.col("class").alias("b_class"))
-            pairs = lead.join(other, "token").filter("a_class <> b_class")
-            # A star sees each pair in few lists, so it asks for one shared token only.
-            pairs = pairs.withColumns({"a_most": F.lit(1), "b_most": F.lit(1)})
-        else:
-            left, right = (marked.select("token", *[F.col(c).alias(f"{s}{e}") for c, e in (("doc", ""), ("n", "_n"), ("most", "_most"), ("class", "_class"))])
-                           for s in "ab")
-            pairs = left.join(right, "token").filter("a < b AND a_class <> b_class")
-        todo = _candidates(pairs, percent)
-        if seen is not None:
-            todo = todo.join(seen, ["a", "b"], "left_anti")
-        todo = cut_lineage(todo, "candidates")
-        seen = todo if seen is None else seen.union(todo)
-        links = cut_lineage(links.union(_verified(todo, grams, percent)), "links")
+    links = cut_lineage(links, "links")
+    stars, groups = None, None
+    for _ in range(STARS):
+        rest = postings if groups is None else postings.join(groups.select("doc"), "doc", "left_anti")
+        turn = _star(rest, grams, percent)
+        stars = turn if stars is None else stars.union(turn)
+        chosen = turn.filter("apart IS NOT NULL").groupBy("doc").agg(F.max(F.struct("fame", "lead", "n", "linked", "apart")).alias("m")).select(
+            "doc", F.col("m.lead").alias("group"), F.col("m.n").alias("n"), F.col("m.linked").alias("near"), F.col("m.apart").alias("apart"))
+        chosen = cut_lineage(chosen, "chosen")
+        if chosen.isEmpty():
+            break
+        leads = chosen.select(F.col("group").alias("doc"), "group").distinct().join(chosen.select("doc"), "doc", "left_anti")
+        new = chosen.unionByName(leads, allowMissingColumns=True)  # a leader met its group already
+        groups = new if groups is None else groups.union(new)
+    groups = chosen.select("doc", "group", "n", "near", "apart") if groups is None else groups
+    links = cut_lineage(links.union(stars.filter("linked").select(F.col("lead").alias("a"), F.col("doc").alias("b"))), "links")
+    groups = cut_lineage(groups, "groups")
+    known = components(links).withColumnRenamed("node", "doc").withColumnRenamed("component", "class")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(known, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+
+    inside = _within_groups(named(groups.filter("apart IS NOT NULL")), percent)
+    marked = named(postings.join(groups.select("doc", "group"), "doc", "left")).withColumn("group", F.coalesce("group", "doc"))
+    seen = stars.select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
+    todo = cut_lineage(_candidates(_between_groups(marked, percent)).join(seen, ["a", "b"], "left_anti"), "candidates")
+    links = cut_lineage(links.union(inside).union(_verified(todo, grams, percent)), "links")
     label = first.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = label.join(least, "component").select("sid", "component_id")

@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -270,6 +271,30 @@ def test_classes(rough, empty, n, percent):
     assert {r.doc_id for r in kept.collect()} - {None} == {i for i, c in want.items() if i == c} and kept.columns == rough.columns
 
 
+@pytest.mark.parametrize("seed,n,percent", [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
+def test_classes_of_edited_copies(spark, seed, n, percent):
+    """Copies with a few words replaced, cut or added: some link with their text, some only with each other, most not."""
+    rng = random.Random(seed)
+    rows = []
+    for base in range(3):
+        text = [f"b{base}w{i}" for i in range(rng.choice([60, 150]))]
+        last = text
+        for _ in range(60):
+            words = list(last if rng.random() < 0.4 else text)
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10 ** 6)}"
+            if rng.random() < 0.3:
+                words = words[rng.randint(0, 12):]
+            if rng.random() < 0.3:
+                words += [f"y{rng.randrange(10 ** 6)}" for _ in range(rng.randint(1, 25))]
+            rows.append((len(rows), " ".join(words)))
+            last = words
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+    want = brute_classes(rows, n, percent)
+    assert got == want
+    assert 3 < len(set(want.values())) < len(rows) - 20
+
+
 def test_classes_with_common_passages_and_chains(spark):
     rng = np.random.default_rng(2)
     passage = " ".join(f"p{i}" for i in range(40))
