@@ -198,13 +198,16 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _star(postings: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Every list's members measured against its most connected one. One shared token is enough, as a star sees a pair in few lists."""
+    """Every set measured against the leader it meets in most lists; a list's leader is its most connected member."""
     lead = postings.groupBy("token").agg(F.max(F.struct("fame", "doc", "n")).alias("m")).select(
         "token", F.col("m.doc").alias("lead"), F.col("m.fame").alias("fame"), F.col("m.n").alias("lead_n"))
     # Wider than what links: members of one group may link with each other, though not with its leader.
     near = F.expr(f"least(n, lead_n) * 100 >= greatest(n, lead_n) * {2 * percent - 100}")
     pairs = lead.join(postings.select("token", "doc", "n"), "token").filter((F.col("doc") != F.col("lead")) & near)
-    return cut_lineage(_measured(cut_lineage(pairs.select("lead", "fame", "doc", "n").distinct(), "candidates"), grams, percent), "stars")
+    met = pairs.groupBy("doc", "lead").agg(F.count("*").alias("shared"), F.first("fame").alias("fame"), F.first("n").alias("n"))
+    # One leader a set, so that no more sets are fetched than there are; what it does not tell is left to the later joins.
+    best = met.groupBy("doc").agg(F.max(F.struct("shared", "fame", "lead", "n")).alias("m")).select("m.lead", "m.fame", "doc", "m.n")
+    return cut_lineage(_measured(cut_lineage(best, "candidates"), grams, percent), "stars")
 
 
 def _within_groups(grouped: DataFrame, percent: int) -> DataFrame:
