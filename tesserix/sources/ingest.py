@@ -20,7 +20,7 @@ from tesserix.operators.lookup import MAX_DEPTH, ROOT
 from tesserix.session import cut_lineage
 from tesserix.sources.archive_source import read_first_bytes
 from tesserix.sources.codecs import decompress, with_values
-from tesserix.sources.ranges import GAP, merged
+from tesserix.sources.ranges import GAP, apart, merged
 
 
 def scan_archives(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
@@ -34,8 +34,9 @@ def read_ranges(df: DataFrame, offset: str, length: str, out: str = "blob", path
     """Add the bytes [offset, offset + length) of each row's file; ``read_error`` where they cannot be had.
 
     Rows go to tasks by file and 256 MiB stretch and are sorted, so a task reads its stretch front to back and even one
-    enormous file is shared by many tasks. Ranges of a batch that overlap or lie at most ``gap`` bytes apart are fetched by one read of
-    up to ``READ_BYTES`` and cut out of it. ``read_at`` names a column for the place where a row's read began.
+    enormous file is shared by many tasks. Ranges of a stretch that overlap or lie at most ``gap`` bytes apart are fetched by one read of
+    up to ``READ_BYTES`` and cut out of it, also where a batch of rows ends between them. ``read_at`` names a column for the place where a
+    row's read began.
     """
     rows = df.withColumn("_stretch", F.shiftright(F.col(offset), 28))
     rows = rows.repartition(path, "_stretch").sortWithinPartitions(path, offset).drop("_stretch")
@@ -76,11 +77,7 @@ def read_ranges(df: DataFrame, offset: str, length: str, out: str = "blob", path
                         yield data[a - start:b - start], None if b - a == mine[good[m]][2] else "short-read", start
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # Ranges that cannot be read go first in their file, so that the others stay sorted.
-            places = list(zip(*(batch.column(c).to_pylist() for c in (path, offset, length))))
-            order = sorted(range(len(places)), key=lambda i: (places[i][0] or "", not _bad(places[i]), places[i][1] or 0))
-            batch, places = batch.take(pa.array(order, pa.int64())), [places[i] for i in order]
+        for batch, places in _whole_reads(batches, (path, offset, length), gap):
             begins: list[int | None] = []
             values = ((v, e) for v, e, at in fetched(places) if begins.append(at) is None)
             for part in with_values(batch, values, schema.names[:-1] if read_at else schema.names):
@@ -92,10 +89,67 @@ def read_ranges(df: DataFrame, offset: str, length: str, out: str = "blob", path
     return rows.mapInArrow(step, schema)
 
 
-def _bad(place: tuple[str, int | None, int | None]) -> bool:
+Place = tuple[str, int | None, int | None]
+
+
+def _bad(place: Place) -> bool:
     return place[1] is None or place[2] is None or place[1] < 0 or place[2] < 0
 
 
+def _file_size(name: str) -> int | None:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(name)
+    try:
+        return system.get_file_info(inner).size
+    except OSError:
+        return None
+
+
+def _whole_reads(batches: Iterator[pa.RecordBatch], columns: tuple[str, str, str], gap: int) -> Iterator[tuple[pa.RecordBatch, list[Place]]]:
+    """The rows again, with their places, in batches that end where a read ends: what belongs to the last read of a batch waits for the
+    next one. Ranges that cannot be read go first in their file, so that the others stay sorted."""
+    held: list[tuple[pa.RecordBatch, list[Place]]] = []
+    name, size, start, end = None, None, None, 0
+
+    def given() -> tuple[pa.RecordBatch, list[Place]]:
+        rows, flat = pa.Table.from_batches([b for b, _ in held]), [p for _, some in held for p in some]
+        order = sorted(range(len(flat)), key=lambda i: (flat[i][0] or "", not _bad(flat[i]), flat[i][1] or 0))
+        whole = rows.take(pa.array(order, pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) for c in whole.columns], schema=whole.schema), [flat[i] for i in order]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        places = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+        cut = None  # where the last read of this batch begins
+        for i, place in enumerate(places):
+            if place[0] != name:
+                name, start, cut = place[0], None, i
+                size = _file_size(name)
+            if _bad(place):
+                continue
+            a, b = min(place[1], size or 0), min(place[1] + place[2], size or 0)
+            if start is None:
+                start, end = a, b
+            elif apart(start, end, a, b, gap):
+                start, end, cut = a, b, i
+            else:
+                end = max(end, b)
+        if start is None or start >= (size or 0):  # nothing to read, without a file or beyond its end, so nothing waits
+            start, cut = None, len(places)
+        if cut is None:
+            held.append((batch, places))
+            continue
+        if cut:
+            held.append((batch.slice(0, cut), places[:cut]))
+        if held:
+            yield given()
+        held = [(batch.slice(cut), places[cut:])] if cut < len(places) else []
+    if held:
+        yield given()
+
+
 _DIR = ["archive_id", "dir_id"]
 
 

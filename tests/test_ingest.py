@@ -191,6 +191,22 @@ def test_ranges_come_out_whole_whatever_is_read_together(spark, tmp_path):
         assert (len(starts) == 1) if gap else (len(starts) > 3)
 
 
+def test_a_batch_edge_splits_no_read(spark, tmp_path):
+    data = bytes(random.Random(3).randrange(256) for _ in range(4000))
+    for name in "fg":
+        (tmp_path / name).write_bytes(data)
+    df = spark.range(2000).selectExpr("id", f"concat('{tmp_path}/', if(id % 2 = 0, 'f', 'g')) AS path", "id div 2 * 4 + if(id >= 1000, 50, 0) AS a", "4L AS n").repartition(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (1, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got = read_ranges(df, "a", "n", "raw", gap=2, read_at="at").collect()
+            assert len(got) == 2000 and all(bytes(r.raw) == data[r.a:r.a + 4] for r in got)
+            assert {(r.path[-1], r["at"]) for r in got} == {(f, at) for f in "fg" for at in (0, 2050)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_a_lookup_reads_few_files_of_the_store(spark, tmp_path):
     e = spark.range(20000).selectExpr("id % 40 AS archive_id", "id AS tile_id", "1L AS run_length")
     out = str(tmp_path / "store")
