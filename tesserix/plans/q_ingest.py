@@ -217,14 +217,17 @@ STORED_ALL_SQL = T.with_tables('SELECT archive_id, tile_id, run_length, "offset"
 
 
 def stored_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, contents and bytes of every archive, from the stored entries."""
-    return stored_entries_all(spark, d).groupBy("archive_id").agg(
+    """Every stored row, with rows, contents and bytes of its archive, both from the stored entries."""
+    stored = stored_entries_all(spark, d)
+    totals = stored.groupBy("archive_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("offset").alias("n_contents"), F.sum("run_length").alias("addressed"),
         F.sum(F.col("tile_id") * 31 + F.col("offset") * 7 + F.col("length")).alias("mark"))
+    return stored.join(totals, "archive_id")
 
 
-STORED_SQL = T.with_tables("""SELECT archive_id, count(*)::BIGINT AS n, count(DISTINCT "offset")::BIGINT AS n_contents, sum(run_length)::BIGINT AS addressed,
-  sum(tile_id * 31 + "offset" * 7 + length)::BIGINT AS mark FROM t_placed GROUP BY 1""", "t_placed")
+STORED_SQL = T.with_tables("""SELECT archive_id, tile_id, run_length, "offset", length, n, n_contents, addressed, mark FROM t_placed JOIN (
+  SELECT archive_id, count(*)::BIGINT AS n, count(DISTINCT "offset")::BIGINT AS n_contents, sum(run_length)::BIGINT AS addressed,
+    sum(tile_id * 31 + "offset" * 7 + length)::BIGINT AS mark FROM t_placed GROUP BY 1) USING (archive_id)""", "t_placed")
 
 
 def tms_tiles(spark: SparkSession, d: str) -> DataFrame:

@@ -42,3 +42,10 @@ def test_every_outcome_occurs(spark):
 def test_every_stored_entry_is_read_back(spark):
     archives = {r[0] for r in QUERIES["stored_entries_all"](spark, SF).select("archive_id").distinct().collect()}
     assert 0 in archives and {a % 2 for a in archives} == {0, 1}
+
+
+def test_stored_entries_are_rows_of_all_archives(spark):
+    got = QUERIES["stored_entries"](spark, SF)
+    assert got.count() == QUERIES["stored_entries_all"](spark, SF).count()
+    assert {"tile_id", "run_length", "offset", "length"} <= set(got.columns)
+    assert {r[0] % 2 for r in got.select("archive_id").distinct().collect()} == {0, 1}
