@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserix.functions import geometry as G
 from tesserix.functions.common import lng
+from tesserix.session import cut_lineage
 
 DEFAULT_EXTENT = 4096
 #: Fields of a stored value, in field order (fixed values).
@@ -143,7 +144,8 @@ def hit_test(points: DataFrame, features: DataFrame, keys: list[str], tolerance:
     """Features at each point, best first: (request_id, rank, layer_index, feature_index, type, distance, area).
 
     ``points`` carry (request_id, keys, fx, fy) as fractions of the tile, ``features`` the result of ``with_geometry``
-    plus ``extent``. The boxes of features are filed under the one to four cells of a grid that fits them, points probe one cell
+    plus ``extent``. Equal points ask once: their hits are found and ranked per place, and joined to the points that lie there last. The
+    boxes of features are filed under the one to four cells of a grid that fits them, points probe one cell
     per grid size that their tile uses, so a crowded tile is split into cells; geometry only meets the pairs that are near. Inside any polygon, other
     polygons that are merely near are dropped. Points rank before lines before the rest, then distance, then area.
     """
@@ -168,18 +170,20 @@ def hit_test(points: DataFrame, features: DataFrame, keys: list[str], tolerance:
         filed = filed.withColumn(f"_c{axis}", F.explode(F.sequence(lo, hi)))
     filed = filed.select(*keys, "_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "layer_index", "feature_index")
     used = filed.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # at most nine numbers per tile
-    probes = points.select("request_id", *keys, "fx", "fy").join(used, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
+    place = [*keys, "fx", "fy"]
+    probes = points.select(*place).distinct().join(used, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
     probes = probes.withColumns({"_cx": cell(F.col("fx"), F.col("_level")), "_cy": cell(F.col("fy"), F.col("_level"))})
     near = probes.join(filed, [*keys, "_level", "_cx", "_cy"]).filter("fx >= _x0 AND fx <= _x1 AND fy >= _y0 AND fy <= _y1")
-    near = near.select("request_id", *keys, "fx", "fy", "layer_index", "feature_index").join(
+    near = near.select(*place, "layer_index", "feature_index").join(
         features.select(*keys, "layer_index", "feature_index", "type", "extent", "parts", "area"), [*keys, "layer_index", "feature_index"])
     near = near.withColumns({"_px": F.col("fx") * e, "_py": F.col("fy") * e})
     hits = near.withColumn("distance", G.distance_to("parts", "type", "_px", "_py")).filter(F.col("distance") <= F.lit(tolerance) * e)
-    hits = hits.select("request_id", "layer_index", "feature_index", "type", "distance", "area")
+    hits = hits.select(*place, "layer_index", "feature_index", "type", "distance", "area")
     polygon = F.col("type") == G.POLYGON
-    inside = F.max(polygon & (F.col("distance") == 0)).over(Window.partitionBy("request_id"))
+    inside = F.max(polygon & (F.col("distance") == 0)).over(Window.partitionBy(*place))
     kept = hits.withColumn("_inside", inside).filter(~F.col("_inside") | ~polygon | (F.col("distance") == 0)).drop("_inside")
     # Types other than point and line rank last, unknown ones included.
-    order = Window.partitionBy("request_id").orderBy(F.when(F.col("type").isin(1, 2), F.col("type")).otherwise(3), "distance", "area",
-                                                     "layer_index", "feature_index")
-    return kept.withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy(*place).orderBy(F.when(F.col("type").isin(1, 2), F.col("type")).otherwise(3), "distance", "area",
+                                                "layer_index", "feature_index")
+    ranked = cut_lineage(kept.withColumn("rank", F.row_number().over(order)), "hits")  # with its real size the join below is planned
+    return points.select("request_id", *place).join(ranked, place).drop(*place)

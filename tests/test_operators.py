@@ -15,7 +15,8 @@ from tesserix.operators import directory as D
 from tesserix.operators import lookup as L
 from tesserix.operators.features import hit_test, with_geometry
 from tesserix.operators.ordered import exclusive_scan, floor_join, span_join
-from tesserix.session import cut_lineage
+from tesserix.plans import q_archive, q_features
+from tesserix.session import cut_lineage, recorded_tables
 
 
 @pytest.mark.parametrize("batch", ["1", "7", "10000"])
@@ -235,6 +236,22 @@ def test_hit_order(spark):
     assert [i for i, _ in got[1]] == [2, 1, 0] and got[2] == [(0, 0.0)] and [i for i, _ in got[3]] == [2, 0]
 
 
+def test_equal_points_are_looked_up_once(spark):
+    f = spark.createDataFrame([(1, 0, k, [9, 2 * (100 + k), 200], 1, 4096) for k in range(5)],
+                              "tile_id long, layer_index int, feature_index long, geometry array<bigint>, type int, extent int")
+    pts = spark.range(500).selectExpr("id AS request_id", "1L AS tile_id", "100 / 4096D AS fx", "IF(id < 400, 100, 3000) / 4096D AS fy")
+    with recorded_tables() as made:
+        got = hit_test(pts, with_geometry(f), ["tile_id"], 0.01).collect()
+    assert len(got) == 2000 and {(r.request_id, r["rank"], r.feature_index) for r in got} == {(i, k + 1, k) for i in range(400) for k in range(5)}
+    assert spark.read.parquet(made[-1]).count() == 5
+
+
+def test_small_tables_of_long_work_are_cut_over_tasks(spark):
+    for df, column in ((q_features.build_features(spark, "/root/testdata/sf0.01"), "p"), (q_archive.header_blobs(spark, "/root/testdata/sf0.01"), "archive_id")):
+        counts = [r[0] for r in df.groupBy(F.spark_partition_id() if column == "p" else F.input_file_name()).count().select("count").collect()]
+        assert len(counts) >= 8 and max(counts) < sum(counts) / 4
+
+
 def test_geometry_against_plain_python(spark):
     """Area and distances of random polygons."""
     from math import hypot
