@@ -14,7 +14,7 @@ NAMES = [n for n, _, _ in R.HEADER_FIELDS]
 
 def header_blobs(spark: SparkSession, d: str) -> DataFrame:
     """First bytes of one file per customer; some are cut short, of another kind or declare an impossible size."""
-    a = T.archives(spark, d).withColumn("h", R.header_hex())
+    a = T.over_tasks(T.archives(spark, d), "archive_id").withColumn("h", R.header_hex())
     c = F.col("archive_id")
     broken = (F.when(c % 17 == 3, F.expr("substring(h, 1, 252)")).when(c % 17 == 5, F.expr("concat('504D', substring(h, 5))").substr(1, 254))
               .when(c % 17 == 7, F.concat(F.lit("00"), F.expr("substring(h, 3)")))

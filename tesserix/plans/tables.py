@@ -27,6 +27,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over_tasks(df: DataFrame, key: str) -> DataFrame:
+    """The rows spread over tasks by a unique key, for rows that are small to read but take long to compute on: Spark cuts files by
+    their bytes, so such a table would be one task or few. A given number of partitions is not put together again by adaptive execution.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
