@@ -24,7 +24,7 @@ _TAGS = """concat(array(CAST(p % 3 AS INT), CAST(p % 7 AS INT), CAST((p + 1) % 4
 
 def build_features(spark: SparkSession, d: str) -> DataFrame:
     """t_features from ``part``: points, lines and squares, every fifth square with a hole, some of unknown type."""
-    f = T.read(spark, d, "part").select("p_partkey", "p_size").selectExpr(*[c for c in _BASE.replace("\n", " ").split(", ") if c])
+    f = T.over_tasks(T.read(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr(*[c for c in _BASE.replace("\n", " ").split(", ") if c])
     return f.selectExpr("*", f"{_GEOMETRY} AS geometry", f"{_TAGS} AS tags", "concat('layer', layer_index) AS layer", "4096 AS extent", "p AS feature_index",
                         "20 + w AS bytes", "8 + w % 7 AS geometry_bytes", "4 + p % 3 AS tags_bytes")
 
@@ -67,7 +67,7 @@ def geometry_issues(spark: SparkSession, d: str) -> DataFrame:
                ("9L, 2L, 2L, 18L, 2L, 2L, 2L, 2L, 15L", 3), ("9L, 2L, 2L, 26L, 0L, 20L, 20L, 0L, 0L, 19L, 15L", 3), ("1L", 1)]
     pick = " ".join(f"WHEN {i} THEN CAST(array({s}) AS ARRAY<BIGINT>)" for i, (s, _) in enumerate(streams))
     types = " ".join(f"WHEN {i} THEN {t}" for i, (_, t) in enumerate(streams))
-    f = T.read(spark, d, "part").selectExpr("p_partkey AS p", f"CASE p_partkey % 10 {pick} END AS geometry", f"CASE p_partkey % 10 {types} END AS type")
+    f = T.over_tasks(T.read(spark, d, "part").select("p_partkey"), "p_partkey").selectExpr("p_partkey AS p", f"CASE p_partkey % 10 {pick} END AS geometry", f"CASE p_partkey % 10 {types} END AS type")
     g = V.with_geometry(f)
     return g.select("p", F.array_join(F.array_sort("issues"), ",").alias("issues"), F.size("parts").cast("bigint").alias("n_parts"),
                     G.vertex_count("parts").cast("bigint").alias("n_vertices"))
