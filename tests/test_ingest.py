@@ -2,15 +2,20 @@
 
 import os
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from archive_files import archive
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
 
+from tesserix.functions.varint import DECODE_BYTES, decode_bytes
 from tesserix.operators.archive import reconcile_counts, split_headers
 from tesserix.operators.damage import safe_bytes
 from tesserix.operators.lookup import lookup_tree, with_targets
+from tesserix.sources.codecs import BATCH_BYTES, pieces
 from tesserix.sources.entry_source import PushingEntryReader, load_entries, write_manifest
 from tesserix.sources.ingest import (archive_bucket, from_tms, read_contents, read_directories, read_metadata, read_ranges, scan_archives,
                                      write_entries)
@@ -191,6 +196,19 @@ def test_ranges_come_out_whole_whatever_is_read_together(spark, tmp_path):
         assert (len(starts) == 1) if gap else (len(starts) > 3)
 
 
+def test_decoding_and_packing_hold_few_bytes_at_once():
+    tracemalloc.start()
+    try:
+        decode_bytes(np.ones(DECODE_BYTES, np.uint8))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+    batch = pa.RecordBatch.from_pydict({"b": [b"x" * n for n in (0, 5, 3, 0, 20, 1, 1)] + [None]})
+    got = list(pieces(batch, "b", 8))
+    assert [r.num_rows for r in got] == [3, 2, 3] and pa.Table.from_batches(got)["b"].to_pylist() == batch["b"].to_pylist()
+    assert BATCH_BYTES <= 8 << 20
+
+
 def test_a_batch_edge_splits_no_read(spark, tmp_path):
     data = bytes(random.Random(3).randrange(256) for _ in range(4000))
     for name in "fg":
