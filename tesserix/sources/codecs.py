@@ -6,7 +6,9 @@ import gzip
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -62,8 +64,19 @@ def decompress(df: DataFrame, blob: str, codec: str, payload: str = "payload", e
     return df.mapInArrow(step, schema)
 
 
-#: Bytes of new values given out at once.
-BATCH_BYTES = 64 << 20
+#: Bytes of new values given out at once, and of old ones taken at once.
+BATCH_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in slices that end once their values of ``column`` hold ``most`` bytes."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = min(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
 
 
 def with_values(batch: pa.RecordBatch, values: Iterator[tuple[bytes | None, str | None]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +106,7 @@ def compress(df: DataFrame, text: str, codec: str, out: str, level: int = 9) ->
         return b
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, text)):
             done = [one(b, c) for b, c in zip(batch.column(text).to_pylist(), batch.column(codec).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], names=schema.names)
 
