@@ -303,8 +303,10 @@ HIT_TEST_SQL = T.with_tables(_HITS + "SELECT request_id, rank, layer_index, p AS
 
 
 def click_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Clicks on the map to features: place -> tile -> the run that answers it -> best feature."""
-    p = A.with_tile_address(_points(spark, d))
+    """Clicks on the map to features: place -> tile -> the run that answers it -> best feature. Each different place goes this way once;
+    the clicks on it are joined to its answer."""
+    clicked, spot = _points(spark, d), ["archive_id", "tile_id", "fx", "fy"]
+    p = A.with_tile_address(clicked.select(*spot).distinct().withColumn("request_id", F.struct(*spot)))
     place = M.point_in_tile("z", "x", "y", "fx", "fy")
     clicks = p.select("request_id", "archive_id", "tile_id", place.alias("c")).select("request_id", "archive_id", F.lit(3).alias("z"), "c.*")
     at = clicks.select("request_id", "archive_id", M.lonlat_to_tile("lon", "lat", "z").alias("t")).select("request_id", "archive_id", "t.*")
@@ -314,7 +316,9 @@ def click_hits(spark: SparkSession, d: str) -> DataFrame:
     found = L.hit_join(at, runs, target="tile_id").select(*at.columns)
     hits = V.hit_test(found, features(spark, d), ["archive_id", "tile_id"], 0.01)
     best = hits.filter("rank = 1").select("request_id", "feature_index", F.round("distance", 4).alias("distance"))
-    return found.select("request_id", "tile_id").join(best, "request_id", "left")
+    done = found.select("request_id", F.col("tile_id").alias("found")).join(best, "request_id", "left")
+    done = done.select(*[F.col(f"request_id.{c}").alias(c) for c in spot], "found", "feature_index", "distance")
+    return clicked.join(done, spot).select("request_id", F.col("found").alias("tile_id"), "feature_index", "distance")
 
 
 CLICK_SQL = T.with_tables(_HITS + """
