@@ -25,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.llm.common import chunks, fold_hashes, mix, utf8, word_hashes, word_starts
 from tesserix.llm.components import components
-from tesserix.session import cut_lineage
+from tesserix.session import cut_lineage, drop_tables, kept_by, recorded_tables
 
 #: Longest extension of a prefix, and what a verification costs in postings read.
 MOST_MATCHES = 12
@@ -38,8 +38,12 @@ VERIFY_COST = 8
 #: Rounds of stars, each over the sets without a group; and tokens that sets of one group must share in prefixes of what they have apart.
 #: Neither changes the result.
 STARS, MORE_APART = 3, 4
+#: A set is measured against a leader with which it shares one prefix token for so many of its n-grams. It does not change the result either.
+SHARED_PART = 100
 #: At most so many frequent n-grams are known to every task (8 bytes each); the others count as rare. It only sets the order.
 FREQUENT = 1 << 17
+#: Bits of the filter that leaves most texts of no use out of the second reading; a power of two. What it lets through too much does no harm.
+FILTER_BITS = 1 << 24
 _BUFFER, _LOCAL_DF, _FREQUENT_DF = 1 << 21, 3, 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -169,7 +173,7 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
         live = live.drop("df").join(choice, "doc")  # one row per document on the right
         if not turn:
             live = live.select("token", "doc", "level")
-    return cut_lineage(live.filter("level <= most").select("token", "doc", "n", "most", "fame"), "prefixes")
+    return live.filter("level <= most").select("token", "doc", "n", "most", "fame")
 
 
 def _candidates(pairs: DataFrame) -> DataFrame:
@@ -192,13 +196,14 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 apart.append(only if 2 * len(only) <= union else None)
             yield pdf.assign(linked=linked, apart=apart)
 
-    with_y = pairs.join(sets.select("doc", F.col("grams").alias("y")), "doc")
-    with_x = with_y.join(sets.select(F.col("doc").alias("lead"), F.col("grams").alias("x")), "lead")
+    with_y = pairs.join(sets.select("doc", F.col("grams").alias("y")), "doc")  # a set is in one pair
+    with_x = with_y.join(_some(sets, pairs.select("lead")).select(F.col("doc").alias("lead"), F.col("grams").alias("x")), "lead")
     return with_x.select("lead", "fame", "doc", "n", "x", "y").mapInPandas(check, "lead long, fame long, doc long, n long, linked boolean, apart array<long>")
 
 
-def _star(postings: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Every set measured against the leader it meets in most lists; a list's leader is its most connected member."""
+def _star(postings: DataFrame, grams: DataFrame, percent: int, done: DataFrame | None) -> DataFrame:
+    """Every set measured against the leader it meets in most lists; a list's leader is its most connected member. Pairs measured
+    before (``done``) are not measured again."""
     lead = postings.groupBy("token").agg(F.max(F.struct("fame", "doc", "n")).alias("m")).select(
         "token", F.col("m.doc").alias("lead"), F.col("m.fame").alias("fame"), F.col("m.n").alias("lead_n"))
     # Wider than what links: members of one group may link with each other, though not with its leader.
@@ -206,8 +211,15 @@ def _star(postings: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     pairs = lead.join(postings.select("token", "doc", "n"), "token").filter((F.col("doc") != F.col("lead")) & near)
     met = pairs.groupBy("doc", "lead").agg(F.count("*").alias("shared"), F.first("fame").alias("fame"), F.first("n").alias("n"))
     # One leader a set, so that no more sets are fetched than there are; what it does not tell is left to the later joins.
-    best = met.groupBy("doc").agg(F.max(F.struct("shared", "fame", "lead", "n")).alias("m")).select("m.lead", "m.fame", "doc", "m.n")
-    return cut_lineage(_measured(cut_lineage(best, "candidates"), grams, percent), "stars")
+    # A long set with next to none of its prefix in common is not near; this too is left to them.
+    best = met.filter(f"shared * {SHARED_PART} >= n").groupBy("doc").agg(F.max(F.struct("shared", "fame", "lead", "n")).alias("m")).select("m.lead", "m.fame", "doc", "m.n")
+    if done is not None:
+        best = best.join(done.select("lead", "doc"), ["lead", "doc"], "left_anti").select(best.columns)
+    with recorded_tables() as made:
+        measured = _measured(cut_lineage(best, "candidates"), grams, percent)
+    out = cut_lineage(measured, "stars")
+    drop_tables(postings.sparkSession, made)
+    return out
 
 
 def _within_groups(grouped: DataFrame, percent: int) -> DataFrame:
@@ -266,48 +278,100 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    with_y = pairs.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
-    with_x = with_y.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
+    some = _some(sets, pairs.select("a").union(pairs.select("b")))
+    with_y = pairs.join(some.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
+    with_x = with_y.join(some.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
     return with_x.select("a", "b", "x", "y").mapInPandas(check, pairs.schema)
 
 
+def _some(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets named by ``wanted`` (one column), stored, so that joins move these only and can split a set that is in many pairs."""
+    return cut_lineage(sets.join(wanted.toDF("doc").distinct(), "doc"), "some")
+
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of the wanted documents' ids, in words of 64."""
+    at = wanted.select(_bit("doc_id").alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long")
+
+
 def _grams(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, grams): the sets ``wanted`` (doc_id, sid), whole, as packed hashes."""
+    """(doc, grams): the sets of the documents ``wanted``, and some more, whole, as packed hashes, once each and partitioned by doc.
+
+    Texts that the filter stops are not moved; the others are moved once, as texts, which are smaller than their sets."""
+    shared = texts.sparkSession.sparkContext.broadcast(_filter(wanted))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            keep = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            for some in chunks(iter([batch.filter(pa.array(keep == 1))]), "text"):
+                doc, h = gram_sets(*utf8(some.column("text")), n)
+                size = np.bincount(doc, minlength=some.num_rows)
+                full = pa.array(size > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(h, size)).filter(full), some.column("text").filter(full)], names=["doc", "text"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in chunks(batches, "text"):
+            sid = batch.column("doc").to_numpy()
+            new = np.append(sid[0] != last, sid[1:] != sid[:-1])  # in order, so equal sets are neighbours
+            last, batch = sid[-1], batch.filter(pa.array(new))
+            if not batch.num_rows:
+                continue
             doc, h = gram_sets(*utf8(batch.column("text")), n)
             size = np.bincount(doc, minlength=batch.num_rows)
-            right = np.flatnonzero(_digests(h, size) == batch.column("sid").to_numpy())  # rows of one id may hold other texts
             raw, ends = h.tobytes(), np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(right)), pa.array(
-                [raw[8 * int(e - k):8 * int(e)] for e, k in zip(ends[right], size[right])], pa.binary())], names=["doc", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(
+                [raw[8 * int(e - k):8 * int(e)] for e, k in zip(ends, size)], pa.binary())], names=["doc", "grams"])
 
-    return cut_lineage(texts.join(wanted, "doc_id").select("sid", "text").mapInArrow(gather, "doc long, grams binary"), "grams")
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picked = texts.select("text", _bit("doc_id").alias("at")).mapInArrow(pick, "doc long, text string")
+    return picked.repartition(buckets, "doc").sortWithinPartitions("doc").mapInArrow(gather, "doc long, grams binary")
 
 
 def classes(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: documents link when 100 * intersection >= percent * union."""
     texts = docs.select("doc_id", F.col(text).alias("text"))
-    sets = cut_lineage(_sets(texts, n, percent, _frequent(texts, n)), "sets")
-    members = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
-    # Equal sets have equal prefixes, so any copy's will do.
-    reps = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = _postings(reps, percent)
+    with recorded_tables() as made:
+        sets = cut_lineage(_sets(texts, n, percent, _frequent(texts, n)), "sets")
+    members = cut_lineage(sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")), "members")
+    # Equal sets have equal prefixes, so any copy's will do. Read more than once.
+    with recorded_tables() as stored:
+        reps = cut_lineage(sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "reps")
+    drop_tables(docs.sparkSession, made)
+    with recorded_tables() as made:
+        live = _postings(reps, percent)
+    postings = cut_lineage(live, "prefixes")
+    drop_tables(docs.sparkSession, [*made, *stored])
 
     first = members.filter("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut_lineage(first.join(postings.select(F.col("doc").alias("sid")).distinct(), "sid"), "wanted")
-    grams = _grams(texts, wanted, n)
-    if not members.join(wanted, ["sid", "doc_id"]).groupBy("sid").count().filter("count > 1").isEmpty():
-        grams = cut_lineage(grams.dropDuplicates(["doc"]), "grams")  # repeated rows
+    with kept_by(_grams(texts, wanted, n), "doc", "grams") as grams:
+        links = _links(members, postings, grams, percent)
+    label = first.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = label.join(least, "component").select("sid", "component_id")
+    return members.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
+
+def _links(members: DataFrame, postings: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all sets of one class."""
     several = members.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("_b")).filter("doc_id IS NOT NULL AND a < _b").drop("_b")
     links = members.filter("sid IS NOT NULL").join(several, "doc_id").select("a", F.col("sid").alias("b"))
     links = cut_lineage(links, "links")
     stars, groups = None, None
     for _ in range(STARS):
         rest = postings if groups is None else postings.join(groups.select("doc"), "doc", "left_anti")
-        turn = _star(rest, grams, percent)
+        turn = _star(rest, grams, percent, stars)
         stars = turn if stars is None else stars.union(turn)
         chosen = turn.filter("apart IS NOT NULL").groupBy("doc").agg(F.max(F.struct("fame", "lead", "n", "linked", "apart")).alias("m")).select(
             "doc", F.col("m.lead").alias("group"), F.col("m.n").alias("n"), F.col("m.linked").alias("near"), F.col("m.apart").alias("apart"))
@@ -329,11 +393,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text")
     marked = named(postings.join(groups.select("doc", "group"), "doc", "left")).withColumn("group", F.coalesce("group", "doc"))
     seen = stars.select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
     todo = cut_lineage(_candidates(_between_groups(marked, percent)).join(seen, ["a", "b"], "left_anti"), "candidates")
-    links = cut_lineage(links.union(inside).union(_verified(todo, grams, percent)), "links")
-    label = first.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = label.join(least, "component").select("sid", "component_id")
-    return members.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return cut_lineage(links.union(inside).union(_verified(todo, grams, percent)), "links")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -91,3 +91,22 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
         made.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def kept_by(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table in buckets of ``key``, while the block runs: joins on that column move the other side only.
+
+    Each bucket is one file if ``df`` is partitioned by the key; their number is that of shuffle partitions.
+    """
+    spark = df.sparkSession
+    path, table = shared_folder(spark, name), f"{name}_{uuid.uuid4().hex}"
+    for made in _RECORDS:
+        made.append(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop_tables(spark, [path])

@@ -315,6 +315,28 @@ def test_classes_with_common_passages_and_chains(spark):
     assert got == brute_classes(rows, 4, 85)
 
 
+def test_only_texts_in_question_are_moved(spark, monkeypatch):
+    """Few of the texts have a partner, so few are shuffled; and each set is fetched once, whatever the copies of its text."""
+    from tesserix import session
+
+    rng, moved = random.Random(4), []
+    prose = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(80)) for _ in range(1000)]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(2000 + i, prose[i] + " more") for i in range(20)] + [(3000 + i, prose[i]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = session.kept_by
+
+    def watched(df, key, name):
+        moved.append(df.count())
+        return kept(df, key, name)
+
+    monkeypatch.setattr(jaccard, "kept_by", watched)
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()}
+    assert got == {i: i - 2000 if 2000 <= i < 3000 else i - 3000 if i >= 3000 else i for i, _ in rows}
+    assert moved == [40]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(300 + i, 301 + i) for i in range(40)] + [(500, i) for i in range(400, 450)]
