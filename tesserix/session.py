@@ -69,7 +69,8 @@ def recorded_tables() -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _RECORDS.remove(made)
+        # By identity: records around each other are equal lists as long as they hold the same folders.
+        del _RECORDS[next(i for i, other in enumerate(_RECORDS) if other is made)]
 
 
 def drop_tables(spark: SparkSession, folders: list[str]) -> None:

@@ -16,7 +16,7 @@ from tesserix.operators import lookup as L
 from tesserix.operators.features import hit_test, with_geometry
 from tesserix.operators.ordered import exclusive_scan, floor_join, span_join
 from tesserix.plans import q_archive, q_features
-from tesserix.session import cut_lineage, recorded_tables
+from tesserix.session import cut_lineage, drop_tables, recorded_tables
 
 
 @pytest.mark.parametrize("batch", ["1", "7", "10000"])
@@ -246,6 +246,16 @@ def test_equal_points_are_looked_up_once(spark):
     assert spark.read.parquet(made[-1]).count() == 5
 
 
+def test_a_record_inside_another_ends_alone(spark):
+    with recorded_tables() as outer:
+        with recorded_tables() as inner:
+            cut_lineage(spark.range(2))
+        later = cut_lineage(spark.range(3))
+    assert len(inner) == 1 and len(outer) == 2 and outer[0] == inner[0]
+    drop_tables(spark, inner)
+    assert later.count() == 3
+
+
 def test_small_tables_of_long_work_are_cut_over_tasks(spark):
     for df, column in ((q_features.build_features(spark, "/root/testdata/sf0.01"), "p"), (q_archive.header_blobs(spark, "/root/testdata/sf0.01"), "archive_id")):
         counts = [r[0] for r in df.groupBy(F.spark_partition_id() if column == "p" else F.input_file_name()).count().select("count").collect()]
