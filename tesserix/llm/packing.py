@@ -11,9 +11,10 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.llm.common import chunks, utf8
+from tesserix.llm.common import chunks, utf8, word_starts
 from tesserix.session import cut_lineage
 
 LENGTH = 4096
@@ -38,6 +39,39 @@ _TOKENIZERS: dict = {}
 
 
 _SIGNS = b".,!?;:#$%&*)"
+#: Trailing signs set apart at once; words with more are taken apart one by one.
+_MOST_SIGNS = 8
+_IS_SIGN, _ENDS_SENTENCE, _IS_LETTER = (np.isin(np.arange(256), list(some)) for some in (_SIGNS, b".!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+#: Words that the tokenizer reads as they are: small letters without other forms.
+_SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def word_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes as the tokenizer may as well get them, begin and end of each piece there, and pieces per text.
+
+    A piece is a word, or a word and the signs behind it apart, which the tokenizer reads apart after a letter. It lower-cases; a letter
+    before what may be a mark keeps its case, as both may be composed first. Texts with what may be a special token stay as they are."""
+    begin, end, counts = word_starts(data, starts)
+    if b"<|" in data.tobytes():
+        return data, begin, end, counts
+    after = np.append(data[1:], np.uint8(0))
+    data = data + np.uint8(32) * ((data >= 65) & (data <= 90) & ((after < 128) | (after == 0xC3)))
+    core, at = end.copy(), np.arange(len(end))
+    for _ in range(_MOST_SIGNS):
+        at = at[(core[at] > begin[at]) & _IS_SIGN[data[core[at] - 1]]]
+        core[at] -= 1
+    cut = np.flatnonzero((core < end) & (core > begin))
+    last, lead = data[core[cut] - 1], data[np.maximum(core[cut] - 2, begin[cut])]
+    cut = cut[_IS_LETTER[last] | ((lead == 0xC3) & (last >= 128) & (last != 0x97) & (last != 0xB7))]
+    shift = np.zeros(len(end) + 1, np.int64)
+    shift[cut + 1] = 1
+    first = np.cumsum(shift)[:-1] + np.arange(len(end))  # place of each word's first piece
+    head, tail = (np.empty(len(end) + len(cut), np.int64) for _ in range(2))
+    head[first], tail[first] = begin, end
+    tail[first[cut]] = head[first[cut] + 1] = core[cut]
+    tail[first[cut] + 1] = end[cut]
+    text = np.repeat(np.arange(len(counts)), counts)
+    return data, head, tail, counts + np.bincount(text[cut], minlength=len(counts))
 
 
 class WordEncoder:
@@ -45,11 +79,15 @@ class WordEncoder:
     of its words in turn; words seen before come from a table that lives as long as the worker and is emptied when full."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = Tokenizer.from_file(path)
-        self.tokenizer, self.known = _TOKENIZERS[path], _WORDS.setdefault(path, {})
+            whole, light = Tokenizer.from_file(path), Tokenizer.from_file(path)
+            # For small letters between spaces; it need not normalize them or look for other words.
+            light.normalizer = None
+            light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            _TOKENIZERS[path] = whole, light
+        (self.tokenizer, self.light), self.known = _TOKENIZERS[path], _WORDS.setdefault(path, {})
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -60,23 +98,35 @@ class WordEncoder:
     def _parts(self, word: bytes) -> tuple[bytes, ...]:
         """Pieces of a word that the tokenizer reads apart from each other: it lower-cases, and signs after a letter are their own."""
         core = word.rstrip(_SIGNS)
+        lower = core.lower() if word.isascii() else core  # a letter may be composed with a mark before it is lower-cased
         if core and len(core) < len(word) and self._read(core.decode())[-1].isalpha():
-            return core.lower(), word[len(core):]
-        return (word.lower(),)
+            return lower, word[len(core):]
+        return (lower + word[len(core):],)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: Collection[bytes]) -> None:
         known = self.known
         new = [w for w in words if w not in known]
         if len(known) + 2 * len(new) > CACHE_WORDS:
             known.clear()
             new = list(words)
-        parts = {w: self._parts(w) for w in new if b"<|" not in w}
+        texts = b"\n".join(new).decode().split("\n") if new else []
+        small, other = [], []
+        for w, t in zip(new, texts, strict=True):
+            t = t.lower()
+            if _SMALL.fullmatch(t):
+                small.append((w, t))
+            else:
+                other.append(w)
+        for at in range(0, len(small), 2000):
+            some = small[at:at + 2000]
+            self._keep([w for w, _ in some], self.light, [t for _, t in some], True)
+        parts = {w: self._parts(w) for w in other if b"<|" not in w}
         plain = list({p for both in parts.values() for p in both if p not in known})
         for at in range(0, len(plain), 2000):
             self._encode(plain[at:at + 2000])
         for w, both in parts.items():
             known[w] = b"".join([known[p] for p in both])
-        for w in new:
+        for w in other:
             if b"<|" in w:
                 known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -87,36 +137,71 @@ class WordEncoder:
         plain = [self._read(t).isalpha() for t in texts]
         for letters in (True, False):
             some = [(w, t) for w, t, p in zip(words, texts, plain) if p == letters]
-            if not some:
-                continue
-            joined = (" " if letters else _SEPARATOR).join([t for _, t in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            raw = ids.tobytes()
-            ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1) if letters else 4 * np.append(np.flatnonzero(ids == _SEPARATOR_ID), len(ids))
-            a, gap = 0, 0 if letters else 4
-            for (w, _), b in zip(some, ends.tolist(), strict=True):
-                self.known[w] = raw[a:b]
-                a = b + gap
+            if some:
+                self._keep([w for w, _ in some], self.tokenizer, [t for _, t in some], letters)
+
+    def _keep(self, words: list[bytes], tokenizer, texts: list[str], letters: bool) -> None:
+        joined = (" " if letters else _SEPARATOR).join(texts)
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        raw = ids.tobytes()
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1) if letters else 4 * np.append(np.flatnonzero(ids == _SEPARATOR_ID), len(ids))
+        a, gap = 0, 0 if letters else 4
+        for w, b in zip(words, ends.tolist(), strict=True):
+            self.known[w] = raw[a:b]
+            a = b + gap
 
     def places(self, words: list[bytes], end_id: int) -> tuple[list[int], list[int], list[int]]:
-        """Where this document may be cut: ids before each place, CRC-32 of them, and what kind of place (2 end, 1 sentence, 0 forced)."""
-        known, at, crc = self.known, 0, 0
-        cuts, crcs, kinds = [], [], []
-        ends = [i for i, w in enumerate(words, 1) if w[-1] in b".!?"]
-        before = 0
-        for i in [*ends, len(words)]:
-            ids = memoryview(b"".join([known[w] for w in words[before:i]]))
-            last, before, done = i == len(words), i, 0
-            while len(ids) - done > 8 * FORCED_STEP:
-                crc, at = zlib.crc32(ids[done:done + 4 * FORCED_STEP], crc), at + FORCED_STEP
-                done += 4 * FORCED_STEP
-                cuts.append(at), crcs.append(crc), kinds.append(0)
-            crc, at = zlib.crc32(ids[done:], crc), at + (len(ids) - done) // 4
-            if not last and ids:
-                cuts.append(at), crcs.append(crc), kinds.append(1)
-        crc = zlib.crc32(end_id.to_bytes(4, "little"), crc)
-        cuts.append(at + 1), crcs.append(crc), kinds.append(2)
-        return cuts, crcs, kinds
+        """Where one document, given as its words, may be cut: ids before each place, CRC-32 of them, and what kind of place."""
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        _, cuts, crcs, kinds = self.all_places(data, np.array([0, len(data)]), end_id)
+        return cuts.tolist(), crcs.tolist(), kinds.tolist()
+
+    def all_places(self, data: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the texts may be cut: number of places of each text; and of each place the ids before it in its text, their CRC-32, and its
+        kind (2 end, 1 sentence, 0 forced)."""
+        data, head, tail, counts = word_pieces(data, starts)
+        # Each different piece is looked up once; one more stands for the end of a text.
+        size, texts = tail - head, len(counts)
+        packed = data[~((data == 32) | ((data >= 9) & (data <= 13)))]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        self.learn(words)
+        known = [self.known[w] for w in words]
+        known.append(end_id.to_bytes(4, "little"))
+        n_of = np.array([len(k) for k in known]) >> 2
+        at_of = np.cumsum(n_of) - n_of
+        code = np.insert(pieces.indices.to_numpy(), np.cumsum(counts), len(words))
+        n = n_of[code]
+        upto = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(at_of[code] - (upto - n), n) + np.arange(n.sum())]
+        # A sentence ends with its piece; the rest of a text ends before its end id, which is added to it after its forced places.
+        closes = np.insert(_ENDS_SENTENCE[data[tail - 1]], np.cumsum(counts), True)
+        final = np.cumsum(counts + 1) - 1
+        closes[np.setdiff1d(final - 1, np.append(-1, final))] = False
+        seg = np.flatnonzero(closes)
+        is_final = code[seg] == len(words)
+        stop = upto[seg]
+        length = np.diff(stop, prepend=0)
+        forced = np.maximum(0, -(-(length - is_final - 2 * FORCED_STEP) // FORCED_STEP))
+        own = (length > 0).astype(np.int64)  # a sentence without ids is no place
+        k = forced + own
+        of = np.repeat(np.arange(len(seg)), k)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + 1
+        is_own = step > forced[of]
+        place = np.where(is_own, stop[of], stop[of] - length[of] + FORCED_STEP * step)
+        kind = np.where(is_own, 1 + is_final[of], 0).astype(np.int8)
+        last = np.flatnonzero(kind == 2)
+        per_text = np.diff(last, prepend=-1)
+        base = np.repeat(np.concatenate([[0], place[last][:-1]]), per_text) if texts else place
+        raw, crc, crcs, a = memoryview(ids.tobytes()), 0, [], 0
+        for b, done in zip((4 * place).tolist(), (kind == 2).tolist()):
+            crc = zlib.crc32(raw[a:b], crc)
+            crcs.append(crc)
+            a = b
+            if done:
+                crc = 0
+        return per_text, place - base, np.array(crcs, np.int64), kind
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
@@ -125,15 +210,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "tex
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         for batch in chunks(batches, "_text"):
-            data, starts = utf8(batch.column("_text"))
-            raw = data.tobytes()
-            texts = [raw[a:b].split() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            encoder.learn(set().union(*texts))
-            rows = [encoder.places(words, end_id) for words in texts]
-            cuts, crcs, kinds = zip(*rows) if rows else ((), (), ())
+            many, cuts, crcs, kinds = encoder.all_places(*utf8(batch.column("_text")), end_id)
+            offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([c[-1] for c in cuts], pa.int64()), pa.array(cuts, pa.list_(pa.int64())),
-                pa.array(crcs, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))],
+                batch.column(0), pa.array(cuts[offsets[1:] - 1]), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(c)) for c in (cuts, crcs, kinds))],
                 names=["doc_id", "doc_tokens", "cuts", "crcs", "kinds"])
 
     return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(

@@ -445,6 +445,30 @@ def test_packing(rough, empty):
     assert packing.pack(rough, path).groupBy("doc_id").count().count() == rough.select("doc_id").distinct().count()
 
 
+def test_ids_of_a_batch_are_those_of_the_whole_texts():
+    """Signs behind words, capitals, marks that join a small letter only, special tokens and texts at the sizes where forced places begin."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tesserix.llm.common import utf8
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", None, " ", "Hello, World. end", "x. y! z?", ". . .", "\u00a0 . a", "\u00c9. \u00e9, \u00d7. \u00f7, \u00d6!", "5. a1. 3,", "\u0130. \u03a3\u03b1\u03c2 \u039f\u0394\u039f\u03a3.",
+             "don't. DON'T!! it's", "a" * 50 + "." * 20, "H\u0331. T\u0308 J\u030c, H\u0323\u0331", "\u4e2d\u6587\u3002 x\u3002.", "\u212a\u212a. \u1e9e.", "w " * 64, "w " * 65, "w " * 97 + "."]
+    tokenizer = Tokenizer.from_file(path)
+    for some in (texts, [*texts, "<|endoftext|> A<|ENDOFTEXT|>. <|x|>. Word"]):
+        encoder = packing.WordEncoder(path)
+        encoder.known.clear()
+        many, cuts, crcs, kinds = encoder.all_places(*utf8(pa.array(some)), 2)
+        last = np.cumsum(many) - 1
+        want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in some]
+        assert [len(w) for w in want] == cuts[last].tolist() and [zlib.crc32(w.tobytes()) for w in want] == crcs[last].tolist()
+        assert (kinds[last] == 2).all() and (kinds == 2).sum() == len(some)
+    encoder.known.clear()
+    encoder.all_places(*utf8(pa.array(["Word, WORD. word! (word)"])), 2)
+    assert {b"word", b",", b".", b"!"} <= set(encoder.known) and not {b"Word", b"Word,", b"WORD.", b"word!"} & set(encoder.known)
+
+
 def test_packing_of_letters_that_become_letter_and_mark(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
