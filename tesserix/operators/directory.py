@@ -88,7 +88,8 @@ def assign_offsets(entries: DataFrame, lengths: DataFrame) -> DataFrame:
     row per content, so adaptive execution can split the entries of such a content over many tasks.
     """
     firsts = entries.groupBy("archive_id", "content").agg(F.min("tile_id").alias("first_tile_id"))
-    firsts = firsts.join(lengths, ["archive_id", "content"])
+    # Stored, as sampling the borders of ranges would aggregate and join all entries once more.
+    firsts = cut_lineage(firsts.join(lengths, ["archive_id", "content"]), "firsts")
     placed = exclusive_scan(firsts, ["archive_id"], "first_tile_id", {"offset": ("sum", F.col("length"))})
     placed = placed.select("archive_id", "content", F.coalesce("offset", lng(0)).alias("offset"), "length")
     return entries.join(placed, ["archive_id", "content"])

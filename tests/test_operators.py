@@ -246,6 +246,15 @@ def test_equal_points_are_looked_up_once(spark):
     assert spark.read.parquet(made[-1]).count() == 5
 
 
+def test_first_uses_of_contents_are_found_once(spark):
+    e = spark.range(400).selectExpr("id % 2 AS archive_id", "id AS tile_id", "1L AS run_length", "CAST(id % 7 AS STRING) AS content")
+    lengths = e.select("archive_id", "content").distinct().withColumn("length", F.lit(10).cast("bigint"))
+    with recorded_tables() as made:
+        got = D.assign_offsets(e, lengths)
+    assert spark.read.parquet(made[0]).count() == 14 and "offset" not in spark.read.parquet(made[0]).columns
+    assert {(r.archive_id, r.content): r.offset for r in got.collect()} == {(i % 2, str(i % 7)): 10 * (i // 2) for i in range(14)}
+
+
 def test_a_record_inside_another_ends_alone(spark):
     with recorded_tables() as outer:
         with recorded_tables() as inner:
