@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,28 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             at = end
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library only keep at hand for later requests."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` of mapInArrow or mapInPandas, with memory given back at its end. Spark keeps a worker for the tasks of later stages, so
+    what one stage left unused would stand beside all that the next ones take."""
+
+    @wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def word_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words are runs of bytes other than ASCII white space: begin and end of each, and the number of words per value."""
     n = len(data)
@@ -74,12 +98,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
+_POWERS_STEP = 1 << 17
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = -(-n // _POWERS_STEP) * _POWERS_STEP
         inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
         for name, base in (("up", _STEP), ("down", inverse)):
             steps = np.full(size, base, np.uint64)

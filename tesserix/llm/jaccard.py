@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.llm.common import chunks, fold_hashes, mix, utf8, word_hashes, word_starts
+from tesserix.llm.common import chunks, fold_hashes, mix, tidy, utf8, word_hashes, word_starts
 from tesserix.llm.components import components
 from tesserix.session import cut_lineage, drop_tables, kept_by, recorded_tables
 
@@ -44,6 +44,8 @@ SHARED_PART = 100
 FREQUENT = 1 << 17
 #: Bits of the filter that leaves most texts of no use out of the second reading; a power of two. What it lets through too much does no harm.
 FILTER_BITS = 1 << 24
+#: Text bytes whose n-grams are made at once; a worker takes about fifty times as much for it.
+SET_BYTES = 1 << 19
 _BUFFER, _LOCAL_DF, _FREQUENT_DF = 1 << 21, 3, 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -89,16 +91,20 @@ def overlap_needed(n: np.ndarray, percent: int) -> np.ndarray:
 def _frequent(texts: DataFrame, n: int) -> np.ndarray:
     """Hashes of the most frequent n-grams, the least frequent of them first; about, as each task only tells those it met often."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def told() -> pa.RecordBatch:
-            h, k = np.unique(np.concatenate(held), return_counts=True)
-            h, k = h[k >= _LOCAL_DF], k[k >= _LOCAL_DF]
+            h = np.concatenate(held)
             held.clear()
+            h.sort()
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            k = np.diff(first, append=len(h))
+            h, k = h[first[k >= _LOCAL_DF]], k[k >= _LOCAL_DF]
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], names=["token", "df"])
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SET_BYTES):
             held.append(gram_sets(*utf8(batch.column("text")), n)[1])
             if sum(map(len, held)) > _BUFFER:
                 yield told()
@@ -116,9 +122,10 @@ def _sets(texts: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
     by_hash = np.argsort(frequent)
     shared = texts.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash.astype(np.uint64)))
 
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SET_BYTES):
             doc, h = gram_sets(*utf8(batch.column("text")), n)
             size = np.bincount(doc, minlength=batch.num_rows)
             ends = np.cumsum(size)
@@ -185,6 +192,7 @@ def _candidates(pairs: DataFrame) -> DataFrame:
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` of lead and doc with ``linked``, and ``apart``: what only one of the two sets holds, where they share half."""
 
+    @tidy
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             linked, apart = [], []
@@ -269,6 +277,7 @@ def _between_groups(marked: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
 
+    @tidy
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
@@ -308,20 +317,22 @@ def _grams(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     Texts that the filter stops are not moved; the others are moved once, as texts, which are smaller than their sets."""
     shared = texts.sparkSession.sparkContext.broadcast(_filter(wanted))
 
+    @tidy
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
             at = batch.column("at").to_numpy()
             keep = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            for some in chunks(iter([batch.filter(pa.array(keep == 1))]), "text"):
+            for some in chunks(iter([batch.filter(pa.array(keep == 1))]), "text", SET_BYTES):
                 doc, h = gram_sets(*utf8(some.column("text")), n)
                 size = np.bincount(doc, minlength=some.num_rows)
                 full = pa.array(size > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(h, size)).filter(full), some.column("text").filter(full)], names=["doc", "text"])
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SET_BYTES):
             sid = batch.column("doc").to_numpy()
             new = np.append(sid[0] != last, sid[1:] != sid[:-1])  # in order, so equal sets are neighbours
             last, batch = sid[-1], batch.filter(pa.array(new))

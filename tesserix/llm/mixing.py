@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserix.llm.common import chunks, extended, mix, running, utf8, word_starts
+from tesserix.llm.common import chunks, extended, mix, running, tidy, utf8, word_starts
 from tesserix.session import cut_lineage
 
 BLOCK = 64
@@ -44,6 +44,7 @@ def sized(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     """The kept columns and ``size``, the number of words of the whole text. Stored, because it is read several times."""
     kept = docs.select(*keep)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
             words = word_starts(*utf8(batch.column("_text")))[2]

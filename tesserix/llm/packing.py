@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.llm.common import chunks, utf8, word_starts
+from tesserix.llm.common import chunks, tidy, utf8, word_starts
 from tesserix.session import cut_lineage
 
 LENGTH = 4096
@@ -207,6 +207,7 @@ class WordEncoder:
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """(doc_id, doc_tokens, cuts, crcs, kinds): where each document may be cut. The ids themselves are not kept."""
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         for batch in chunks(batches, "_text"):
@@ -321,6 +322,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
                 int(local[upto - 1]) if cut_inside else 0, int(crc[upto - 1]) if cut_inside else 0)
         return out, [rest], first + len(done)
 
+    @tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         docs_held = tokens_held = first = 0

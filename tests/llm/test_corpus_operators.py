@@ -6,13 +6,16 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
+from tesserix.llm import common
 from tesserix.llm import backoff, jaccard, media, mixing, neighbours, packing, secrets, sharding, suffixes, toxicity
 from tesserix.llm.components import components
 
@@ -337,6 +340,37 @@ def test_only_texts_in_question_are_moved(spark, monkeypatch):
     assert {t.name for t in spark.catalog.listTables()} == before
 
 
+def test_sets_of_many_texts_are_made_in_little_memory(monkeypatch):
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(str(rng.randrange(10 ** 6)) for _ in range(10000)) for _ in range(60)]})
+    monkeypatch.setattr(common, "_POWERS", {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)})
+    tracemalloc.start()
+    try:
+        some = list(common.chunks(iter([batch]), "text", jaccard.SET_BYTES))
+        assert sum(b.num_rows for b in some) == 60 and len(some) > 5
+        for b in some:
+            jaccard.gram_sets(*common.utf8(b.column("text")), 5)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20  # 70 MiB in pieces of CHUNK_BYTES
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_step_gives_memory_back_at_its_end(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    step = common.tidy(lambda batches: (2 * b for b in batches))
+    assert list(step(iter([1, 2]))) == [2, 4] and given == [1]
+    ended = step(iter([1, 2]))
+    assert next(ended) == 2 and given == [1]
+    ended.close()
+    assert given == [1, 1]
+    monkeypatch.undo()
+    for _ in range(2):
+        held = pa.array(np.arange(1 << 20))
+        del held
+        common.give_back()
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(300 + i, 301 + i) for i in range(40)] + [(500, i) for i in range(400, 450)]
