@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserix.plans import tables as T
-from tesserix.session import shared_folder
+from tesserix.session import cut_lineage, shared_folder
 from tesserix.sources.archive_writer import write_archives, write_files
 from tesserix.sources.entry_source import load_entries, write_manifest
 from tesserix.sources.ingest import directory_sizes, from_tms, read_contents, read_directories, read_metadata, scan_archives, write_entries
@@ -83,15 +83,18 @@ PRUNED_SQL = f"""WITH {F_TILES} SELECT file_id, tile_id, "offset" FROM f_entries
 def _manifest(spark: SparkSession, d: str) -> str:
     key = (spark.sparkContext.applicationId, f"{d} manifest")
     if key not in _FOLDERS:
-        folder = shared_folder(spark, "manifest")
-        a = archives(spark, d)
+        folder, names = shared_folder(spark, "manifest"), shared_folder(spark, "names")
+        # Stored, as each use would list and open every file again.
+        a = cut_lineage(archives(spark, d), "scanned")
         write_manifest(a, read_directories(a)[0], folder, 200)
-        _FOLDERS[key] = folder
+        a.select("archive_id", "file_id").write.parquet(names)
+        _FOLDERS[key], _FOLDERS[key[0], f"{d} names"] = folder, names
     return _FOLDERS[key]
 
 
 def _named(spark: SparkSession, d: str, entries: DataFrame) -> DataFrame:
-    return entries.join(archives(spark, d).select("archive_id", "file_id"), "archive_id").select(
+    names = spark.read.parquet(_FOLDERS[spark.sparkContext.applicationId, f"{d} names"])
+    return entries.join(names, "archive_id").select(
         "file_id", F.col("z").cast("bigint").alias("z"), "tile_id", "run_length", "offset", "length")
 
 

@@ -108,8 +108,11 @@ class EntryReader(DataSourceReader):
     def directories(self, partition: RowGroup) -> pa.Table:
         """The manifest's rows of a row group that the conditions leave, in file order."""
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
-        rows = pq.ParquetFile(partition.file, filesystem=self._files()[0]).read_row_group(partition.group)
+        # Not by listing the folder: each task would see as many files as there are tasks.
+        system, _ = fs.FileSystem.from_uri(self.options["path"])
+        rows = pq.ParquetFile(partition.file, filesystem=system).read_row_group(partition.group)
         values = {n: rows[n].to_numpy() for n in {*_LEAST.values(), *_GREATEST.values()}}
         keep = np.full(rows.num_rows, True) & self._possible(values.get, values.get)
         return rows.filter(pa.array(keep)).sort_by([("path", "ascending"), ("at", "ascending")])

@@ -165,6 +165,16 @@ def test_conditions_leave_out_row_groups_and_directories(spark, tmp_path):
     assert sorted(r.tile_id for r in got.collect()) == [t for t, _, _ in TILES if t < 200]
 
 
+def test_a_task_lists_no_files_of_the_manifest(spark, tmp_path, monkeypatch):
+    scanned = scan_archives(spark, _folder(tmp_path), ".tiles")
+    folder = str(tmp_path / "manifest")
+    write_manifest(scanned, read_directories(scanned)[0], folder, group_rows=3)
+    reader = PushingEntryReader({"path": folder})
+    parts = reader.partitions()
+    monkeypatch.setattr(reader, "_files", lambda: pytest.fail("a task listed the manifest's files"))
+    assert sum(reader.directories(p).num_rows for p in parts) == 17
+
+
 def test_near_ranges_are_one_read():
     got = list(merged([(0, 10), (5, 8), (12, 20), (100, 110), (110, 110), (500, 900)], gap=4, limit=200))
     assert got == [(0, 20, [0, 1, 2]), (100, 110, [3, 4]), (500, 900, [5])]
